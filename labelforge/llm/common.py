@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: 256 texts of 100,000 characters are 25 MB.
-BATCH_ROWS = 256
+#: An Arrow batch ends at so many rows or bytes, whichever comes first: long texts and sets make short batches.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: The word of every contract here, `[^\x20\x09-\x0D]+`: bytes.split() without an argument splits at the same six bytes.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,9 +59,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over batches of a bounded number of texts."""
+    """mapInArrow over batches of a bounded number of rows and bytes."""
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
