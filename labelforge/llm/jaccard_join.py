@@ -35,6 +35,8 @@ SHINGLE = 5
 GROUPS = 64
 FLUSH = 400_000
 BITS = 1 << 20
+#: Members of a star that meet its centre in one task.
+CHUNK = 128
 _words = WordTable(hash64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,13 +124,12 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def set_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and count vector of the sets that are asked for; a text under a repeated id may be another set."""
     for b in batches:
-        sets = [s for x in b.column("text").to_pylist() if len(s := shingle_set(x))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vectors(s).tobytes() for s in sets], pa.binary())],
-            ["sid", "n", "shingles", "vector"],
-        )
+        rows = [(i, len(s), vectors(s).tobytes()) for i, x in zip(b.column("sid").to_pylist(), b.column("text").to_pylist(), strict=True) if set_id(s := shingle_set(x)) == i]
+        sid, n, vector = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(vector, pa.binary())], ["sid", "n", "vector"])
 
 
 def key_blocks(shards: int):
@@ -198,23 +199,43 @@ def shared_groups(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that link: first by the sum of coordinate minima, then exactly."""
+    """Of rows sorted by home and chunk, the home's own text first: the members that link to it, by the sum of coordinate
+    minima first, then exactly. Holds one home's set at a time."""
+    at, centre, low = None, None, None
     for b in batches:
-        keep = []
-        for i, (sa, sb, va, vb) in enumerate(zip(*(b.column(x).to_pylist() for x in ("sa", "sb", "va", "vb")), strict=True)):
-            na, nb = len(sa) // 8, len(sb) // 8
-            if linked(int(np.minimum(np.frombuffer(va, np.uint32), np.frombuffer(vb, np.uint32)).sum()), na, nb):
-                both = np.concatenate([np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)])
+        keep: list[tuple[int, int]] = []
+        for home, chunk, sid, text in zip(*(b.column(x).to_pylist() for x in ("home", "chunk", "sid", "text")), strict=True):
+            s = shingle_set(text)
+            if set_id(s) != sid:
+                continue  # another text under a repeated id
+            if home == sid:
+                at, centre, low = (home, chunk), s, vectors(s)
+            elif at == (home, chunk) and linked(int(np.minimum(low, vectors(s)).sum()), len(centre), len(s)):
+                both = np.concatenate([centre, s])
                 both.sort(kind="stable")  # two sorted runs: merged in one pass
-                if linked(int((both[1:] == both[:-1]).sum()), na, nb):
-                    keep.append(i)
-        yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                if linked(int((both[1:] == both[:-1]).sum()), len(centre), len(s)):
+                    keep.append((home, sid))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in keep], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"), F.col("vector").alias("va"))
-    two = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"), F.col("vector").alias("vb"))
-    return materialise(map_batches(pairs.join(one, "a").join(two, "b"), verified, "a long, b long"), "links")
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of `wanted` (sid, doc_id and others) and the texts under these ids. A one-hash Bloom filter of at most
+    2**20 numbers keeps most other texts out of the shuffle."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    bits = F.broadcast(wanted.select(bit.alias("bit")).distinct())
+    return docs.withColumn("bit", bit).join(bits, "bit", "left_semi").drop("bit").join(wanted, "doc_id")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, homes: DataFrame) -> DataFrame:
+    """The pairs that link. Texts are sent, not sets, which are larger: those of all b to their a, of which a large group
+    is cut into chunks that each get the text of a."""
+    chunks = pairs.groupBy("a").agg((F.floor(F.count("*") / CHUNK) + 1).alias("chunks"))
+    members = pairs.join(chunks, "a").select(F.col("a").alias("home"), F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), F.col("b").alias("sid"))
+    centres = chunks.select(F.col("a").alias("home"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("sid"))
+    wanted = materialise(members.unionByName(centres).join(homes, "sid"), "wanted")
+    rows = texts_of(docs, wanted).select("home", "chunk", "sid", "text")
+    rows = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk", F.col("home") != F.col("sid"))
+    return materialise(map_batches(rows, verified, "a long, b long"), "links")
 
 
 class Node:
@@ -298,24 +319,20 @@ def link_components(docs: DataFrame) -> DataFrame:
     met = materialise(blocks.groupBy("shard").applyInPandas(shared_groups, "a long, b long, members binary"), "shared-groups")
     pairs = materialise(met.where("members is null").select("a", "b").distinct(), "star-pairs")
 
-    # Sets of those that met: their documents by a one-hash Bloom filter of at most 2**20 numbers, then exactly.
-    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    ids = known.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    ids = materialise(ids.where("doc_id is not null").distinct(), "met-ids")
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    bits = F.broadcast(ids.select(bit.alias("bit")).distinct())
-    texts = docs.withColumn("bit", bit).join(bits, "bit", "left_semi").join(ids, "doc_id", "left_semi")
-    sets = materialise(map_batches(texts.select("text"), full_sets, "sid long, n long, shingles binary, vector binary").dropDuplicates(["sid"]), "full-sets")
-
-    links = verify(pairs, sets)
+    homes = known.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    homes = materialise(homes, "homes")
+    links = verify(pairs, docs, homes)
     labels = components(links)
     lists = met.where("members is not null").select(F.col("a").alias("list_id"), "members").dropDuplicates(["list_id"])
     lists = materialise(map_batches(lists, list_rows, "list_id long, sid long").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "lists")
     several = lists.groupBy("list_id").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("list_id")
-    rows = lists.join(several, "list_id").join(sets.select("sid", "n", "vector"), "sid").withColumn("block", F.pmod("list_id", F.lit(shards)))
-    more = rows.groupBy("block").applyInPandas(open_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verify(materialise(more, "open-pairs"), sets)
-    if not more.isEmpty():
+    still = materialise(lists.join(several, "list_id"), "open-lists")
+    if not still.isEmpty():
+        wanted = still.select("sid").distinct().join(homes, "sid")
+        points = map_batches(texts_of(docs, wanted).select("sid", "text"), set_vectors, "sid long, n long, vector binary").dropDuplicates(["sid"])
+        rows = still.join(points, "sid").withColumn("block", F.pmod("list_id", F.lit(shards)))
+        more = rows.groupBy("block").applyInPandas(open_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = verify(materialise(more, "open-pairs"), docs, homes)
         labels = components(links.unionByName(more))
 
     labels = materialise(known.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "labels")
