@@ -6,11 +6,11 @@ the content of such a group is equal ("shared group"); a group's content says fa
 texts with a common passage rarely meet. Number of groups: one of a row of levels that grows by half; a set enters the
 level of its own size and those of the smallest set that it may link to.
 
-Sets that meet are linked in stars first, both to the least and the greatest of the shared group, each pair being
-verified exactly. Shared groups that then still hold more than one component go through an R-tree over the sets' count
-vectors (64 groups): subtrees and pairs are dropped where the sum of coordinate minima is below the overlap needed,
-or the component is the same already, and the rest is verified exactly. So no link between different sets is lost, and
-groups of near copies don't become all their pairs.
+Each set that meets others is first held against one of them, the least of all its shared groups, exactly. Shared groups
+that then still hold more than one component go through an R-tree over the sets' count vectors (64 coordinates or more, one
+for some six shingles, so that chance alone doesn't reach the bound in large sets either): subtrees and pairs are
+dropped where the sum of coordinate minima is below the overlap needed, or the component is the same already, and the rest
+is verified exactly. So no link between different sets is lost, and groups of near copies don't become all their pairs.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; equal sets count once; repeated doc_ids
 stay as rows; a null doc_id is linked through equal sets only, and its component is the least non-null id of that group
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from labelforge.llm.common import WordTable, hash64, map_batches, materialise
 
 SHINGLE = 5
-GROUPS = 64
+GROUPS, MOST_GROUPS = 64, 1 << 14
 FLUSH = 400_000
 BITS = 1 << 20
 #: Members of a star that meet its centre in one task.
@@ -69,8 +69,25 @@ def set_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def coordinates(n: int) -> int:
+    """How many groups the vector of a set of this size counts: a power of two."""
+    return min(max(GROUPS, 1 << (n // 6).bit_length()), MOST_GROUPS)
+
+
 def vectors(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    m = coordinates(len(shingles))
+    return np.bincount((shingles >> np.uint64(65 - m.bit_length())).astype(np.int64), minlength=m).astype(np.uint16)
+
+
+def fold(vector: np.ndarray, m: int) -> np.ndarray:
+    """The same counts over m coordinates: groups are ranges of hashes, so neighbours are added."""
+    return vector if len(vector) == m else vector.reshape(m, -1).sum(1, dtype=np.uint16)
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The most shingles that sets of these vectors can share: the sum of coordinate minima."""
+    m = min(len(a), len(b))
+    return int(np.minimum(fold(a, m), fold(b, m)).sum(dtype=np.int64))
 
 
 def linked(overlap, a, b):
@@ -173,7 +190,7 @@ def key_blocks(shards: int):
 
 
 def shared_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: the star pairs of every shared group, and each distinct list of three or more sets that share one."""
+    """Of one shard: for each set the least that it meets, and each distinct list of sets that share a group."""
     k = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
     s = np.frombuffer(b"".join(pdf["sids"]), np.int64)
     order = np.lexsort((s, k))
@@ -183,19 +200,18 @@ def shared_groups(pdf: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     size = np.diff(np.append(first, len(k)))
     first, size = first[size > 1], size[size > 1]
-    run = np.repeat(np.arange(len(first)), size)
-    at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    member, low, high = s[at], s[first][run], s[first + size - 1][run]
-    pairs = np.unique(np.concatenate([np.stack([low, member], 1), np.stack([member, high], 1)]), axis=0) if len(at) else np.empty((0, 2), np.int64)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "members": None})
-    big = np.flatnonzero(size > 2)
-    if len(big):
-        name = np.add.reduceat(mix64(member.view(np.uint64)), np.cumsum(size) - size)
-        kept = big[np.unique(name[big], return_index=True)[1]]
-        lists = [s[first[i] : first[i] + size[i]] for i in kept]
-        out = pd.concat([out, pd.DataFrame({"a": name[kept].view(np.int64), "b": np.array([len(x) for x in lists]), "members": [x.tobytes() for x in lists]})])
-    return out
+    if not len(first):
+        return pd.DataFrame({"a": [], "b": [], "members": []})
+    begin = np.cumsum(size) - size
+    at = np.repeat(first - begin, size) + np.arange(size.sum())
+    member, low = s[at], np.repeat(s[first], size)
+    order = np.lexsort((low, member))
+    member, low = member[order], low[order]
+    best = np.concatenate(([True], member[1:] != member[:-1])) & (low != member)
+    name = np.add.reduceat(mix64(s[at].view(np.uint64)), begin)
+    kept = np.unique(name, return_index=True)[1]
+    lists = pd.DataFrame({"a": name[kept].view(np.int64), "b": size[kept], "members": [s[i : i + n].tobytes() for i, n in zip(first[kept], size[kept], strict=True)]})
+    return pd.concat([pd.DataFrame({"a": low[best], "b": member[best], "members": None}), lists])
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +226,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue  # another text under a repeated id
             if home == sid:
                 at, centre, low = (home, chunk), s, vectors(s)
-            elif at == (home, chunk) and linked(int(np.minimum(low, vectors(s)).sum()), len(centre), len(s)):
+            elif at == (home, chunk) and linked(bound(low, vectors(s)), len(centre), len(s)):
                 both = np.concatenate([centre, s])
                 both.sort(kind="stable")  # two sorted runs: merged in one pass
                 if linked(int((both[1:] == both[:-1]).sum()), len(centre), len(s)):
@@ -263,10 +279,10 @@ def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[
         x, y = stack.pop()
         if x.label is not None and x.label == y.label or 4 * max(x.least, y.least) > 5 * min(x.most, y.most):
             continue
-        if x is not y and not linked(int(np.minimum(x.high, y.high).sum()), x.least, y.least):
+        if x is not y and not linked(int(np.minimum(x.high, y.high).sum(dtype=np.int64)), x.least, y.least):
             continue
         if not x.children and not y.children:
-            overlap = np.minimum(points[x.rows][:, None], points[y.rows][None]).sum(2)
+            overlap = np.minimum(points[x.rows][:, None], points[y.rows][None]).sum(2, dtype=np.int64)
             good = linked(overlap, n[x.rows][:, None], n[y.rows][None]) & (label[x.rows][:, None] != label[y.rows][None])
             i, j = np.nonzero(np.triu(good, 1) if x is y else good)
             yield x.rows[i], y.rows[j]
@@ -284,7 +300,9 @@ def open_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     found = []
     for _, one in pdf.groupby("list_id", sort=False):
         sid, n, label = one["sid"].to_numpy(), one["n"].to_numpy(), one["label"].to_numpy()
-        points = np.stack([np.frombuffer(v, np.uint32) for v in one["vector"]])
+        own = [np.frombuffer(v, np.uint16) for v in one["vector"]]
+        m = min(map(len, own))
+        points = np.stack([fold(v, m) for v in own])
         for i, j in tree_join(points, n, label):
             found.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
@@ -317,7 +335,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     shards = int(min(max(32, total // 2_000_000), 100_000))
     blocks = map_batches(docs, key_blocks(shards), "shard long, keys binary, sids binary")
     met = materialise(blocks.groupBy("shard").applyInPandas(shared_groups, "a long, b long, members binary"), "shared-groups")
-    pairs = materialise(met.where("members is null").select("a", "b").distinct(), "star-pairs")
+    pairs = materialise(met.where("members is null").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star-pairs")
 
     homes = known.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     homes = materialise(homes, "homes")
