@@ -6,11 +6,11 @@ the content of such a group is equal ("shared group"); a group's content says fa
 texts with a common passage rarely meet. Number of groups: one of a row of levels that grows by half; a set enters the
 level of its own size and those of the smallest set that it may link to.
 
-Each set that meets others is first held against one of them, the least of all its shared groups, exactly. Shared groups
-that then still hold more than one component go through an R-tree over the sets' count vectors (64 coordinates or more, one
+Each set that meets others is first held against one of them, exactly: of the least sets of its shared groups, the one of
+most groups. Shared groups that then still hold more than one component go through an R-tree over the sets' count vectors (64 coordinates or more, one
 for some six shingles, so that chance alone doesn't reach the bound in large sets either): subtrees and pairs are
 dropped where the sum of coordinate minima is below the overlap needed, or the component is the same already, and the rest
-is verified exactly. So no link between different sets is lost, and groups of near copies don't become all their pairs.
+is verified exactly; first only the likeliest pair of each two components, then what is still apart. So no link between different sets is lost, and groups of near copies don't become all their pairs.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; equal sets count once; repeated doc_ids
 stay as rows; a null doc_id is linked through equal sets only, and its component is the least non-null id of that group
@@ -26,6 +26,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ FLUSH = 400_000
 BITS = 1 << 20
 #: Members of a star that meet its centre in one task.
 CHUNK = 128
+#: Bytes of text for each shard of the groups' keys.
+SHARD_BYTES = 24 << 20
 _words = WordTable(hash64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,14 +136,6 @@ def group_keys(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingle_set(x) for x in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "sid"]
-        )
-
-
 def set_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and count vector of the sets that are asked for; a text under a repeated id may be another set."""
     for b in batches:
@@ -149,69 +144,83 @@ def set_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(vector, pa.binary())], ["sid", "n", "vector"])
 
 
-def key_blocks(shards: int):
-    """Blocks of (key, sid) by shard, distinct within a block; a set that this task has met lately isn't sent again."""
+_RECORD = np.dtype([("doc_id", "<i8"), ("no_id", "?"), ("n", "<i8"), ("sid", "<i8")])
+
+
+def set_blocks(shards: int):
+    """One pass over the texts. Blocks of (key, sid) by shard, distinct within a block; a set that this task has met lately
+    isn't sent again. Blocks of records, one for each row, dealt to the shards in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids, held, lately = [], [], 0, set()
+        keys, sids, records, held, lately, turn = [], [], [], 0, set(), TaskContext.get().partitionId() * 7919
 
         def flush():
-            k, s = np.concatenate(keys), np.concatenate(sids)
+            k, s = (np.concatenate([np.empty(0, t), *x]) for x, t in ((keys, np.uint64), (sids, np.int64)))
             shard = (k % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            cut = np.flatnonzero(np.diff(shard[order])) + 1
-            parts = np.split(order, cut)
+            parts = [p for p in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(p)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([int(shard[p[0]]) for p in parts], pa.int64()), pa.array([k[p].tobytes() for p in parts], pa.binary()), pa.array([s[p].tobytes() for p in parts], pa.binary())], ["shard", "keys", "sids"]
-            )
+                [
+                    pa.array([*(int(shard[p[0]]) for p in parts), turn % shards], pa.int64()), pa.array([*(k[p].tobytes() for p in parts), None], pa.binary()),
+                    pa.array([*(s[p].tobytes() for p in parts), None], pa.binary()), pa.array([None] * len(parts) + [np.array(records, _RECORD).tobytes()], pa.binary()),
+                ],
+                ["shard", "keys", "sids", "records"],
+            )
 
         for b in batches:
-            for text in b.column("text").to_pylist():
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingle_set(text)
-                if len(s) < 4:
-                    continue  # links to equal sets only
-                sid = set_id(s)
-                if sid in lately:
-                    continue
-                if len(lately) >= 200_000:
-                    lately.clear()
-                lately.add(sid)
-                k = group_keys(s)
-                keys.append(k)
-                sids.append(np.full(len(k), sid, np.int64))
-                held += len(k)
-                if held >= FLUSH:
+                sid = set_id(s) if len(s) else 0
+                records.append((doc_id or 0, doc_id is None, len(s), sid))
+                if len(s) >= 4 and sid not in lately:  # smaller ones link to equal sets only
+                    if len(lately) >= 200_000:
+                        lately.clear()
+                    lately.add(sid)
+                    keys.append(group_keys(s))
+                    sids.append(np.full(len(keys[-1]), sid, np.int64))
+                    held += len(keys[-1])
+                if held >= FLUSH or len(records) >= 20_000:
                     yield flush()
-                    keys, sids, held = [], [], 0
-        if held:
+                    keys, sids, records, held, turn = [], [], [], 0, turn + 1
+        if records:
             yield flush()
 
     return run
 
 
+EDGE, LIST, ROW = range(3)
+
+
 def shared_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: for each set the least that it meets, and each distinct list of sets that share a group."""
-    k = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
-    s = np.frombuffer(b"".join(pdf["sids"]), np.int64)
+    """Of one shard: how many groups each set shares with the least of them (EDGE: least, set, groups), each distinct list
+    of sets that share a group (LIST: name, -, size, members), and the rows' records (ROW: doc_id, set, size)."""
+    rows = np.frombuffer(b"".join(pdf["records"].dropna()), _RECORD)
+    out = [pd.DataFrame({"kind": ROW, "a": pd.array(rows["doc_id"], "Int64"), "b": pd.array(rows["sid"], "Int64"), "n": rows["n"], "members": None})]
+    out[0].loc[rows["no_id"], "a"] = pd.NA
+    out[0].loc[rows["n"] == 0, "b"] = pd.NA
+    k = np.frombuffer(b"".join(pdf["keys"].dropna()), np.uint64)
+    s = np.frombuffer(b"".join(pdf["sids"].dropna()), np.int64)
     order = np.lexsort((s, k))
     k, s = k[order], s[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
     k, s = k[new], s[new]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
     size = np.diff(np.append(first, len(k)))
     first, size = first[size > 1], size[size > 1]
-    if not len(first):
-        return pd.DataFrame({"a": [], "b": [], "members": []})
-    begin = np.cumsum(size) - size
-    at = np.repeat(first - begin, size) + np.arange(size.sum())
-    member, low = s[at], np.repeat(s[first], size)
-    order = np.lexsort((low, member))
-    member, low = member[order], low[order]
-    best = np.concatenate(([True], member[1:] != member[:-1])) & (low != member)
-    name = np.add.reduceat(mix64(s[at].view(np.uint64)), begin)
-    kept = np.unique(name, return_index=True)[1]
-    lists = pd.DataFrame({"a": name[kept].view(np.int64), "b": size[kept], "members": [s[i : i + n].tobytes() for i, n in zip(first[kept], size[kept], strict=True)]})
-    return pd.concat([pd.DataFrame({"a": low[best], "b": member[best], "members": None}), lists])
+    if len(first):
+        begin = np.cumsum(size) - size
+        at = np.repeat(first - begin, size) + np.arange(size.sum())
+        member, low = s[at], np.repeat(s[first], size)
+        name = np.add.reduceat(mix64(member.view(np.uint64)), begin)
+        order = np.lexsort((low, member))
+        member, low = member[order], low[order]
+        new = np.flatnonzero(np.concatenate(([True], (member[1:] != member[:-1]) | (low[1:] != low[:-1]))))
+        edges = pd.DataFrame({"kind": EDGE, "a": low[new], "b": member[new], "n": np.diff(np.append(new, len(member))), "members": None})
+        kept = np.unique(name, return_index=True)[1]
+        members = [s[i : i + n].tobytes() for i, n in zip(first[kept], size[kept], strict=True)]
+        out += [edges[edges["a"] != edges["b"]], pd.DataFrame({"kind": LIST, "a": name[kept].view(np.int64), "b": 0, "n": size[kept], "members": members})]
+    return pd.concat([x.astype({"a": "Int64", "b": "Int64"}) for x in out])
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +280,8 @@ class Node:
             self.children = [Node(x, points, n, label, leaf) for x in np.array_split(order, 2)]
 
 
-def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows, of different labels, whose coordinate minima sum to the overlap needed."""
+def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows, of different labels, whose coordinate minima sum to the overlap needed, and these sums."""
     root = Node(np.arange(len(n)), points, n, label)
     stack = [(root, root)]
     while stack:
@@ -285,7 +294,8 @@ def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[
             overlap = np.minimum(points[x.rows][:, None], points[y.rows][None]).sum(2, dtype=np.int64)
             good = linked(overlap, n[x.rows][:, None], n[y.rows][None]) & (label[x.rows][:, None] != label[y.rows][None])
             i, j = np.nonzero(np.triu(good, 1) if x is y else good)
-            yield x.rows[i], y.rows[j]
+            if len(i):
+                yield x.rows[i], y.rows[j], overlap[i, j]
         elif x is y:
             a, b = x.children
             stack += [(a, a), (a, b), (b, b)]
@@ -295,18 +305,28 @@ def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[
             stack += [(x, c) for c in y.children]
 
 
-def open_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of some lists of sets: the pairs across components that the bound lets through."""
-    found = []
-    for _, one in pdf.groupby("list_id", sort=False):
-        sid, n, label = one["sid"].to_numpy(), one["n"].to_numpy(), one["label"].to_numpy()
-        own = [np.frombuffer(v, np.uint16) for v in one["vector"]]
-        m = min(map(len, own))
-        points = np.stack([fold(v, m) for v in own])
-        for i, j in tree_join(points, n, label):
-            found.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+def open_pairs(only_best: bool):
+    """Of some lists of sets: the pairs across components that the bound lets through, or the likeliest of each two."""
+
+    def best(pairs: pd.DataFrame) -> pd.DataFrame:
+        return pairs.sort_values(["score", "a", "b"], ascending=[False, True, True]).drop_duplicates(["la", "lb"] if only_best else ["a", "b"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found, held = [], 0
+        for _, one in pdf.groupby("list_id", sort=False):
+            sid, n, label = one["sid"].to_numpy(), one["n"].to_numpy(), one["label"].to_numpy()
+            own = [np.frombuffer(v, np.uint16) for v in one["vector"]]
+            m = min(map(len, own))
+            for i, j, overlap in tree_join(np.stack([fold(v, m) for v in own]), n, label):
+                i, j = np.where(sid[i] < sid[j], i, j), np.where(sid[i] < sid[j], j, i)
+                found.append(pd.DataFrame({"a": sid[i], "b": sid[j], "la": np.minimum(label[i], label[j]), "lb": np.maximum(label[i], label[j]), "score": overlap / (n[i] + n[j])}))
+                held += len(i)
+                if held >= 200_000:
+                    found = [best(pd.concat(found))]
+                    held = 0
+        return best(pd.concat(found)) if found else pd.DataFrame({x: [] for x in ("a", "b", "la", "lb", "score")})
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -329,29 +349,37 @@ def components(links: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, sid and component_id of every document."""
     docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    known = materialise(map_batches(docs, set_rows, "doc_id long, n_shingles long, sid long"), "sets")
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    shards = int(min(max(32, total // 2_000_000), 100_000))
-    blocks = map_batches(docs, key_blocks(shards), "shard long, keys binary, sids binary")
-    met = materialise(blocks.groupBy("shard").applyInPandas(shared_groups, "a long, b long, members binary"), "shared-groups")
-    pairs = materialise(met.where("members is null").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star-pairs")
-
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = int(min(max(32, total // SHARD_BYTES), 1_000_000))
+    blocks = map_batches(docs, set_blocks(shards), "shard long, keys binary, sids binary, records binary")
+    met = materialise(blocks.groupBy("shard").applyInPandas(shared_groups, "kind int, a long, b long, n long, members binary"), "shared-groups")
+    known = met.where(F.col("kind") == ROW).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("sid"))
+    votes = met.where(F.col("kind") == EDGE).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = materialise(votes.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "star-pairs")
     homes = known.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     homes = materialise(homes, "homes")
     links = verify(pairs, docs, homes)
     labels = components(links)
-    lists = met.where("members is not null").select(F.col("a").alias("list_id"), "members").dropDuplicates(["list_id"])
-    lists = materialise(map_batches(lists, list_rows, "list_id long, sid long").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "lists")
-    several = lists.groupBy("list_id").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("list_id")
-    still = materialise(lists.join(several, "list_id"), "open-lists")
-    if not still.isEmpty():
-        wanted = still.select("sid").distinct().join(homes, "sid")
-        points = map_batches(texts_of(docs, wanted).select("sid", "text"), set_vectors, "sid long, n long, vector binary").dropDuplicates(["sid"])
+    lists = met.where(F.col("kind") == LIST).select(F.col("a").alias("list_id"), "members").dropDuplicates(["list_id"])
+    lists = materialise(map_batches(lists, list_rows, "list_id long, sid long"), "lists")
+    points, done = None, pairs
+    for only_best in (True, False):
+        labelled = lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        several = labelled.groupBy("list_id").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("list_id")
+        still = materialise(labelled.join(several, "list_id"), "open-lists")
+        if still.isEmpty():
+            break
+        if points is None:
+            wanted = still.select("sid").distinct().join(homes, "sid")
+            points = materialise(map_batches(texts_of(docs, wanted).select("sid", "text"), set_vectors, "sid long, n long, vector binary").dropDuplicates(["sid"]), "points")
         rows = still.join(points, "sid").withColumn("block", F.pmod("list_id", F.lit(shards)))
-        more = rows.groupBy("block").applyInPandas(open_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = verify(materialise(more, "open-pairs"), docs, homes)
-        labels = components(links.unionByName(more))
+        found = rows.groupBy("block").applyInPandas(open_pairs(only_best), "a long, b long, la long, lb long, score double")
+        if only_best:
+            found = found.groupBy("la", "lb").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
+        more = materialise(found.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "open-pairs")
+        links, done = links.unionByName(verify(more, docs, homes)), done.unionByName(more)
+        labels = components(links)
+        lists = still.select("list_id", "sid")
 
     labels = materialise(known.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "labels")
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))

@@ -138,7 +138,7 @@ def test_tree_join_keeps_all_that_the_bound_keeps():
     centre = rng.integers(0, 40, 64)
     points = np.stack([np.maximum(0, centre + rng.integers(-9, 10, 64)) for _ in range(150)] + [rng.integers(0, 60, 64) for _ in range(150)]).astype(np.uint32)
     n, label = points.sum(1).astype(np.int64), rng.integers(0, 60, 300)
-    found = {tuple(sorted(p)) for i, j in jaccard_join.tree_join(points, n, label) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    found = {tuple(sorted(p)) for i, j, _ in jaccard_join.tree_join(points, n, label) for p in zip(i.tolist(), j.tolist(), strict=True)}
     size = lambda i, j: 4 * max(n[i], n[j]) <= 5 * min(n[i], n[j])
     need = {(i, j) for i in range(300) for j in range(i + 1, 300) if label[i] != label[j] and size(i, j) and jaccard_join.linked(int(np.minimum(points[i], points[j]).sum()), n[i], n[j])}
     assert need and need <= found
