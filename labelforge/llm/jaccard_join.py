@@ -7,10 +7,11 @@ texts with a common passage rarely meet. Number of groups: one of a row of level
 level of its own size and those of the smallest set that it may link to.
 
 Each set that meets others is first held against one of them, exactly: of the least sets of its shared groups, the one of
-most groups. Shared groups that then still hold more than one component go through an R-tree over the sets' count vectors (64 coordinates or more, one
-for some six shingles, so that chance alone doesn't reach the bound in large sets either): subtrees and pairs are
-dropped where the sum of coordinate minima is below the overlap needed, or the component is the same already, and the rest
-is verified exactly; first only the likeliest pair of each two components, then what is still apart. So no link between different sets is lost, and groups of near copies don't become all their pairs.
+most groups. Shared groups that then still hold more than one component go through an R-tree over the sets' count
+vectors (64 coordinates or more, one for some one or two shingles, so that chance adds little to what sets of any size
+share): subtrees and pairs are dropped where the sum of coordinate minima is below the overlap needed, or the component
+is the same already, and the rest is verified exactly; first the nearest pairs of each set, then all that are still
+apart. So no link between different sets is lost, and groups of near copies don't become all their pairs.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; equal sets count once; repeated doc_ids
 stay as rows; a null doc_id is linked through equal sets only, and its component is the least non-null id of that group
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.llm.common import WordTable, hash64, map_batches, materialise
@@ -38,6 +39,8 @@ FLUSH = 400_000
 BITS = 1 << 20
 #: Members of a star that meet its centre in one task.
 CHUNK = 128
+#: Pairs of each set that are verified before the rest of those that are still apart.
+NEAREST = 8
 #: Bytes of text for each shard of the groups' keys.
 SHARD_BYTES = 24 << 20
 _words = WordTable(hash64)
@@ -74,7 +77,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 def coordinates(n: int) -> int:
     """How many groups the vector of a set of this size counts: a power of two."""
-    return min(max(GROUPS, 1 << (n // 6).bit_length()), MOST_GROUPS)
+    return min(max(GROUPS, 1 << (n // 2).bit_length()), MOST_GROUPS)
 
 
 def vectors(shingles: np.ndarray) -> np.ndarray:
@@ -305,11 +308,13 @@ def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[
             stack += [(x, c) for c in y.children]
 
 
-def open_pairs(only_best: bool):
-    """Of some lists of sets: the pairs across components that the bound lets through, or the likeliest of each two."""
+def open_pairs(nearest: int | None):
+    """Of some lists of sets: the pairs across components that the bound lets through (a, b, score), each twice, as a set
+    and its partner; if asked, only the `nearest` partners of each set, by the overlap that the bound allows."""
 
-    def best(pairs: pd.DataFrame) -> pd.DataFrame:
-        return pairs.sort_values(["score", "a", "b"], ascending=[False, True, True]).drop_duplicates(["la", "lb"] if only_best else ["a", "b"])
+    def least(pairs: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.drop_duplicates(["a", "b"])
+        return pairs if nearest is None else pairs.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a", sort=False).head(nearest)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found, held = [], 0
@@ -318,13 +323,13 @@ def open_pairs(only_best: bool):
             own = [np.frombuffer(v, np.uint16) for v in one["vector"]]
             m = min(map(len, own))
             for i, j, overlap in tree_join(np.stack([fold(v, m) for v in own]), n, label):
-                i, j = np.where(sid[i] < sid[j], i, j), np.where(sid[i] < sid[j], j, i)
-                found.append(pd.DataFrame({"a": sid[i], "b": sid[j], "la": np.minimum(label[i], label[j]), "lb": np.maximum(label[i], label[j]), "score": overlap / (n[i] + n[j])}))
+                score = overlap / (n[i] + n[j])
+                found.append(pd.DataFrame({"a": np.concatenate([sid[i], sid[j]]), "b": np.concatenate([sid[j], sid[i]]), "score": np.concatenate([score, score])}))
                 held += len(i)
                 if held >= 200_000:
-                    found = [best(pd.concat(found))]
+                    found = [least(pd.concat(found))]
                     held = 0
-        return best(pd.concat(found)) if found else pd.DataFrame({x: [] for x in ("a", "b", "la", "lb", "score")})
+        return least(pd.concat(found)) if found else pd.DataFrame({x: [] for x in ("a", "b", "score")})
 
     return run
 
@@ -363,7 +368,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     lists = met.where(F.col("kind") == LIST).select(F.col("a").alias("list_id"), "members").dropDuplicates(["list_id"])
     lists = materialise(map_batches(lists, list_rows, "list_id long, sid long"), "lists")
     points, done = None, pairs
-    for only_best in (True, False):
+    for nearest in (NEAREST, None):
         labelled = lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         several = labelled.groupBy("list_id").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("list_id")
         still = materialise(labelled.join(several, "list_id"), "open-lists")
@@ -373,10 +378,11 @@ def link_components(docs: DataFrame) -> DataFrame:
             wanted = still.select("sid").distinct().join(homes, "sid")
             points = materialise(map_batches(texts_of(docs, wanted).select("sid", "text"), set_vectors, "sid long, n long, vector binary").dropDuplicates(["sid"]), "points")
         rows = still.join(points, "sid").withColumn("block", F.pmod("list_id", F.lit(shards)))
-        found = rows.groupBy("block").applyInPandas(open_pairs(only_best), "a long, b long, la long, lb long, score double")
-        if only_best:
-            found = found.groupBy("la", "lb").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
-        more = materialise(found.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "open-pairs")
+        found = rows.groupBy("block").applyInPandas(open_pairs(nearest), "a long, b long, score double")
+        if nearest:
+            found = found.distinct().withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("place") <= nearest)
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = materialise(found.join(done, ["a", "b"], "left_anti"), "open-pairs")
         links, done = links.unionByName(verify(more, docs, homes)), done.unionByName(more)
         labels = components(links)
         lists = still.select("list_id", "sid")
