@@ -27,6 +27,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from labelforge.llm.common import WordTable, hash64, map_batches, materialise
 
 SHINGLE = 5
-GROUPS, MOST_GROUPS = 64, 1 << 14
+GROUPS, MOST_GROUPS = 64, 1 << 24
 FLUSH = 400_000
 BITS = 1 << 20
 #: Members of a star that meet its centre in one task.
@@ -81,13 +82,18 @@ def coordinates(n: int) -> int:
 
 
 def vectors(shingles: np.ndarray) -> np.ndarray:
+    """Counts of one byte; more coordinates in the case that one doesn't fit."""
     m = coordinates(len(shingles))
-    return np.bincount((shingles >> np.uint64(65 - m.bit_length())).astype(np.int64), minlength=m).astype(np.uint16)
+    while True:
+        v = np.bincount((shingles >> np.uint64(65 - m.bit_length())).astype(np.int64), minlength=m)
+        if v.max(initial=0) < 256:
+            return v.astype(np.uint8)
+        m *= 2
 
 
 def fold(vector: np.ndarray, m: int) -> np.ndarray:
     """The same counts over m coordinates: groups are ranges of hashes, so neighbours are added."""
-    return vector if len(vector) == m else vector.reshape(m, -1).sum(1, dtype=np.uint16)
+    return vector.reshape(m, -1).sum(1, dtype=np.uint32)
 
 
 def bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -140,9 +146,10 @@ def group_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def set_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and count vector of the sets that are asked for; a text under a repeated id may be another set."""
+    """Size and packed count vector of the sets that are asked for; a text under a repeated id may be another set."""
+    packer = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        rows = [(i, len(s), vectors(s).tobytes()) for i, x in zip(b.column("sid").to_pylist(), b.column("text").to_pylist(), strict=True) if set_id(s := shingle_set(x)) == i]
+        rows = [(i, len(s), packer.compress(vectors(s).tobytes())) for i, x in zip(b.column("sid").to_pylist(), b.column("text").to_pylist(), strict=True) if set_id(s := shingle_set(x)) == i]
         sid, n, vector = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(vector, pa.binary())], ["sid", "n", "vector"])
 
@@ -317,10 +324,10 @@ def open_pairs(nearest: int | None):
         return pairs if nearest is None else pairs.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a", sort=False).head(nearest)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, held = [], 0
+        found, held, opener = [], 0, zstandard.ZstdDecompressor()
         for _, one in pdf.groupby("list_id", sort=False):
             sid, n, label = one["sid"].to_numpy(), one["n"].to_numpy(), one["label"].to_numpy()
-            own = [np.frombuffer(v, np.uint16) for v in one["vector"]]
+            own = [np.frombuffer(opener.decompress(v), np.uint8) for v in one["vector"]]
             m = min(map(len, own))
             for i, j, overlap in tree_join(np.stack([fold(v, m) for v in own]), n, label):
                 score = overlap / (n[i] + n[j])
@@ -351,6 +358,17 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (list_id, sid, n, label) of lists with more than one component, without the sets that are too small or large to
+    link to any other of their list: in order of size it is enough to look at both neighbours."""
+    labelled = lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    several = labelled.groupBy("list_id").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("list_id")
+    along = Window.partitionBy("list_id").orderBy("n", "sid")
+    near = [F.lag("n").over(along) * 5 >= F.col("n") * 4, F.col("n") * 5 >= F.lead("n").over(along) * 4]
+    near = F.coalesce(near[0], F.lit(False)) | F.coalesce(near[1], F.lit(False))
+    return labelled.join(several, "list_id").withColumn("near", near).where("near").drop("near")
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, sid and component_id of every document."""
     docs = docs.select("doc_id", "text")
@@ -361,31 +379,33 @@ def link_components(docs: DataFrame) -> DataFrame:
     known = met.where(F.col("kind") == ROW).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("sid"))
     votes = met.where(F.col("kind") == EDGE).groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = materialise(votes.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "star-pairs")
-    homes = known.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    homes = known.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     homes = materialise(homes, "homes")
+    homes, sizes = homes.drop("n"), homes.drop("doc_id")
     links = verify(pairs, docs, homes)
     labels = components(links)
     lists = met.where(F.col("kind") == LIST).select(F.col("a").alias("list_id"), "members").dropDuplicates(["list_id"])
     lists = materialise(map_batches(lists, list_rows, "list_id long, sid long"), "lists")
     points, done = None, pairs
     for nearest in (NEAREST, None):
-        labelled = lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        several = labelled.groupBy("list_id").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("list_id")
-        still = materialise(labelled.join(several, "list_id"), "open-lists")
+        still = materialise(open_lists(lists.join(sizes, "sid"), labels), "open-lists")
         if still.isEmpty():
             break
         if points is None:
             wanted = still.select("sid").distinct().join(homes, "sid")
             points = materialise(map_batches(texts_of(docs, wanted).select("sid", "text"), set_vectors, "sid long, n long, vector binary").dropDuplicates(["sid"]), "points")
-        rows = still.join(points, "sid").withColumn("block", F.pmod("list_id", F.lit(shards)))
-        found = rows.groupBy("block").applyInPandas(open_pairs(nearest), "a long, b long, score double")
+        rows = still.drop("n").join(points, "sid").withColumn("block", F.pmod("list_id", F.lit(shards)))
+        found = rows.groupBy("block").applyInPandas(open_pairs(nearest and nearest + 1), "a long, b long, score double").distinct()
         if nearest:
-            found = found.distinct().withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("place") <= nearest)
+            place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
+            found = materialise(found.withColumn("place", place).where(F.col("place") <= nearest + 1), "nearest")
+            # A pair is left out only if both have more partners than that: the next round needs no other sets.
+            crowded = found.where(F.col("place") > nearest).select(F.col("a").alias("sid"))
+            lists, found = lists.join(crowded, "sid", "left_semi"), found.where(F.col("place") <= nearest)
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = materialise(found.join(done, ["a", "b"], "left_anti"), "open-pairs")
         links, done = links.unionByName(verify(more, docs, homes)), done.unionByName(more)
         labels = components(links)
-        lists = still.select("list_id", "sid")
 
     labels = materialise(known.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "labels")
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
