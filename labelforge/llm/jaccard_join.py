@@ -258,7 +258,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     2**20 numbers keeps most other texts out of the shuffle."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
     bits = F.broadcast(wanted.select(bit.alias("bit")).distinct())
-    return docs.withColumn("bit", bit).join(bits, "bit", "left_semi").drop("bit").join(wanted, "doc_id")
+    return docs.withColumn("bit", bit).join(bits, "bit", "left_semi").drop("bit").join(wanted.hint("merge"), "doc_id")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, homes: DataFrame) -> DataFrame:
