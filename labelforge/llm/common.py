@@ -78,7 +78,7 @@ def hash64(data: bytes) -> int:
 class WordTable(dict):
     """Word -> value, made on first use; emptied when full, so that memory stays bounded."""
 
-    def __init__(self, make: Callable, most: int = 300_000):
+    def __init__(self, make: Callable, most: int = 150_000):
         super().__init__()
         self.make, self.most = make, most
 

@@ -32,7 +32,7 @@ SPACE = "▁"
 #: A unit: spaces and what follows them, or a newline.
 _UNITS = re.compile("\n| *[^ \n]+| +")
 #: Lattices are forgotten beyond so many edges: 16 bytes each, and their units about as much again.
-MOST_EDGES = 10_000_000
+MOST_EDGES = 2_500_000
 
 
 class Pieces:
