@@ -44,18 +44,19 @@ def _sides(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.join(b, list(by))
 
 
-def _first(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "c_ord").orderBy(*order))).where("_n = 1").drop("_n")
+def _first(df: DataFrame, by: Sequence[str], order: Sequence[Column], also: Sequence[str] = ()) -> DataFrame:
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "c_ord", *also).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def nearest_below(captions: DataFrame, values: DataFrame, by: Sequence[str], max_gap: float, min_overlap: float = 0.25) -> DataFrame:
-    """For each caption the first value below it: it starts at most max_gap under the caption's end (or overlaps that by
+def nearest_below(captions: DataFrame, values: DataFrame, by: Sequence[str], max_gap: float, min_overlap: float = 0.25, test: Column | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """For each caption (and each value of `also`, columns c_...) the first value below it that passes the test: it starts at most max_gap under the caption's end (or overlaps that by
     at most 0.3 of its height) and shares at least min_overlap of the narrower width. Smallest y0, then reading order."""
     x = _sides(captions, values, by)
     high = F.col("c_y1") - F.col("c_y0")
     below = (F.col("v_ord") != F.col("c_ord")) & (F.col("v_y0") >= F.col("c_y1") - high * 0.3) & (F.col("v_y0") - F.col("c_y1") <= max_gap)
     wide = span_overlap(F.col("c_x0"), F.col("c_x1"), F.col("v_x0"), F.col("v_x1")) >= min_overlap
-    return _first(x.where(below & wide), by, [F.col("v_y0"), F.col("v_ord")])
+    found = x.where(below & wide)
+    return _first(found if test is None else found.where(test), by, [F.col("v_y0"), F.col("v_ord")], also)
 
 
 def same_row(captions: DataFrame, values: DataFrame, by: Sequence[str], test: Column | None = None) -> DataFrame:
