@@ -8,12 +8,13 @@ feed, documents and conversations for recognised texts and readings.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions import geom, num, text
-from labelforge.operators import analytics, classify, layout, mutate, reconcile, registers, rules
+from labelforge.operators import analytics, classify, layout, mutate, readers, reconcile, registers, rules
 from labelforge.sources.tables import table
 from labelforge.streaming import events as feed
 
@@ -414,6 +415,36 @@ def union_boxes(spark, d):
     return _boxes(spark, d).groupBy("image_id").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+def part_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as labels of up to six lines: prices beside, below or without a caption, dates, origins, licences."""
+    k, r = F.col("p_partkey"), F.floor("p_retailprice").cast("string")
+    by_5 = lambda *x: reduce(lambda c, i: c.when(k % 5 == i, x[i]), range(len(x)), F.when(F.lit(False), ""))
+    month = F.lpad((k % 12 + 1).cast("string"), 2, "0")
+    texts = F.array(
+        by_5(F.concat(F.lit("MRP Rs. "), r, F.lit(".00")), F.concat(F.lit("MRP Rs. "), r), F.concat(F.lit("Rs "), r, F.lit("/-")), F.lit("Maximum Retail Price")),
+        by_5(F.lit("(incl. of all taxes)"), F.lit("contents"), F.lit("contents"), F.concat(F.lit("Rs. "), r, F.lit(".00"))),
+        F.when(k % 3 == 0, F.concat(F.lit("Mfg. Date: "), month, F.lit("/2024"))).otherwise(F.concat(month, F.lit("/2024"))),
+        F.when(k % 2 == 0, "Best before 18 months").otherwise(F.concat(F.lit("15/"), month, F.lit("/2026"))),
+        F.when(k % 3 == 0, "Made in Sri Lanka").otherwise("Country of origin: India"),
+        F.when(k % 7 == 0, F.concat(F.lit("1001"), F.lpad(k.cast("string"), 10, "0"))),
+    )
+    x = table(spark, d, "part").select("p_partkey", F.posexplode(texts).alias("ord", "text"))
+    y0 = F.col("ord") * 30.0
+    return x.select("p_partkey", "ord", "text", F.lit(0.9).alias("confidence"), F.lit(0.0).alias("x0"), y0.alias("y0"), F.lit(200.0).alias("x1"), (y0 + 20).alias("y1"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 5 AS k, floor(p_retailprice)::BIGINT::VARCHAR AS r, lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') AS m FROM part)
+  SELECT p_partkey, 'MRP' AS key, CASE k WHEN 0 THEN 'Rs. ' || r || '.00 (incl. of all taxes)' WHEN 1 THEN 'MRP Rs. ' || r WHEN 2 THEN 'Rs ' || r ELSE 'Maximum Retail Price Rs. ' || r || '.00' END AS value,
+    CASE k WHEN 3 THEN 1 ELSE 0 END AS ord, 90 AS confidence_pct FROM p WHERE k < 4
+  UNION ALL SELECT p_partkey, 'DATE_OF_PACKING', m || '/2024', 2, CASE WHEN p_partkey % 3 = 0 THEN 90 ELSE 80 END FROM p
+  UNION ALL SELECT p_partkey, 'BEST_BEFORE', CASE WHEN p_partkey % 2 = 0 THEN '18 months' ELSE '15/' || m || '/2026' END, 3, CASE WHEN p_partkey % 2 = 0 THEN 90 ELSE 80 END FROM p
+  UNION ALL SELECT p_partkey, 'COUNTRY_OF_ORIGIN', CASE WHEN p_partkey % 3 = 0 THEN 'Sri Lanka' ELSE 'India' END, 4, 90 FROM p
+  UNION ALL SELECT p_partkey, 'FSSAI_LICENSE', '1001' || lpad(p_partkey::VARCHAR, 10, '0'), 5, 90 FROM p WHERE p_partkey % 7 = 0""")
+def label_fields(spark, d):
+    f = readers.fields(part_lines(spark, d), ["p_partkey"])
+    return f.select("p_partkey", "key", "value", "ord", F.floor(F.col("confidence") * 100 + 0.5).cast("int").alias("confidence_pct"))
+
+
 # --- texts
 
 
