@@ -2,7 +2,8 @@
 
 Plain: the contract's patterns, leftmost and non-overlapping per kind. Disguised: transducers rewrite look-alike
 letters and digits, invisible characters, spelled digits and at/dot disguises; each character of the rewritten text knows
-the span of the source that it stands for, so what the same patterns find there maps back. Such a span counts only if
+the span of the source that it stands for, so what the same patterns find there maps back. A bare "at" before a plain domain
+is an @ unless what stands around it makes the domain a web address (NOT_MAILBOXES, "www.", a path). Such a span counts only if
 it holds something rewritten and overlaps no plain span of its kind. Offsets are code points, end exclusive.
 
 Defined cases: a null text is empty; an empty text has no spans; texts are used whole; rows are independent, so repeats and
@@ -81,16 +82,20 @@ _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|chez|bei)", r"(?:dot|punkt|punto|point)"
 _DOT = rf"(?:\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}\s*|\s+{_DOT_WORD}\s+)"
-_ATOM = r"[A-Za-z0-9-]+"
+_ATOM = r"[A-Za-z0-9-]++"
+# What stands before "at" and a web address, not before a mail domain.
+NOT_MAILBOXES = frozenset("us me you it him them here there is are was were be available found online look looked looking visit see website site more shop order buy read learn download hosted".split())
 _RULES = re.compile(
-    rf"(?P<at>\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_CLOSE}\s*(?={_ATOM}(?:{_DOT}|\.){_ATOM})|\s+{_AT_WORD}\s+(?={_ATOM}(?:{_DOT}){_ATOM}))"
+    rf"(?P<at>\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_CLOSE}\s*(?={_ATOM}(?:{_DOT}|\.){_ATOM})|\s+{_AT_WORD}\s+(?={_ATOM}(?:\.{_ATOM})*(?:{_DOT}){_ATOM}))"
+    rf"|(?P<bare>(?<=[A-Za-z0-9_%+-])[^\S\n\r]+{_AT_WORD}[^\S\n\r]+(?=(?P<domain>{_ATOM}(?:\.{_ATOM})+)))"
     rf"|(?P<plus>(?<![^\W_])(?:plus|más)[\s-]+(?=(?:{_WORDS}|[0-9])(?![^\W_])))"
     rf"|(?P<digits>(?<![^\W_])(?:{_WORDS}|[0-9]+)(?:(?:{_DOT}|[\s.-]+)(?:{_WORDS}|[0-9]+))+(?![^\W_]))"
     rf"|(?P<dot>(?<=[A-Za-z0-9])(?:{_DOT})(?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )
 _UNIT = re.compile(rf"({_WORDS})|([0-9]+)|({_DOT}|\s*\.\s*)|([\s-]+)", re.IGNORECASE)
-_TRIGGER = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s*{_CLOSE}|\s{_DOT_WORD}\s|\b(?:{_WORDS})[\s.-]+(?:{_WORDS}|[0-9]+)\b", re.IGNORECASE)
+_SPELLED_DOT = re.compile(_DOT, re.IGNORECASE)
+_TRIGGER = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s*{_CLOSE}|\s{_DOT_WORD}\s|\s{_AT_WORD}\s+{_ATOM}\.[A-Za-z0-9]|\b(?:{_WORDS})[\s.-]+(?:{_WORDS}|[0-9]+)\b", re.IGNORECASE)
 _ODD = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "！-～٠-٩۰-۹०-९]")
 
 
@@ -128,12 +133,27 @@ def _odd_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _is_mail(text: str, m: re.Match) -> bool:
+    """Whether a bare at-word before a plain domain is an @: the domain ends in letters and no path or call follows it."""
+    last = m["domain"].rpartition(".")[2]
+    if not (len(last) > 1 and last.isalpha() and (last.islower() or m["domain"].isupper())) or text[m.end("domain") : m.end("domain") + 1] in ("/", "("):
+        return False
+    before = text[max(0, m.start() - 64) : m.start()]
+    return before[len(before.rstrip(LOCAL)) :].lower() not in NOT_MAILBOXES and not m["domain"].lower().startswith("www.")
+
+
 def _rule_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _RULES.finditer(text):
-        if m["digits"] is None:
+        if m["bare"]:
+            if _is_mail(text, m):
+                edits.append((m.start(), m.end(), "@"))
+        elif m["digits"] is None:
             edits.append((m.start(), m.end(), "@" if m["at"] else "." if m["dot"] else "+"))
-        elif not m[0][0].isdigit() or re.search(_WORDS, m[0], re.IGNORECASE):
+        elif not any(u[1] for u in _UNIT.finditer(m[0])):
+            # Only digits: what is spelled out between them is a dot, all else is plain already.
+            edits += [(m.start() + u.start(), m.start() + u.end(), ".") for u in _SPELLED_DOT.finditer(m[0])]
+        else:
             # Digit by digit, so that ends stay exact; what separates them goes, but for dots.
             for u in _UNIT.finditer(m[0]):
                 a, b = m.start() + u.start(), m.start() + u.end()
