@@ -35,15 +35,28 @@ def first_number(text: Column) -> Column:
     return F.coalesce(found.try_cast("double"), F.lit(0.0))
 
 
+def first_cents(text: Column) -> Column:
+    """The first number in whole hundredths, halves up: 0 without a number or text, null beyond a long."""
+    found = F.replace(F.regexp_extract(text, r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(","), F.lit(""))
+    number, exact = first_number(text), found.try_cast("decimal(38,6)")
+    # From 2**53 hundredths on a double no longer holds each of them.
+    return F.when(number < 2.0**53 / 100, F.floor(number * 100 + 0.5)).when(exact <= F.lit("92233720368547758").cast("decimal(38,6)"), F.floor(exact.cast("decimal(24,6)") * 100 + F.lit("0.5").cast("decimal(2,1)"))).cast("long")
+
+
 def letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
 
 
+# Short forms that count as words.
+_SHORT_FORM = r"(?i)^(?:ltd|pvt|llp|inc|co|mfg|mfd|mktd|regd|no|st|rd|dist|distt|po|hp|mh|tn|ka|up|wb|ap|ts|gj|rj|mp|dl|hr|pb|uk|jk|blr|hyd|ph|tel|fssai)\.?,?\z"
+
+
 def looks_like_words(text: Column, share: float = 0.6) -> Column:
-    """At least that share of the tokens, rounded up, are three letters or more with a vowel."""
-    tokens = F.filter(F.split(F.trim(text), BLANK + "+"), lambda w: w != "")
-    good = F.filter(tokens, lambda w: (letters(w) >= 3) & w.rlike("(?i)[aeiouy]"))
-    return (F.size(tokens) > 0) & (F.size(good) >= F.ceil(F.size(tokens) * share))
+    """At least that share of the tokens with a letter, rounded up, are short forms, or three letters or more with a vowel
+    and no odd character. False for null and for texts without such tokens."""
+    tokens = F.filter(F.split(text, BLANK + "+"), lambda w: w.rlike("[A-Za-z]"))
+    good = F.filter(tokens, lambda w: w.rlike(_SHORT_FORM) | ((letters(w) >= 3) & w.rlike("(?i)[aeiouy]") & ~w.rlike(r"[^A-Za-z0-9&()'.,\-/%+]")))
+    return F.coalesce((F.size(tokens) > 0) & (F.size(good) >= F.ceil(F.size(tokens) * share)), F.lit(False))
 
 
 def mask_phone(text: Column) -> Column:

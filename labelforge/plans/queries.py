@@ -467,6 +467,18 @@ def looks_like_words(spark, d):
     return rows.select("doc_id", F.size(F.filter(words, lambda w: text.letters(w) >= 3)).cast("long").alias("wordlike"))
 
 
+@query()
+def extract_numbers_all(spark, d):
+    """extract_numbers without its limit of 15 characters, which its SQL needs: a row for every document."""
+    return table(spark, d, "documents").select("doc_id", text.first_cents(F.col("text")).alias("number_cents"))
+
+
+@query()
+def looks_like_words_all(spark, d):
+    """Whether a text reads as words, for every document."""
+    return table(spark, d, "documents").select("doc_id", text.looks_like_words(F.col("text")).alias("wordlike"))
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x{a0}\x{feff}]+', ' ', 'g')) AS shown FROM pages""")
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("shown"))
