@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def better(a: Column, b: Column, band: float = 0.08) -> Column:
@@ -16,14 +18,53 @@ def better(a: Column, b: Column, band: float = 0.08) -> Column:
 
 
 def best_readings(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str = "value", confidence: str = "confidence", band: float = 0.08) -> DataFrame:
-    """Left fold of better() in order. It isn't transitive, so the order is part of the input; a key's readings are its
-    passes and panels, tens at most."""
-    one = F.struct(*[F.col(o).alias(f"_{i}") for i, o in enumerate(order)], F.col(confidence).cast("double").alias("confidence"), F.col(value).alias("value"))
-    grouped = df.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_all"))
-    pair = lambda r: F.struct(r["confidence"].alias("confidence"), r["value"].alias("value"))
-    start = pair(F.element_at("_all", 1))
-    grouped = grouped.withColumn("_best", F.aggregate(F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))), start, lambda a, r: better(a, pair(r), band)))
-    return grouped.select(*by, F.col("_best.value").alias("value"), F.col("_best.confidence").alias("confidence"), F.size("_all").cast("long").alias("n_readings"))
+    """Left fold of better() in order. It isn't transitive, so the order is part of the input and one task folds a key's
+    readings. It reads them sorted, batch by batch, and holds one: a key of any size takes bounded memory. A key with null
+    values only stays, with a null value."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(confidence).cast("double").alias("confidence"), F.col(value).alias("value"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*rows.columns).select(*keys, "value", "confidence")
+    schema = StructType([*dealt.schema.fields, StructField("n_readings", LongType())])
+
+    def greater(a: float, b: float) -> bool:  # as in Spark, NaN is above all numbers
+        return a > b or (a != a and b == b)
+
+    def wins(a: tuple, b: tuple) -> bool:
+        if a[0] is None or b[0] is None:
+            return a[0] is None
+        if a[1] is not None and b[1] is not None and greater(abs(a[1] - b[1]), band):
+            return greater(b[1], a[1])
+        return len(b[0]) > len(a[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, best, n = None, None, 0
+        done = []
+        shape = None
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, shape.types, strict=True)], shape.names)
+
+        for batch in batches:
+            shape = shape or pa.schema([*batch.schema, pa.field("n_readings", pa.int64())])
+            values = [c.to_pylist() for c in batch.columns]
+            for *at, v, c in zip(*values, strict=True):
+                if at != key:
+                    if key is not None:
+                        done.append((*key, *best, n))
+                    key, best, n = at, (v, c), 1
+                else:
+                    best, n = (v, c) if wins(best, (v, c)) else best, n + 1
+            if len(done) >= 1000:
+                yield out()
+                done = []
+        if key is not None:
+            done.append((*key, *best, n))
+        if done:
+            yield out()
+
+    folded = dealt.mapInArrow(run, schema)
+    return folded.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "value", "confidence", "n_readings")
 
 
 def pass_score(fields: Column, words: Column, mean: Column, by_fields: bool = True) -> Column:

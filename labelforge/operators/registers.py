@@ -49,6 +49,13 @@ def nest(parents: DataFrame, children: DataFrame, parent_key: str, child_key: st
     return parents.join(grouped, parent_key, "left").withColumn(into, F.coalesce(into, F.array().cast(grouped.schema[into].dataType)))
 
 
+def ends(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, order: Sequence[str], field: str) -> DataFrame:
+    """Each parent with the number of its children and a field of the first and the last in order, without gathering them."""
+    by = F.struct(*order)
+    grouped = children.groupBy(F.col(child_key).alias(parent_key)).agg(F.count("*").alias("n"), F.min_by(field, by).alias("first"), F.max_by(field, by).alias("last"))
+    return parents.join(grouped, parent_key, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 10) -> DataFrame:
     """Page `number` from 0 in a total order. Spark keeps only the first (number + 1) * size rows of each task."""
     return df.orderBy(*order).offset(max(0, number) * size).limit(size)

@@ -152,9 +152,8 @@ _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shi
 @query(f"""WITH c AS (SELECT l_orderkey, count(*) AS n, arg_min(l_partkey, ({_ORDER})) AS f, arg_max(l_partkey, ({_ORDER})) AS l FROM lineitem GROUP BY 1)
   SELECT o_orderkey, coalesce(n, 0)::BIGINT AS n_findings, f AS first_part, l AS last_part FROM orders LEFT JOIN c ON l_orderkey = o_orderkey""")
 def nest_findings(spark, d):
-    order = _ORDER.split(", ")
-    rows = registers.nest(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", order, ["l_returnflag"], "findings")
-    return rows.select("o_orderkey", F.size("findings").cast("long").alias("n_findings"), F.try_element_at("findings", F.lit(1))["l_partkey"].alias("first_part"), F.try_element_at("findings", F.lit(-1))["l_partkey"].alias("last_part"))
+    rows = registers.ends(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", _ORDER.split(", "), "l_partkey")
+    return rows.select("o_orderkey", F.col("n").alias("n_findings"), F.col("first").alias("first_part"), F.col("last").alias("last_part"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
@@ -580,5 +579,4 @@ def session(spark, d):
 @query("""SELECT user_id, CASE WHEN count_if(event_type = 'purchase') > 0 THEN 'CLOSED' ELSE 'UNDER_REVIEW' END AS stage FROM events GROUP BY 1""")
 def review_stage(spark, d):
     decision = F.when(F.col("event_type") == "purchase", "CLOSE").otherwise("NOTE")
-    grouped = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", decision.alias("d")))).alias("all"))
-    return grouped.select("user_id", feed.stage_of(F.transform("all", lambda x: x["d"])).alias("stage"))
+    return feed.stages(table(spark, d, "events"), "user_id", decision)

@@ -39,6 +39,12 @@ def stage_of(decisions: Column, start: str = "AI_COMPLETE") -> Column:
     return F.aggregate(decisions, F.lit(start), step)
 
 
+def stages(events: DataFrame, key: str, decision: Column) -> DataFrame:
+    """The stage of each key by stage_of(), which doesn't depend on the decisions' order: two counts a key, no arrays."""
+    n = events.groupBy(key).agg(F.count_if(decision == "CLOSE").alias("closing"), F.count(decision).alias("any"))
+    return n.select(key, F.when(F.col("closing") > 0, "CLOSED").when(F.col("any") > 0, "UNDER_REVIEW").otherwise("AI_COMPLETE").alias("stage"))
+
+
 def keep_current(stream: DataFrame, recompute: Callable[[DataFrame, int], None], checkpoint: str, every: str = "60 seconds"):
     """Calls `recompute` with every micro-batch; a batch that is repeated after a failure has the same number."""
     return stream.writeStream.foreachBatch(recompute).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
