@@ -5,8 +5,9 @@ additive smoothing. Expectation-maximisation gives each text's proportions. The
 language that the full mixture favours most joins if the log-likelihood rises by more than the penalty, PENALTY + ln(words).
 The prediction is the language with the largest proportion in the final set, the score that proportion.
 
-Counts are taken from all documents of the training folds; the model is (languages x 2**15) numbers and goes to the
-executors (64 languages are 8 MB, the most allowed).
+Counts are taken from all documents of the training folds; the model is a table in the shared folder, one row of 2**15
+numbers a language. Workers read it in blocks of BLOCK languages, so there may be any number of them: the languages that a
+block's mixtures choose, and the SPARE best of the others, meet the next block's. Up to BLOCK languages are one block.
 
 Defined cases: null texts and texts without letters are `und` with score 0; documents without language aren't learned
 from; with nothing to learn from all is `und`; repeated rows count each.
@@ -15,17 +16,21 @@ from; with nothing to learn from all is `und`; repeated rows count each.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import fold, map_batches
+from labelforge.llm.common import fold, map_batches, materialise, scratch
 
 BUCKETS = 1 << 15
-MOST_LANGUAGES = 64
+BLOCK, SPARE = 64, 8
+HELD_BLOCKS = 4  # more are read again for each batch of texts
 PENALTY = 6.0
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,22 +61,52 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], ["lang", "bucket", "n"])
 
 
-def learn(docs: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities by bucket."""
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in b.to_pylist():
+            c = np.full(BUCKETS, 0.5)
+            for x in row["counts"]:
+                c[x["bucket"]] += x["n"]
+            yield pa.RecordBatch.from_arrays([pa.array([row["lang"]], pa.string()), pa.array([np.log(c / c.sum()).astype(np.float32).tobytes()], pa.binary())], ["lang", "vector"])
+
+
+def fit(docs: DataFrame, folds: int = 5, held_out: int = 0) -> str:
+    """Writes the model to the shared folder: (lang, vector), in the order of lang."""
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(F.coalesce(fold(F.col("doc_id")) % folds != held_out, F.lit(True)))
     sums = map_batches(rows.select("text", "lang"), _count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts: dict[str, np.ndarray] = {}
-    for lang, bucket, n in sums.toLocalIterator():
-        if lang not in counts:
-            if len(counts) == MOST_LANGUAGES:
-                raise ValueError(f"more than {MOST_LANGUAGES} languages")
-            counts[lang] = np.zeros(BUCKETS)
-        counts[lang][bucket] = n
-    languages = sorted(counts)
-    if not languages:
-        return [], np.zeros((0, BUCKETS))
-    c = np.stack([counts[x] for x in languages]) + 0.5
-    return languages, np.log(c / c.sum(1, keepdims=True))
+    # At most BUCKETS entries a language, however many its documents are.
+    counts = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
+    where = scratch(docs.sparkSession, "languages")
+    materialise(map_batches(counts, _vectors, "lang string, vector binary"), "language-vectors").orderBy("lang").write.parquet(where)
+    return where
+
+
+def blocks(where: str) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Languages and their log-probabilities (buckets x languages), BLOCK at a time."""
+    store, path = fs.FileSystem.from_uri(where)
+    names, vectors = [], []
+
+    def table() -> np.ndarray:
+        return np.ascontiguousarray(np.stack([np.frombuffer(v, np.float32) for v in vectors]).T)
+
+    for info in sorted(store.get_file_info(fs.FileSelector(path)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with pq.ParquetFile(store.open_input_file(info.path)) as f:
+                for b in f.iter_batches(BLOCK):
+                    for lang, vector in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                        names.append(lang)
+                        vectors.append(vector)
+                        if len(names) == BLOCK:
+                            yield names, table()
+                            names, vectors = [], []
+    if names:
+        yield names, table()
+
+
+def learn(docs: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[list[str], np.ndarray]:
+    """All languages and their log-probabilities by bucket, on the driver."""
+    found = list(blocks(fit(docs, folds, held_out)))
+    return [x for names, _ in found for x in names], np.concatenate([np.zeros((0, BUCKETS)), *[t.T for _, t in found]])
 
 
 def _mix(p: np.ndarray, of: np.ndarray, first: np.ndarray, n: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,32 +118,19 @@ def _mix(p: np.ndarray, of: np.ndarray, first: np.ndarray, n: np.ndarray, pi: np
     return pi, np.add.reduceat(np.log((p * pi[of]).sum(1) + 1e-300), first)
 
 
-def proportions(texts: list[str | None], table: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """(texts x languages); a row of zeros where a text has no letters. table: buckets x languages."""
-    out = np.zeros((len(texts), table.shape[1]))
-    words, counts = [], []
-    for t in texts:
-        w = _WORD.findall((t or "").lower())
-        words += w
-        counts.append(len(w))
-    if not words:
-        return out
-    counts = np.array(counts)
-    rows = np.flatnonzero(counts)
-    n = counts[rows]
-    buckets, begin = trigrams(words)
-    ll = np.add.reduceat(table[buckets], begin).astype(np.float64)
+def _choose(ll: np.ndarray, n: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """ll: words x languages; n: words of each text. Proportions in the chosen set and in the full mixture."""
     first = np.cumsum(n) - n
     single = np.add.reduceat(ll, first)
     top = ll.max(1, keepdims=True)
     p, shift = np.exp(np.maximum(ll - top, -50)), np.add.reduceat(top[:, 0], first)
-    of = np.repeat(np.arange(len(rows)), n)
-    full, _ = _mix(p, of, first, n, np.full((len(rows), table.shape[1]), 1 / table.shape[1]), 6)
+    of = np.repeat(np.arange(len(n)), n)
+    full, _ = _mix(p, of, first, n, np.full((len(n), ll.shape[1]), 1 / ll.shape[1]), 6)
     best = single.argmax(1)
     chosen = np.zeros_like(full)
-    chosen[np.arange(len(rows)), best] = 1.0
-    value = single[np.arange(len(rows)), best] - shift
-    open_ = np.ones(len(rows), bool)
+    chosen[np.arange(len(n)), best] = 1.0
+    value = single[np.arange(len(n)), best] - shift
+    open_ = np.ones(len(n), bool)
     while True:  # each round offers every open text the next language of its full mixture
         rest = np.where(chosen > 0, 0, full)
         new = rest.argmax(1)
@@ -124,22 +146,62 @@ def proportions(texts: list[str | None], table: np.ndarray, penalty: float = PEN
         better = like - value[at] > penalty + np.log(size)
         chosen[at[better]], value[at[better]] = pi[better], like[better]
         open_[at[~better]] = False
-    out[rows] = chosen
+    return chosen, full
+
+
+def _read(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    found = [_WORD.findall((t or "").lower()) for t in texts]
+    return [w for words in found for w in words], np.array([len(words) for words in found], np.int64)
+
+
+def proportions(texts: list[str | None], table: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """(texts x languages); a row of zeros where a text has no letters. table: buckets x languages."""
+    out = np.zeros((len(texts), table.shape[1]))
+    words, counts = _read(texts)
+    if words:
+        buckets, begin = trigrams(words)
+        out[counts > 0] = _choose(np.add.reduceat(table[buckets], begin).astype(np.float64), counts[counts > 0], penalty)[0]
+    return out
+
+
+def mixtures(texts: list[str | None], model: Iterable[tuple[list[str], np.ndarray]], penalty: float = PENALTY) -> list[list[tuple[str, float]]]:
+    """Each text's languages with their proportions, the largest first."""
+    out: list[list[tuple[str, float]]] = [[] for _ in texts]
+    words, counts = _read(texts)
+    if not words:
+        return out
+    rows = np.flatnonzero(counts)
+    n = counts[rows]
+    of = np.repeat(np.arange(len(rows)), n)
+    buckets, begin = trigrams(words)
+    ll = own = chosen = full = None
+    for names, table in model:
+        new = np.add.reduceat(table[buckets], begin).astype(np.float64)
+        here = np.broadcast_to(np.array(names, object), (len(rows), len(names)))
+        if ll is not None:
+            width = min(full.shape[1], int((chosen > 0).sum(1).max()) + SPARE)
+            held = np.argsort(-((chosen > 0) * 2 + full), axis=1, kind="stable")[:, :width]
+            new = np.concatenate([np.take_along_axis(ll, held[of], 1), new], 1)
+            here = np.concatenate([np.take_along_axis(own, held, 1), here], 1)
+        ll, own = new, here
+        chosen, full = _choose(ll, n, penalty)
+    for k, row in enumerate(rows if ll is not None else []):
+        out[row] = [(own[k, j], float(chosen[k, j])) for j in np.argsort(-chosen[k], kind="stable") if chosen[k, j] > 0]
     return out
 
 
-def identify(docs: DataFrame, languages: list[str], table: np.ndarray, folds: int = 5, held_out: int = 0) -> DataFrame:
+def identify(docs: DataFrame, where: str, folds: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred, score, and `languages`: the chosen set with proportions in hundredths."""
-    shipped = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket = shipped.value
+        held = None
         for b in batches:
-            texts = b.column("text").to_pylist()
-            pi = proportions(texts, by_bucket) if languages else np.zeros((len(texts), 1))
-            best, score = pi.argmax(1), np.clip(pi.max(1), 0, 1)
-            names = [languages[k] if s > 0 else "und" for k, s in zip(best.tolist(), score.tolist(), strict=True)]
-            sets = [",".join(f"{languages[k]}:{round(100 * row[k])}" for k in np.argsort(-row, kind="stable") if row[k] > 0) for row in pi]
+            if held is None:
+                held = list(islice(blocks(where), HELD_BLOCKS + 1))
+            found = mixtures(b.column("text").to_pylist(), held if len(held) <= HELD_BLOCKS else blocks(where))
+            names = [x[0][0] if x else "und" for x in found]
+            score = [min(x[0][1], 1.0) if x else 0.0 for x in found]
+            sets = [",".join(f"{lang}:{round(100 * p)}" for lang, p in x) for x in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], ["doc_id", "lang_pred", "score", "languages"])
 
     found = map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, languages string")
@@ -147,4 +209,4 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, folds: in
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    return identify(docs, *learn(docs))
+    return identify(docs, fit(docs))
