@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelforge.sources.scratch import written
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, update: Sequence[str] | None = None) -> DataFrame:
     """Rows of both; where a key is in both, the columns of `update` (all if None) come from the new row, others stay."""
@@ -50,8 +52,8 @@ def clear_reference(df: DataFrame, key: str, gone: DataFrame, gone_key: str) ->
 
 def number_on(df: DataFrame, last: int, order: Sequence[Column], into: str) -> DataFrame:
     """Consecutive numbers after `last`. Ranges are numbered apart and shifted by the counts before them, so no task
-    sees all rows."""
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    sees all rows. The ranges are written once: dealt twice, they would be cut at other places."""
+    dealt = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     own = Window.partitionBy("_part").orderBy(*order)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
