@@ -30,6 +30,9 @@ FRAME = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
+#: Beyond so many archives, a task reads several.
+MOST_READERS = 100_000
+
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -180,8 +183,9 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    archives = manifest.select("path", "records").repartition(F.col("path"))
-    return map_batches(archives, read, schema)
+    # One task for each archive: a number that is given isn't coalesced, however little a list of paths weighs.
+    archives = manifest.select("path", "records")
+    return map_batches(archives.repartition(min(max(archives.count(), 1), MOST_READERS)), read, schema)
 
 
 def archive_pages(pages: DataFrame, least: int = 100) -> DataFrame:
