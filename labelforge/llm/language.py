@@ -9,8 +9,8 @@ Counts are taken from all documents of the training folds; the model is a table
 numbers a language. Workers read it in blocks of BLOCK languages, so there may be any number of them: the languages that a
 block's mixtures choose, and the SPARE best of the others, meet the next block's. Up to BLOCK languages are one block.
 
-Defined cases: null texts and texts without letters are `und` with score 0; documents without language aren't learned
-from; with nothing to learn from all is `und`; repeated rows count each.
+Defined cases: null texts and texts without letters are `und` with score 0; documents without language or doc_id aren't
+learned from; with nothing to learn from all is `und`; repeated rows count each.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ BUCKETS = 1 << 15
 BLOCK, SPARE = 64, 8
 HELD_BLOCKS = 4  # more are read again for each batch of texts
 PENALTY = 6.0
-_WORD = re.compile(r"[^\W\d_]+")
+#: What is alphanumeric to `re` without being a letter: fractions, raised, circled and Roman numerals.
+_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, folds: int = 5, held_out: int = 0) -> str:
     """Writes the model to the shared folder: (lang, vector), in the order of lang."""
-    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(F.coalesce(fold(F.col("doc_id")) % folds != held_out, F.lit(True)))
+    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(fold(F.col("doc_id")) % folds != held_out)
     sums = map_batches(rows.select("text", "lang"), _count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # At most BUCKETS entries a language, however many its documents are.
     counts = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
