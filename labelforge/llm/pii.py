@@ -77,6 +77,8 @@ DIGIT_WORDS = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 INVISIBLE = "­​‌‍⁠﻿"
+# Letters that match ASCII ones where case is ignored, though lower() doesn't turn them into these.
+_CASE_TWINS = str.maketrans({"ſ": "s", "ı": "i", "İ": "i", "K": "k"})
 
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
@@ -96,7 +98,9 @@ _RULES = re.compile(
 _UNIT = re.compile(rf"({_WORDS})|([0-9]+)|({_DOT}|\s*\.\s*)|([\s-]+)", re.IGNORECASE)
 _SPELLED_DOT = re.compile(_DOT, re.IGNORECASE)
 _TRIGGER = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s*{_CLOSE}|\s{_DOT_WORD}\s|\s{_AT_WORD}\s+{_ATOM}\.[A-Za-z0-9]|\b(?:{_WORDS})[\s.-]+(?:{_WORDS}|[0-9]+)\b", re.IGNORECASE)
-_ODD = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "！-～٠-٩۰-۹०-९]")
+#: Styled forms of ASCII letters and digits (full width, mathematical, circled, raised) and the decimal digits of other scripts.
+STYLED = {c: by for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) != "Cs" and (by := str(unicodedata.decimal(c, "")) or unicodedata.normalize("NFKC", c)) != c and len(by) == 1 and by.isascii() and (by.isalnum() or 0xFF00 < ord(c) < 0xFF5F)}
+_ODD = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + re.escape("".join(STYLED)) + "]")
 
 
 class Traced:
@@ -126,10 +130,7 @@ def _odd_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _ODD.finditer(text):
         c = m[0]
-        by = "" if c in INVISIBLE else LOOKALIKES.get(c) or unicodedata.normalize("NFKC", c)
-        if by and not by.isascii():
-            by = str(unicodedata.digit(c, "")) or by
-        edits.append((m.start(), m.end(), by))
+        edits.append((m.start(), m.end(), "" if c in INVISIBLE else LOOKALIKES.get(c) or STYLED[c]))
     return edits
 
 
@@ -158,7 +159,7 @@ def _rule_edits(text: str) -> list[tuple[int, int, str]]:
             for u in _UNIT.finditer(m[0]):
                 a, b = m.start() + u.start(), m.start() + u.end()
                 if u[1]:
-                    edits.append((a, b, str(DIGIT_WORDS[u[1].lower()])))
+                    edits.append((a, b, str(DIGIT_WORDS[u[1].translate(_CASE_TWINS).lower()])))
                 elif u[3] and u[3] != ".":
                     edits.append((a, b, "."))
                 elif u[4]:
