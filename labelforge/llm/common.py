@@ -21,9 +21,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
+    """The folder that the driver and all executors share. Where the session names none, a local master gets a temporary
+    one; on a cluster that is an error, as executors would write where nobody else can read. What operators write there
+    stays until the folder is cleared, since results are read from it lazily."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="labelforge-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
