@@ -10,8 +10,11 @@ Each set that meets others is first held against one of them, exactly: of the le
 most groups. Shared groups that then still hold more than one component go through an R-tree over the sets' count
 vectors (64 coordinates or more, one for some one or two shingles, so that chance adds little to what sets of any size
 share): subtrees and pairs are dropped where the sum of coordinate minima is below the overlap needed, or the component
-is the same already, and the rest is verified exactly; first the nearest pairs of each set, then all that are still
-apart. So no link between different sets is lost, and groups of near copies don't become all their pairs.
+is the same already; pairs that stay are looked at again in places 256 times as fine. Of what is left, a task passes on a
+spanning forest, the likeliest links first: at most one pair a set, whatever the size of a group of near copies. These
+pairs are verified exactly on their texts. If all link, whatever was left out lies within a component; else the lists that had
+more pairs come again with four times as many disjoint forests, until all is settled; so no link between different sets
+is lost. A list of more than TILE sets is cut by size and hash, and its tiles meet two by two in tasks of their own.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; equal sets count once; repeated doc_ids
 stay as rows; a null doc_id is linked through equal sets only, and its component is the least non-null id of that group
@@ -36,12 +39,18 @@ from labelforge.llm.common import WordTable, hash64, map_batches, materialise
 
 SHINGLE = 5
 GROUPS, MOST_GROUPS = 64, 1 << 24
+#: Places for each coordinate of a vector, so that a pair is known nearly exactly before texts are sent.
+FINE = 1 << 8
 FLUSH = 400_000
 BITS = 1 << 20
 #: Members of a star that meet its centre in one task.
 CHUNK = 128
-#: Pairs of each set that are verified before the rest of those that are still apart.
-NEAREST = 8
+#: Sets of one list that are compared in one task; longer lists are cut into tiles of about so many.
+TILE = 2048
+#: Rounds of disjoint forests are so many times as wide as the one before.
+WIDER = 4
+#: A task forgets its forests and the pairs that it refused beyond so many: then it passes on more pairs, never fewer.
+HELD_PAIRS = 400_000
 #: Bytes of text for each shard of the groups' keys.
 SHARD_BYTES = 24 << 20
 _words = WordTable(hash64)
@@ -145,13 +154,38 @@ def group_keys(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def set_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and packed count vector of the sets that are asked for; a text under a repeated id may be another set."""
-    packer = zstandard.ZstdCompressor(level=1)
+def fine_points(shingles: np.ndarray) -> np.ndarray:
+    """The set's shingles as places among FINE times as many groups as its vector counts, sorted."""
+    return (shingles >> np.uint64(64 - fine_bits(len(shingles)))).astype(np.uint32)
+
+
+def fine_bits(n: int) -> int:
+    return coordinates(n).bit_length() - 1 + FINE.bit_length() - 1
+
+
+def pack(points: np.ndarray) -> bytes:
+    """Differences, their low bytes first: most of the high bytes are zero."""
+    steps = np.diff(points, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(data: bytes, opener: zstandard.ZstdDecompressor) -> np.ndarray:
+    steps = np.frombuffer(opener.decompress(data), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<u4")[:, 0], dtype=np.uint32)
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """At least as many as the sets share: places of each that the other has, the lesser number."""
+    at, of = np.searchsorted(b, a), np.searchsorted(a, b)
+    return min(int((b[np.minimum(at, len(b) - 1)] == a).sum()), int((a[np.minimum(of, len(a) - 1)] == b).sum()))
+
+
+def set_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and packed places of the sets that are asked for; a text under a repeated id may be another set."""
     for b in batches:
-        rows = [(i, len(s), packer.compress(vectors(s).tobytes())) for i, x in zip(b.column("sid").to_pylist(), b.column("text").to_pylist(), strict=True) if set_id(s := shingle_set(x)) == i]
-        sid, n, vector = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(vector, pa.binary())], ["sid", "n", "vector"])
+        rows = [(i, len(s), pack(fine_points(s))) for i, x in zip(b.column("sid").to_pylist(), b.column("text").to_pylist(), strict=True) if set_id(s := shingle_set(x)) == i]
+        sid, n, places = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(places, pa.binary())], ["sid", "n", "places"])
 
 
 _RECORD = np.dtype([("doc_id", "<i8"), ("no_id", "?"), ("n", "<i8"), ("sid", "<i8")])
@@ -290,10 +324,17 @@ class Node:
             self.children = [Node(x, points, n, label, leaf) for x in np.array_split(order, 2)]
 
 
-def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of rows, of different labels, whose coordinate minima sum to the overlap needed, and these sums."""
-    root = Node(np.arange(len(n)), points, n, label)
-    stack = [(root, root)]
+def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows, of different labels, whose coordinate minima sum to the overlap needed, and these sums. With `side`,
+    only pairs of a row of side 0 and one of side 1."""
+    if side is None:
+        root = Node(np.arange(len(n)), points, n, label)
+        stack = [(root, root)]
+    else:
+        own = [np.flatnonzero(side == k) for k in (0, 1)]
+        if not len(own[0]) or not len(own[1]):
+            return
+        stack = [(Node(own[0], points, n, label), Node(own[1], points, n, label))]
     while stack:
         x, y = stack.pop()
         if x.label is not None and x.label == y.label or 4 * max(x.least, y.least) > 5 * min(x.most, y.most):
@@ -315,28 +356,101 @@ def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[
             stack += [(x, c) for c in y.children]
 
 
-def open_pairs(nearest: int | None):
-    """Of some lists of sets: the pairs across components that the bound lets through (a, b, score), each twice, as a set
-    and its partner; if asked, only the `nearest` partners of each set, by the overlap that the bound allows."""
-
-    def least(pairs: pd.DataFrame) -> pd.DataFrame:
-        pairs = pairs.drop_duplicates(["a", "b"])
-        return pairs if nearest is None else pairs.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a", sort=False).head(nearest)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, held, opener = [], 0, zstandard.ZstdDecompressor()
-        for _, one in pdf.groupby("list_id", sort=False):
-            sid, n, label = one["sid"].to_numpy(), one["n"].to_numpy(), one["label"].to_numpy()
-            own = [np.frombuffer(opener.decompress(v), np.uint8) for v in one["vector"]]
-            m = min(map(len, own))
-            for i, j, overlap in tree_join(np.stack([fold(v, m) for v in own]), n, label):
-                score = overlap / (n[i] + n[j])
-                found.append(pd.DataFrame({"a": np.concatenate([sid[i], sid[j]]), "b": np.concatenate([sid[j], sid[i]]), "score": np.concatenate([score, score])}))
-                held += len(i)
-                if held >= 200_000:
-                    found = [least(pd.concat(found))]
-                    held = 0
-        return least(pd.concat(found)) if found else pd.DataFrame({x: [] for x in ("a", "b", "score")})
+class Forests:
+    """Edge-disjoint forests over sets: an edge joins the first in which its ends are apart."""
+
+    def __init__(self, number: int):
+        self.up: list[dict[int, int]] = [{} for _ in range(number)]
+        self.edges: set[tuple[int, int]] = set()
+
+    def _roots(self, up: dict[int, int], a: int, b: int) -> tuple[int, int]:
+        while (z := up.get(a, a)) != a:
+            up[a] = a = up.get(z, z)
+        while (z := up.get(b, b)) != b:
+            up[b] = b = up.get(z, z)
+        return a, b
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether there is a forest in which they are."""
+        return any(x != y for x, y in (self._roots(up, a, b) for up in self.up))
+
+    def join(self, a: int, b: int) -> None:
+        for up in self.up:
+            x, y = self._roots(up, a, b)
+            if x != y:
+                up[x] = y
+                self.edges.add((a, b))
+                return
+
+
+def forest_edges(number: int):
+    """Rows sorted by tile: of the pairs that both bounds let through (a < b), the vectors' and that of the finer places,
+    those of `number` disjoint forests. A row with a list's id tells that the list had pairs whose ends were joined already.
+    Holds one tile at a time."""
+
+    def edges(tile: list[list], forests: Forests, refused: set[tuple[int, int]]) -> Iterator[tuple[int, int] | None]:
+        """New edges, and None for a pair whose ends are joined already."""
+        sid, n, label, side = (np.array(x, np.int64) for x in list(zip(*tile, strict=True))[:4])
+        if (label == label[0]).all():
+            return
+        opener = zstandard.ZstdDecompressor()
+        own, bits = [unpack(x[4], opener) for x in tile], [fine_bits(x[1]) for x in tile]
+        low = min(bits)
+        m = low - FINE.bit_length() + 1
+        points = np.stack([np.bincount(v >> np.uint32(b - m), minlength=1 << m).astype(np.uint32) for v, b in zip(own, bits, strict=True)])
+        found = list(tree_join(points, n, label, side if side.any() else None))
+        if not found:
+            return
+        x, y, overlap = (np.concatenate(c) for c in zip(*found, strict=True))
+        for k in np.argsort(-overlap / (n[x] + n[y]), kind="stable").tolist():
+            i, j = int(x[k]), int(y[k])
+            pair = min(int(sid[i]), int(sid[j])), max(int(sid[i]), int(sid[j]))
+            if pair in forests.edges or pair in refused:
+                continue
+            if not forests.apart(*pair):
+                yield None
+            elif linked(common(own[i] >> np.uint32(bits[i] - min(bits[i], bits[j])), own[j] >> np.uint32(bits[j] - min(bits[i], bits[j]))), int(n[i]), int(n[j])):
+                forests.join(*pair)
+                yield pair
+            else:
+                refused.add(pair)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forests, refused, at, rows, out = Forests(number), set(), None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal forests
+            rest = False
+            for pair in edges(rows, forests, refused):
+                if pair is None:
+                    rest = True
+                else:
+                    out.append((*pair, None))
+            if rest:
+                out.append((None, None, at[0]))
+            if len(forests.edges) + len(refused) > HELD_PAIRS:
+                forests = Forests(number)
+                refused.clear()
+            if len(out) >= 50_000:
+                yield batch()
+
+        def batch() -> pa.RecordBatch:
+            nonlocal out
+            a, b, c = zip(*out, strict=True)
+            out = []
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], ["a", "b", "list_id"])
+
+        for b in batches:
+            for list_id, tile, *row in zip(*(b.column(x).to_pylist() for x in ("list_id", "tile", "sid", "n", "label", "side", "places")), strict=True):
+                if at != (list_id, tile):
+                    if rows:
+                        yield from close()
+                    at, rows = (list_id, tile), []
+                rows.append(row)
+        if rows:
+            yield from close()
+        if out:
+            yield batch()
 
     return run
 
@@ -358,18 +472,38 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (list_id, sid, n, label) of lists with more than one component, without the sets that are too small or large to
-    link to any other of their list: in order of size it is enough to look at both neighbours."""
+def open_tiles(lists: DataFrame, labels: DataFrame, tile: int = TILE) -> DataFrame:
+    """Rows (list_id, tile, sid, n, label, side) of lists with more than one component.
+
+    A list of at most `tile` sets is one tile, without the sets that are too small or large to link to any other of the
+    list: in order of size it is enough to look at both neighbours. A longer list is cut into bands, so that sets that link
+    are of one band or of two neighbours, and a band by hash into parts of about `tile` sets; each two parts that may hold a
+    link are a tile, with sides 0 and 1, and each part is one for itself."""
     labelled = lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    several = labelled.groupBy("list_id").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("list_id")
+    several = labelled.groupBy("list_id").agg((F.min("label") != F.max("label")).alias("open"), F.count("*").alias("sets")).where("open").select("list_id", "sets")
+    rows = labelled.join(several, "list_id")
     along = Window.partitionBy("list_id").orderBy("n", "sid")
     near = [F.lag("n").over(along) * 5 >= F.col("n") * 4, F.col("n") * 5 >= F.lead("n").over(along) * 4]
     near = F.coalesce(near[0], F.lit(False)) | F.coalesce(near[1], F.lit(False))
-    return labelled.join(several, "list_id").withColumn("near", near).where("near").drop("near")
-
-
-def link_components(docs: DataFrame) -> DataFrame:
+    columns = ["list_id", "tile", "sid", "n", "label", "side"]
+    small = rows.where(F.col("sets") <= tile).withColumn("near", near).where("near").withColumns({"tile": F.lit(0).cast("long"), "side": F.lit(0)}).select(*columns)
+
+    large = rows.where(F.col("sets") > tile).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9))
+    parts = large.groupBy("list_id", "band").agg((F.floor(F.count("*") / tile) + 1).alias("parts"))
+    above, below = (parts.select("list_id", (F.col("band") + k).alias("band"), F.col("parts").alias(name)) for k, name in ((-1, "above"), (1, "below")))
+    parts = parts.join(above, ["list_id", "band"], "left").join(below, ["list_id", "band"], "left").fillna(0, ["above", "below"])
+    large = large.join(parts, ["list_id", "band"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    to = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    name = lambda band, p, q, kind: F.xxhash64(F.lit(kind), band, p, q)
+    meets = F.concat(
+        F.transform(to(F.col("parts")), lambda q: F.struct(name(F.col("band"), F.least("part", q), F.greatest("part", q), 1).alias("tile"), (q < F.col("part")).cast("int").alias("side"))),
+        F.transform(to(F.col("above")), lambda q: F.struct(name(F.col("band"), F.col("part"), q, 2).alias("tile"), F.lit(0).alias("side"))),
+        F.transform(to(F.col("below")), lambda q: F.struct(name(F.col("band") - 1, q, F.col("part"), 2).alias("tile"), F.lit(1).alias("side"))),
+    )
+    return small.unionByName(large.withColumn("m", F.explode(meets)).select("list_id", "m.tile", "sid", "n", "label", "m.side"))
+
+
+def link_components(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, sid and component_id of every document."""
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -386,26 +520,24 @@ def link_components(docs: DataFrame) -> DataFrame:
     labels = components(links)
     lists = met.where(F.col("kind") == LIST).select(F.col("a").alias("list_id"), "members").dropDuplicates(["list_id"])
     lists = materialise(map_batches(lists, list_rows, "list_id long, sid long"), "lists")
-    points, done = None, pairs
-    for nearest in (NEAREST, None):
-        still = materialise(open_lists(lists.join(sizes, "sid"), labels), "open-lists")
+    points, done, number = None, pairs, 1
+    while True:
+        still = materialise(open_tiles(lists.join(sizes, "sid"), labels, tile), "open-tiles")
         if still.isEmpty():
             break
         if points is None:
             wanted = still.select("sid").distinct().join(homes, "sid")
-            points = materialise(map_batches(texts_of(docs, wanted).select("sid", "text"), set_vectors, "sid long, n long, vector binary").dropDuplicates(["sid"]), "points")
-        rows = still.drop("n").join(points, "sid").withColumn("block", F.pmod("list_id", F.lit(shards)))
-        found = rows.groupBy("block").applyInPandas(open_pairs(nearest and nearest + 1), "a long, b long, score double").distinct()
-        if nearest:
-            place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-            found = materialise(found.withColumn("place", place).where(F.col("place") <= nearest + 1), "nearest")
-            # A pair is left out only if both have more partners than that: the next round needs no other sets.
-            crowded = found.where(F.col("place") > nearest).select(F.col("a").alias("sid"))
-            lists, found = lists.join(crowded, "sid", "left_semi"), found.where(F.col("place") <= nearest)
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialise(found.join(done, ["a", "b"], "left_anti"), "open-pairs")
+            points = materialise(map_batches(texts_of(docs, wanted).select("sid", "text"), set_points, "sid long, n long, places binary").dropDuplicates(["sid"]), "points")
+        rows = still.drop("n").join(points, "sid").repartition(shards, "list_id", "tile").sortWithinPartitions("list_id", "tile")
+        found = materialise(map_batches(rows, forest_edges(number), "a long, b long, list_id long"), "forests")
+        forest = found.where("a is not null").select("a", "b").distinct()
+        more = materialise(forest.join(done, ["a", "b"], "left_anti"), "open-pairs")
         links, done = links.unionByName(verify(more, docs, homes)), done.unionByName(more)
         labels = components(links)
+        if forest.join(links, ["a", "b"], "left_anti").isEmpty():
+            break  # what was joined already is joined by links
+        crowded = found.where("list_id is not null").select("list_id").distinct()
+        lists, number = materialise(lists.join(crowded, "list_id", "left_semi"), "crowded-lists"), number * WIDER
 
     labels = materialise(known.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "labels")
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))

@@ -116,6 +116,39 @@ def test_components(spark):
     assert rows(jaccard_join.link_components(docs), "doc_id", "n_shingles", "component_id") == brute_components(items)
 
 
+def test_components_of_lists_in_tiles(spark):
+    items = near_copies()
+    docs = spark.createDataFrame(items, "doc_id long, text string")
+    assert rows(jaccard_join.link_components(docs, tile=3), "doc_id", "n_shingles", "component_id") == brute_components(items)
+
+
+def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    import random
+
+    rng, written = random.Random(8), []
+    words = [f"w{i}" for i in range(160)]
+    items = []
+    for i in range(700):
+        own = list(words)
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(160)] = f"e{rng.randrange(10**6)}"
+        items.append((i, " ".join(own)))
+    keep = jaccard_join.materialise
+
+    def watched(df, name):
+        out = keep(df, name)
+        if name in ("forests", "star-pairs"):
+            written.append(out)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", watched)
+    got = rows(jaccard_join.link_components(spark.createDataFrame(items, "doc_id long, text string")), "doc_id", "component_id")
+    want = Counter({(d, c): n for (d, _, c), n in brute_components(items).items()})
+    assert got == want
+    # The group has 245,000 pairs.
+    assert len(written) > 1 and all(df.where("a is not null").count() <= 8 * 700 for df in written)
+
+
 def test_components_of_documents(spark):
     docs = documents(spark)
     assert rows(jaccard_join.link_components(docs), "doc_id", "n_shingles", "component_id") == brute_components([(r.doc_id, r.text) for r in docs.collect()])
