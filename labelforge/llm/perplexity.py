@@ -1,118 +1,195 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model over characters.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model over five-grams of characters.
 
-Text is folded to 32 symbols (spaces, a-z, other letters, digits, sentence marks, the rest), so there are at most 32**5
-five-grams however large the corpus is, and the model as a dense table of 32-bit floats takes at most 134 MB: its size is
-bounded by that, not by the data. Counts come from all trusted text (label quality 1): each task sums its own five-grams,
-Spark sums and shards them by five-gram. Continuation counts, discounts and context totals of every order are group-bys
-and joins of the sharded counts. The parts of the model are Parquet in the shared folder; a Python worker reads them and
-fills the table from the lowest order up.
+A code point is a symbol of 12 bits: those below 0x800 stand for themselves (letters in lower case, all digits as 0, all
+white space as a space), others are hashed to the upper half; so a five-gram of any script is a number of 60 bits, and its
+context and its suffix are a quotient and a remainder of it.
+
+Training: each task sums the five-grams of its trusted texts (label quality 1), Spark sums and shards them. Continuation
+counts, discounts and context totals of every order are group-bys and joins of these sharded counts. The model is a table
+of grams of all orders, as large as the trusted text makes it: a gram's discounted share, and the weight that it leaves to
+shorter grams as a context.
+
+Scoring: the texts are packed into blocks. The distinct grams of a block, of all orders, are joined with the model's
+shards, and what is found comes back as one small file for each block. A task then reads the block, its grams' parts, and
+interpolates from the shortest order up. So a gram is sent once for each block that has it, not for each place where it
+stands, and no worker holds the model.
 
 A text's perplexity is kept within its language's limit: the `quantile` of the trusted texts' perplexities in it; a
 language without trusted text has the limit of all.
 
 Defined cases: null and empty texts have no perplexity and aren't kept; without trusted text every other text is kept and
-perplexity is that of 32 equally likely symbols; a document labelled twice is trusted if any label says so; repeated
-rows stay.
+perplexity is that of 4096 equally likely symbols; a document labelled twice is trusted if any label says so; repeated
+rows stay, rows that repeat a trusted doc_id are all trusted; very long texts are used whole; columns other than doc_id,
+text and lang aren't read, so they may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.llm.common import map_batches, materialise, scratch
 
-SYMBOLS, ORDER = 32, 5
+SYMBOLS, ORDER = 4096, 5
+#: A row of a block ends at so many characters, a block at so many.
+ROW_CHARS, BLOCK_CHARS = 2 << 20, 64 << 20
+#: A gram's key has its order above its code.
+_TAG = 60
 
 
-def _symbols() -> np.ndarray:
-    """Symbol of each code point below 0x300: 0 space, 1-26 letters, 27 other letters, 28 digits, 29 marks, 30 the rest."""
-    out = np.full(0x300, 30, np.uint8)
-    for c in range(0x300):
+def _table() -> np.ndarray:
+    out = np.arange(0x800, dtype=np.uint16)
+    for c in range(0x800):
         s = chr(c)
+        low = s.lower()
         if s.isspace():
-            out[c] = 0
-        elif "a" <= s.lower() <= "z" and len(s.lower()) == 1:
-            out[c] = ord(s.lower()) - 96
-        elif s.isalpha():
-            out[c] = 27
-        elif s.isdigit():
-            out[c] = 28
-        elif s in ".,;:!?'\"()-":
-            out[c] = 29
+            out[c] = 32
+        elif s.isdecimal():
+            out[c] = 48
+        elif len(low) == 1 and ord(low) < 0x800:
+            out[c] = ord(low)
     return out
 
 
-_TABLE = _symbols()
+_SYMBOL = _table()
+
+
+def symbols(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = _SYMBOL[np.minimum(codes, 0x7FF)]
+    if len(codes) and codes.max() >= 0x800:
+        mixed = 0x800 + ((codes * np.uint32(0x9E3779B1)) >> np.uint32(21))
+        return np.where(codes < 0x800, low, mixed).astype(np.uint16)
+    return low
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Five-gram codes, one per character (each text begins after four spaces), and each text's length."""
-    length = np.array([len(t) for t in texts], np.int64)
-    codes = np.frombuffer(("    ".join(["", *texts])).encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(codes < 0x300, _TABLE[np.minimum(codes, 0x2FF)], 27).astype(np.int32)
-    g = s[:-4].copy()
+def grams(texts: list[np.ndarray]) -> np.ndarray:
+    """The five-gram that ends at each symbol, text after text; each text begins after four spaces."""
+    gap = np.full(ORDER - 1, 32, np.uint16)
+    s = np.concatenate([x for t in texts for x in (gap, t)] or [gap]).astype(np.int64)
+    g = s[: len(s) - ORDER + 1].copy()
     for k in range(1, ORDER):
-        g = g * SYMBOLS + s[k : len(s) - 4 + k]
-    # A gram belongs to the character that it ends with; those ending in the padding go.
+        g = g * SYMBOLS + s[k : len(s) - ORDER + 1 + k]
+    # The grams that end in a gap go.
     keep = np.ones(len(g), bool)
-    ends = np.cumsum(length + 4)[:-1] - 4
-    for k in range(4):
-        at = ends + k
-        keep[at[at < len(g)]] = False
-    return g[keep], length
+    ends = np.cumsum(np.array([len(t) + ORDER - 1 for t in texts], np.int64))[:-1] - (ORDER - 1)
+    keep[(ends[:, None] + np.arange(ORDER - 1)).ravel()] = False
+    return g[keep]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([packer.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "packed"])
+def keys_of(codes: np.ndarray) -> np.ndarray:
+    """Distinct keys of the given five-grams, their contexts and all that are shorter."""
+    out, g = [], codes
+    for order in range(ORDER, 0, -1):
+        out.append(g + (order << _TAG))
+        context = pd.unique(g // SYMBOLS)
+        out.append(context + ((order - 1) << _TAG))
+        g = pd.unique(g % SYMBOLS ** (order - 1))
+    return pd.unique(np.concatenate(out))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    opener = zstandard.ZstdDecompressor()
-    codes, counts, waiting, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+BLOCKS = "block long, doc_id array<long>, lang array<string>, length array<long>, symbols binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer, part, block, in_block, rows, held = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 24, 0, 0, [], 0
 
-    def merge():
-        new, n = np.unique(np.concatenate(waiting), return_counts=True)
-        both, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
-        return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+    def row() -> pa.RecordBatch:
+        ids, langs, texts = zip(*rows, strict=True)
+        data = packer.compress(np.concatenate(texts).tobytes() if any(map(len, texts)) else b"")
+        columns = [pa.array([part | block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([data], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "lang", "length", "symbols"])
 
     for b in batches:
-        waiting.append(grams([opener.decompress(x).decode() for x in b.column("packed").to_pylist()])[0].astype(np.int64))
-        held += len(waiting[-1])
-        if held >= 4_000_000:
-            codes, counts = merge()
-            waiting, held = [], 0
-    if waiting:
-        codes, counts = merge()
-    for i in range(0, len(codes), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 100_000]), pa.array(counts[i : i + 100_000])], ["code", "n"])
+        for doc_id, text, lang in zip(*(b.column(x).to_pylist() for x in ("doc_id", "text", "lang")), strict=True):
+            rows.append((doc_id, lang, symbols(text or "")))
+            held += len(rows[-1][2])
+            if held >= ROW_CHARS or len(rows) >= 20_000:
+                yield row()
+                in_block, rows, held = in_block + held, [], 0
+                if in_block >= BLOCK_CHARS:
+                    block, in_block = block + 1, 0
+    if rows:
+        yield row()
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, np.ndarray, list[np.ndarray]]]:
+    """Block, ids, languages, lengths and texts of each row."""
+    opener = zstandard.ZstdDecompressor()
+    for b in batches:
+        for k in range(b.num_rows):
+            block, ids, langs, length, data = (b.column(x)[k].as_py() for x in ("block", "doc_id", "lang", "length", "symbols"))
+            ends = np.cumsum(length)
+            yield block, ids, langs, np.array(length, np.int64), np.split(np.frombuffer(opener.decompress(data), np.uint16), ends[:-1])
+
+
+def _side_file(where: str, block: int) -> pd.DataFrame | None:
+    """What was written under block=N."""
+    store, path = fs.FileSystem.from_uri(f"{where}/block={block}")
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    tables = []
+    for info in store.get_file_info(fs.FileSelector(path)):
+        if info.path.endswith(".parquet"):
+            with pq.ParquetFile(store.open_input_file(info.path)) as f:
+                tables.append(f.read())
+    return pa.concat_tables(tables).to_pandas()
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def count_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(code, n) of all five-grams of trusted text. Texts are packed before they are joined, to shuffle less."""
-    packed = map_batches(docs.select("doc_id", "text").where("length(text) > 0 and doc_id is not null"), _pack, "doc_id long, packed binary")
-    held = packed.join(trusted_ids(labels), "doc_id", "left_semi").select("packed")
-    return materialise(map_batches(held, _count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "gram-counts")
+def count_trusted(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """(code, n) of all five-grams of trusted text. Only ids are joined; a task learns its block's from a file."""
+    where = scratch(blocks.sparkSession, "trusted")
+    ids = blocks.select("block", F.explode("doc_id").alias("doc_id")).join(trusted_ids(labels).hint("merge"), "doc_id")
+    ids.select("block", "doc_id").distinct().repartition("block").write.partitionBy("block").parquet(where)
 
-
-def train(docs: DataFrame, labels: DataFrame) -> str:
-    """Writes the model to the shared folder: for each order, (code, part) discounted shares and (context, gamma)."""
-    counts = count_trusted(docs, labels)
-    where = scratch(docs.sparkSession, "kneser-ney")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, trusted, total, waiting, held = None, set(), pd.Series(dtype=np.int64), [], 0
+
+        def merged() -> pd.Series:
+            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
+            return total.add(pd.Series(n, codes), fill_value=0).astype(np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(total), 100_000):
+                part = total.iloc[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part.index.to_numpy(np.int64)), pa.array(part.to_numpy(np.int64))], ["code", "n"])
+
+        for block, ids, _, _, texts in _unpack(batches):
+            if at != block:
+                found = _side_file(where, block)
+                at, trusted = block, set() if found is None else set(found["doc_id"].tolist())
+            own = [t for d, t in zip(ids, texts, strict=True) if d in trusted and len(t)]
+            if own:
+                waiting.append(grams(own))
+                held += len(waiting[-1])
+            if held >= 4_000_000:
+                total, waiting, held = merged(), [], 0
+                if len(total) >= 3_000_000:
+                    yield from out()
+                    total = total.iloc[:0]
+        if waiting:
+            total = merged()
+        yield from out()
+
+    return materialise(map_batches(blocks, run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "gram-counts")
+
+
+def train(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """The model: key, part (a gram's discounted share of its context) and gamma (what a context leaves to shorter grams)."""
+    counts, tables = count_trusted(blocks, labels), []
     for order in range(ORDER, 0, -1):
         n1, n2, n3, n4 = counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
         y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
@@ -121,66 +198,93 @@ def train(docs: DataFrame, labels: DataFrame) -> str:
         counts = counts.withColumns({"context": F.expr(f"code div {SYMBOLS}"), "discount": discount})
         contexts = counts.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("given"))
         contexts = materialise(contexts, "contexts")
-        parts = counts.join(contexts, "context").select("code", ((F.col("n") - F.col("discount")) / F.col("total")).cast("float").alias("value"))
-        parts.write.parquet(f"{where}/parts-{order}")
-        contexts.select(F.col("context").alias("code"), (F.col("given") / F.col("total")).cast("float").alias("value")).write.parquet(f"{where}/gammas-{order}")
+        key = lambda code, k: (F.col(code) + F.lit(k << _TAG)).alias("key")
+        parts = counts.join(contexts, "context").select(key("code", order), ((F.col("n") - F.col("discount")) / F.col("total")).cast("float").alias("part"), F.lit(None).cast("float").alias("gamma"))
+        gammas = contexts.select(key("context", order - 1), F.lit(None).cast("float").alias("part"), (F.col("given") / F.col("total")).cast("float").alias("gamma"))
+        tables += [parts, gammas]
         if order > 1:  # how many different symbols stand before the shorter gram
             counts = materialise(counts.groupBy((F.col("code") % SYMBOLS ** (order - 1)).alias("code")).agg(F.count("*").alias("n")), "continuations")
-    return where
-
-
-def _read(where: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A dense array of the values, 0 elsewhere, and which codes are there."""
-    store, path = fs.FileSystem.from_uri(where)
-    out, there = np.zeros(size, np.float32), np.zeros(size, bool)
-    for info in store.get_file_info(fs.FileSelector(path)):
-        if info.path.endswith(".parquet"):
-            with pq.ParquetFile(store.open_input_file(info.path)) as f:
-                for b in f.iter_batches(500_000):
-                    code = b.column(0).to_numpy()
-                    out[code], there[code] = b.column(1).to_numpy(), True
-    return out, there
-
-
-def load(where: str) -> np.ndarray:
-    """ln of the probability of every five-gram's last symbol after its first four."""
-    p = np.full(1, 1 / SYMBOLS, np.float32)
-    for order in range(1, ORDER + 1):
-        parts, _ = _read(f"{where}/parts-{order}", SYMBOLS**order)
-        gammas, there = _read(f"{where}/gammas-{order}", SYMBOLS ** (order - 1))
-        gammas[~there] = 1.0  # an unseen context leaves all to the shorter one
-        parts = parts.reshape(-1, SYMBOLS)
-        lower = p.reshape(-1, SYMBOLS) if order > 1 else np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-        parts += gammas[:, None] * np.tile(lower, (len(parts) // len(lower), 1))
-        p = parts.reshape(-1)
-    return np.log(np.maximum(p, 1e-12))
-
-
-def score(docs: DataFrame, where: str) -> DataFrame:
+    model = tables[0]
+    for t in tables[1:]:
+        model = model.unionByName(t)
+    return materialise(model.groupBy("key").agg(F.max("part").alias("part"), F.max("gamma").alias("gamma")), "kneser-ney")
+
+
+def _block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (block, key) of a task's rows, as far as its memory goes: a block is sent in parts if it has many."""
+    at, held = None, np.empty(0, np.int64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys = np.sort(keys_of(held))
+        for i in range(0, len(keys), 100_000):
+            part = keys[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at, np.int64)), pa.array(part)], ["block", "key"])
+
+    for block, _, _, _, texts in _unpack(batches):
+        if at is not None and (at != block or len(held) >= 4_000_000):
+            yield from out()
+            held = np.empty(0, np.int64)
+        at = block
+        held = pd.unique(np.concatenate([held, grams([t for t in texts if len(t)])]))
+    if at is not None:
+        yield from out()
+
+
+def probabilities(codes: np.ndarray, key: np.ndarray, part: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+    """Of five-grams, from the sorted keys that the model has: interpolated from the shortest order up."""
+
+    def look(wanted: np.ndarray, values: np.ndarray, otherwise: float) -> np.ndarray:
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        found = values[at]
+        return np.where((key[at] == wanted) & ~np.isnan(found), found, otherwise)
+
+    p = np.full(len(codes), 1 / SYMBOLS)
+    if len(key):
+        for order in range(1, ORDER + 1):
+            g = codes % SYMBOLS**order
+            # An unseen context leaves all to the shorter grams.
+            p = look(g + (order << _TAG), part, 0.0) + look(g // SYMBOLS + ((order - 1) << _TAG), gamma, 1.0) * p
+    return p
+
+
+def score(blocks: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, lang, n_chars and perplexity per character."""
+    where = scratch(blocks.sparkSession, "block-grams")
+    asked = map_batches(blocks, _block_keys, "block long, key long").distinct()
+    asked.join(model.hint("merge"), "key").repartition("block").write.partitionBy("block").parquet(where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
-        for b in batches:
-            if table is None:
-                table = load(where)
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            codes, length = grams(texts)
-            total = np.concatenate(([0.0], np.cumsum(table[codes], dtype=np.float64)))
+        at, key, part, gamma = None, *(np.empty(0, t) for t in (np.int64, np.float32, np.float32))
+        for block, ids, langs, length, texts in _unpack(batches):
+            if at != block:
+                found = _side_file(where, block)
+                at = block
+                if found is not None:
+                    found = found.sort_values("key")
+                    key, part, gamma = (found[x].to_numpy() for x in ("key", "part", "gamma"))
+                else:
+                    key = np.empty(0, np.int64)
+            place, codes = pd.factorize(grams([t for t in texts if len(t)]))
+            total = np.concatenate(([0.0], np.cumsum(np.log(np.maximum(probabilities(codes, key, part, gamma), 1e-12))[place])))
             end = np.cumsum(length)
-            bits = (total[end] - total[end - length]) / np.maximum(length, 1)
+            mean = (total[end] - total[end - length]) / np.maximum(length, 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("lang"), pa.array(length), pa.array([math.exp(-x) if n else None for x, n in zip(bits.tolist(), length.tolist(), strict=True)], pa.float64())],
+                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(length), pa.array(np.exp(-mean), pa.float64(), mask=length == 0)],
                 ["doc_id", "lang", "n_chars", "perplexity"],
             )
 
-    return map_batches(docs.select("doc_id", "text", "lang"), run, "doc_id long, lang string, n_chars long, perplexity double")
+    return map_batches(blocks, run, "doc_id long, lang string, n_chars long, perplexity double")
+
+
+def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    blocks = materialise(map_batches(docs.select("doc_id", "text", "lang"), _pack, BLOCKS), "blocks")
+    return materialise(score(blocks, train(blocks, labels)), "perplexities")
 
 
 def keep_fluent(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, most (the language's limit) and kept."""
-    scores = materialise(score(docs, train(docs, labels)), "perplexities").withColumn("_lang", F.coalesce("lang", F.lit("")))
-    trusted = materialise(scores.where("perplexity is not null").join(trusted_ids(labels), "doc_id", "left_semi").select("_lang", "perplexity"), "trusted")
+    scores = perplexities(docs, labels).withColumn("_lang", F.coalesce("lang", F.lit("")))
+    trusted = materialise(scores.where("perplexity is not null").join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi").select("_lang", "perplexity"), "trusted-perplexities")
     limit = F.percentile_approx("perplexity", quantile, 10_000)
     overall = trusted.agg(limit).first()[0]
     limits = materialise(trusted.groupBy("_lang").agg(limit.alias("most")), "limits")

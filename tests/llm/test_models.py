@@ -149,15 +149,22 @@ def test_pieces_are_lossless_and_reproducible(spark, lattices):
 # --- perplexity
 
 
+def plain_symbol(c):
+    n = ord(c)
+    if n >= 0x800:
+        return 0x800 + (n * 0x9E3779B1 % 2**32 >> 21)
+    low = c.lower()
+    return 32 if c.isspace() else 48 if c.isdecimal() else ord(low) if len(low) == 1 and ord(low) < 0x800 else n
+
+
 def plain_kneser_ney(texts):
     """Modified Kneser-Ney with dictionaries; returns a function from five symbols to the probability of the last."""
-    symbol = lambda c: int(perplexity._TABLE[ord(c)]) if ord(c) < 0x300 else 27
     counts = Counter()
     for t in texts:
-        s = [0] * 4 + [symbol(c) for c in t]
+        s = [32] * 4 + [plain_symbol(c) for c in t]
         counts.update(tuple(s[i : i + 5]) for i in range(len(t)))
     models = []
-    for order in range(5, 0, -1):
+    for _ in range(5, 0, -1):
         of = Counter(counts.values())
         y = of[1] / (of[1] + 2 * of[2])
         d = [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.0), k) if of[k] else 0.5 * k for k in (1, 2, 3)]
@@ -170,7 +177,7 @@ def plain_kneser_ney(texts):
 
     def probability(g, k=0):
         if k == 5:
-            return 1 / 32
+            return 1 / 4096
         counts, d, total, given = models[k]
         context = g[:-1]
         lower = probability(g[1:], k + 1)
@@ -179,28 +186,55 @@ def plain_kneser_ney(texts):
         n = counts.get(g, 0)
         return (n - d[min(n, 3) - 1] if n else 0) / total[context] + given[context] / total[context] * lower
 
-    return symbol, probability
+    return probability
 
 
 def test_perplexity(spark):
+    """Perplexities, limits and verdicts of a table with other scripts against dictionaries."""
     docs, marks = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    docs = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(9001, "Это другой текст. 漢字かな交じり文 αβγ", "ru"), (9002, "текст Это другой 字漢なか", "ru")], "doc_id long, text string, lang string"))
     trusted = {r.doc_id for r in marks.where("quality = 1").collect()}
     items = docs.collect()
-    symbol, probability = plain_kneser_ney([r.text for r in items if r.doc_id in trusted])
+    probability = plain_kneser_ney([r.text for r in items if r.doc_id in trusted])
+    got = {r.doc_id: r for r in perplexity.keep_fluent(docs, marks, quantile=0.9).collect()}
+    want = {}
+    for r in items:
+        if len(r.text) < 3000 or r.doc_id in trusted:
+            s = [32] * 4 + [plain_symbol(c) for c in r.text]
+            want[r.doc_id] = math.exp(-sum(math.log(probability(tuple(s[i : i + 5]))) for i in range(len(r.text))) / len(r.text))
+            assert got[r.doc_id].perplexity == pytest.approx(want[r.doc_id], rel=1e-4)
+    held = defaultdict(list)
+    for r in items:
+        if r.doc_id in trusted:
+            held[r.lang].append(got[r.doc_id].perplexity)
+            held[None].append(got[r.doc_id].perplexity)
+    limit = {k: sorted(v)[math.ceil(0.9 * len(v)) - 1] for k, v in held.items()}
+    assert len(got) == len(items) and 9001 in got
+    for r in items:
+        most = limit.get(r.lang, limit[None])
+        assert got[r.doc_id].most == most and got[r.doc_id].kept == (got[r.doc_id].perplexity <= most)
+
+
+def test_word_order_counts_in_other_scripts(spark):
+    text = "Это простой русский текст о погоде и природе. " * 3
+    junk = "".join(sorted(text))
+    docs = spark.createDataFrame([(i, text, "ru") for i in range(5)] + [(10, text, "ru"), (11, junk, "ru")], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int")
     got = {r.doc_id: r for r in perplexity.keep_fluent(docs, marks).collect()}
-    for r in items[:25]:
-        s = [0] * 4 + [symbol(c) for c in r.text]
-        want = math.exp(-sum(math.log(probability(tuple(s[i : i + 5]))) for i in range(len(r.text))) / len(r.text))
-        assert got[r.doc_id].perplexity == pytest.approx(want, rel=1e-4)
-    kept = [got[d].kept for d in trusted if d in got]
-    assert len(got) == len(items) and sum(kept) >= 0.98 * len(kept)
+    assert got[10].kept and not got[11].kept and got[11].perplexity > 10 * got[10].perplexity
 
 
 def test_grams_do_not_cross_texts():
-    texts = ["abc", "", "d", "\u4e00xyz9!"]
-    codes, length = perplexity.grams(texts)
-    assert length.tolist() == [3, 0, 1, 6]
-    assert codes.tolist() == np.concatenate([perplexity.grams([t])[0] for t in texts]).tolist()
+    texts = [perplexity.symbols(t) for t in ("abc", "d", "\u4e00xyz9!")]
+    assert perplexity.grams(texts).tolist() == np.concatenate([perplexity.grams([t]) for t in texts]).tolist()
+    assert len(perplexity.grams(texts)) == 10 and len(perplexity.grams([])) == 0
+
+
+def test_blocks_in_parts(spark, monkeypatch):
+    docs, marks = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    whole = {(r.doc_id, round(r.perplexity, 6)) for r in perplexity.keep_fluent(docs.repartition(1), marks).collect()}
+    parts = {(r.doc_id, round(r.perplexity, 6)) for r in perplexity.keep_fluent(docs.repartition(7), marks).collect()}
+    assert whole == parts
 
 
 def test_perplexity_of_awkward_rows(spark):
