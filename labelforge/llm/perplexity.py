@@ -101,11 +101,11 @@ BLOCKS = "block long, doc_id array<long>, lang array<string>, length array<long>
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer, part, block, in_block, rows, held = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 24, 0, 0, [], 0
+    packer, part, block, in_block, rows, held = zstandard.ZstdCompressor(level=6), TaskContext.get().partitionId() << 24, 0, 0, [], 0
 
     def row() -> pa.RecordBatch:
         ids, langs, texts = zip(*rows, strict=True)
-        data = packer.compress(np.concatenate(texts).tobytes() if any(map(len, texts)) else b"")
+        data = packer.compress(np.concatenate(texts).astype("<u2").tobytes().decode("utf-16-le").encode())
         columns = [pa.array([part | block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([data], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "lang", "length", "symbols"])
 
@@ -129,7 +129,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         for k in range(b.num_rows):
             block, ids, langs, length, data = (b.column(x)[k].as_py() for x in ("block", "doc_id", "lang", "length", "symbols"))
             ends = np.cumsum(length)
-            yield block, ids, langs, np.array(length, np.int64), np.split(np.frombuffer(opener.decompress(data), np.uint16), ends[:-1])
+            yield block, ids, langs, np.array(length, np.int64), np.split(np.frombuffer(opener.decompress(data).decode().encode("utf-16-le"), "<u2"), ends[:-1])
 
 
 def _side_file(where: str, block: int) -> pd.DataFrame | None:
@@ -250,7 +250,7 @@ def probabilities(codes: np.ndarray, key: np.ndarray, part: np.ndarray, gamma: n
 def score(blocks: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, lang, n_chars and perplexity per character."""
     where = scratch(blocks.sparkSession, "block-grams")
-    asked = map_batches(blocks, _block_keys, "block long, key long").distinct()
+    asked = map_batches(blocks, _block_keys, "block long, key long")  # a key that a block's parts repeat does no harm
     asked.join(model.hint("merge"), "key").repartition("block").write.partitionBy("block").parquet(where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
