@@ -52,3 +52,44 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Session())
+
+
+def test_toxicity_score_is_that_of_the_most_toxic_window():
+    """The model against a plain version, windows of several words included; misspellings share n-grams with their words."""
+    import random
+    import zlib
+
+    import numpy as np
+
+    from labelforge.llm import toxicity
+
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    bad = ["zwertlich", "quxxorous", "vyrrulent"]
+    texts, marks = [], []
+    for i in range(400):
+        words = rng.choices(plain, k=40)
+        if i % 4 == 0:
+            words[rng.randrange(40)] = rng.choice(bad)
+        texts.append(" ".join(words))
+        marks.append(int(i % 4 == 0))
+    for window in (1, 2):
+        model = toxicity.fit(texts, marks, toxicity.Training(window=window))
+        top = model.scorer()
+
+        def value(word):
+            b = f"<{word}>".encode()
+            rows = [b, *(b[i : i + k] for k in (3, 4, 5) for i in range(len(b) - k + 1))]
+            return sum(float(model.table[zlib.crc32(r) % toxicity.BUCKETS]) for r in rows) / len(rows)
+
+        for text in [*texts[:6], "one", "One two", ""]:
+            words = re.findall(r"[^\W_]+", text.lower())
+            w = min(window, len(words))
+            want = max((sum(map(value, words[i : i + w])) / w for i in range(len(words) - w + 1)), default=None) if words else None
+            assert top(text) == pytest.approx(toxicity.NOTHING if want is None else model.bias + want, abs=1e-4)
+        caught = [float(model.score(np.array([top(t)]))[0]) >= 0.7 for t in texts]
+        assert np.mean(np.array(caught) == np.array(marks, bool)) > 0.97
+        if window == 1:
+            doubled = [" ".join([*plain[:20], w + w[-1], *plain[20:40]]) for w in bad]
+            assert all(float(model.score(np.array([top(t)]))[0]) >= 0.7 for t in doubled)
+            assert float(model.score(np.array([top(" ".join(plain[:40]))]))[0]) < 0.7
