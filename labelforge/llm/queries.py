@@ -25,7 +25,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = host_rules.host_verdicts(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_docs", "host_failed")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_docs", "host_failed", "host_off")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

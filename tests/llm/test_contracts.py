@@ -53,6 +53,43 @@ def test_host_verdicts(spark):
     assert host_rules.host_verdicts(empty(spark)).count() == 0
 
 
+def test_host_rates_by_brute_force(spark):
+    """Prior, shrunk rates and verdicts of every rule; one host in which a quarter of the texts repeats lines."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows_ = [(i, text(i), f"h{i % 12}") for i in range(600)]
+    rows_ += [(1000 + i, "\n".join([text(i), *(f"kk\nu{i}y{j}" for j in range(30))]) if i % 4 == 0 else text(i), "lines.example") for i in range(80)]
+    rows_ += [(2000 + i, "# $ % " + text(i), "signs.example") for i in range(5)] + [(3000, None, None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in host_rules.host_verdicts(docs).collect()}
+    counts = {d: (h or "", brute_counts(t)) for d, t, h in rows_}
+    rules = {
+        "few_words": lambda n, c, s, x, r: n < 20, "repeats": lambda n, c, s, x, r: 100 * r > 30 * n, "symbols": lambda n, c, s, x, r: 100 * s > 10 * n,
+        "lines": lambda n, c, s, x, r: 100 * x > 30 * n, "word_length": lambda n, c, s, x, r: n > 0 and (c < 2 * n or c > 40 * n),
+    }
+    off = set()
+    for name, fails in rules.items():
+        size, bad = Counter(), Counter()
+        for host, c in counts.values():
+            size[host] += 1
+            bad[host] += fails(*c)
+        total = sum(size.values())
+        mean = sum(bad.values()) / total
+        room = total - sum(n * n for n in size.values()) / total
+        between = (sum(bad[h] ** 2 / n for h, n in size.items()) - total * mean**2 - (len(size) - 1) * mean * (1 - mean)) / room
+        between = min(max(between, 1e-9), max(mean * (1 - mean), 1e-9))
+        strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1000.0)
+        limit = min(mean + 2 * max(between**0.5, 0.025), 0.5)
+        for d, (host, c) in counts.items():
+            rate = (bad[host] + mean * strength) / (size[host] + strength)
+            assert got[d][f"rate_{name}"] == pytest.approx(rate) and got[d][f"failed_{name}"] == bad[host]
+            if rate > limit and (fails(*c) or rate > 0.5):
+                off.add(d)
+    assert {d for d, r in got.items() if r.host_off} == off
+    assert {d for d, r in got.items() if r.kept} == {d for d, r in got.items() if not r.base_failed} - off
+    changed = {d for d in off if not got[d].base_failed}
+    assert changed and changed <= {d for d, _, h in rows_ if h == "lines.example"}
+
+
 # --- Jaccard join
 
 
