@@ -18,7 +18,8 @@ from labelforge.operators.layout import nearest_below
 
 MRP, PACKED, BEST, COUNTRY, IMPORTER, LICENCE = "MRP", "DATE_OF_PACKING", "BEST_BEFORE", "COUNTRY_OF_ORIGIN", "IMPORTER_DETAILS", "FSSAI_LICENSE"
 
-# The captions and the grammar of dates, amounts and licences, and the countries that a label may name.
+# The captions, the grammar of dates, amounts and licences, what marks tables of nutrients and hints to other
+# places of the pack, and the countries that a label may name.
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 _MONTH = rf"(?:{_MONTHS.replace(' ', '|')})[a-z]{{0,6}}\.?[\s/\-.,]*(?:20)?\d{{2}}"
 DATE = rf"(?:(?:0?[1-9]|1[0-2])[/\-.](?:20)?\d{{2}}|(?:0?[1-9]|[12]\d|3[01])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:20)?\d{{2}}|(?:\d{{1,2}}\s*)?{_MONTH})"
@@ -62,18 +63,18 @@ def by_key(key: Column, patterns: dict[str, str], text: Column, otherwise: bool
     return reduce(lambda c, k: c.when(key == k, text.rlike(f"(?i){patterns[k]}")), patterns, F.when(F.lit(False), F.lit(False))).otherwise(otherwise)
 
 
-def captioned(lines: DataFrame, by: Sequence[str], max_gap: float = 90) -> DataFrame:
+def captioned(lines: DataFrame, by: Sequence[str], max_gap: float = 90, captions: dict[str, str] = CAPTIONS, accepts: dict[str, str] = ACCEPTS) -> DataFrame:
     """Per key the first caption with a value: what its own line says after it, else the first line below. A line that
     names another caption and can't be the value is passed over."""
     after = []
-    for key, p in CAPTIONS.items():
+    for key, p in captions.items():
         rest = F.regexp_extract("text", rf"(?i){p}(.*)$", 1)
         after.append(F.when(F.col("text").rlike(f"(?i){p}"), F.struct(F.lit(key).alias("key"), F.trim(F.regexp_replace(rest, r"^[\s:.\-–—]+", "")).alias("rest"), F.regexp_extract("text", f"(?i)({p})", 1).alias("caption"))))
     caption = lines.where(~F.col("text").rlike(ELSEWHERE)).select(*lines.columns, F.explode(F.array_compact(F.array(*after))).alias("f")).select(*lines.columns, "f.*")
-    own = (F.col("rest") != "") & by_key(F.col("key"), ACCEPTS, F.col("rest"))
+    own = (F.col("rest") != "") & by_key(F.col("key"), accepts, F.col("rest"))
     beside = caption.where(own).select(*by, "key", "caption", F.col("rest").alias("value"), F.col("ord").alias("at"), "ord", "confidence", "y1")
-    typed = F.col("c_key").isin(*ACCEPTS)
-    fits = by_key(F.col("c_key"), ACCEPTS, F.col("v_text"))
+    typed = F.col("c_key").isin(*accepts)
+    fits = by_key(F.col("c_key"), accepts, F.col("v_text"))
     passed = typed & ~fits & F.col("v_text").rlike(CAPTION_LIKE)
     below = nearest_below(caption.where(~own), lines, by, max_gap, test=~passed, also=["c_key"]).where(fits)
     below = below.select(*by, F.col("c_key").alias("key"), F.col("c_caption").alias("caption"), F.col("v_text").alias("value"), F.col("c_ord").alias("at"), F.col("v_ord").alias("ord"), F.col("v_confidence").alias("confidence"), F.col("v_y1").alias("y1"))

@@ -86,10 +86,9 @@ def global_search(sources: Mapping[str, tuple[DataFrame, Column, Column, Sequenc
 
 # What each role may do.
 CAPABILITIES = {
-    "ADMIN": ("MANAGE_RULES", "MANAGE_USERS", "REVIEW", "INSPECT", "VIEW"),
-    "SUPERVISOR": ("REVIEW", "INSPECT", "VIEW"),
-    "INSPECTOR": ("INSPECT", "VIEW"),
-    "VIEWER": ("VIEW",),
+    "INSPECTOR": ("inspection:create", "report:generate", "analytics:region"),
+    "SUPERVISOR": ("inspection:create", "inspection:verify", "inspection:close", "report:generate", "analytics:region", "analytics:state"),
+    "ADMIN": ("inspection:create", "inspection:verify", "inspection:close", "report:generate", "rules:manage", "users:manage", "analytics:region", "analytics:state"),
 }
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions import geom, num, text
-from labelforge.operators import analytics, classify, layout, mutate, readers, reconcile, registers, rules
+from labelforge.operators import analytics, classify, declarations, layout, mutate, readers, reconcile, registers, rules
 from labelforge.sources.tables import table
 from labelforge.streaming import events as feed
 
@@ -202,7 +202,7 @@ def distinct_first_seen(spark, d):
 @query("""SELECT role, conv_id, turn, role IN ('system', 'assistant') AS may_review FROM conversations""")
 def capabilities(spark, d):
     role = analytics.recode(F.col("role"), {"system": "ADMIN", "assistant": "SUPERVISOR", "user": "INSPECTOR"})
-    return table(spark, d, "conversations").select("role", "conv_id", "turn", registers.may(role, "REVIEW").alias("may_review"))
+    return table(spark, d, "conversations").select("role", "conv_id", "turn", registers.may(role, "inspection:verify").alias("may_review"))
 
 
 @query("""SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'balance' END, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'segment' END, CASE WHEN length(c_name) < 5 THEN 'name' END) AS failed FROM customer""")
@@ -444,6 +444,56 @@ def label_fields(spark, d):
     return f.select("p_partkey", "key", "value", "ord", F.floor(F.col("confidence") * 100 + 0.5).cast("int").alias("confidence_pct"))
 
 
+def declared_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as labels of eight lines: quantities alone and in packs, batch, maker, address, care."""
+    k = F.col("p_partkey")
+    n = lambda x: x.cast("string")
+    texts = F.array(
+        F.when(k % 2 == 0, F.concat(F.lit("Net Qty: "), n(k % 500 + 1), F.lit(" g"))).otherwise(F.concat(F.lit("Net weight: "), n(k % 4 + 2), F.lit(" N x 50 g"))),
+        F.when(k % 3 == 0, F.concat(F.lit("Batch No.: AB"), n(k % 90000 + 10000))).otherwise(F.concat(F.lit("XB"), n(k % 90000 + 10000))),
+        F.when(k % 5 == 0, "Made for you:").otherwise("Manufactured by: Alpha Mills Ltd., India:"),
+        F.concat(F.lit("Plot "), n(k % 90 + 1), F.lit(", Mill Road, Pune 411 045")),
+        F.lit("Customer care: write to us"),
+        F.concat(F.lit("care"), n(k), F.lit("@shop.example")),
+        F.lit("Country of origin: India"),
+        F.lit("MRP Rs. 75.00"),
+    )
+    x = table(spark, d, "part").select("p_partkey", F.posexplode(texts).alias("ord", "text"))
+    y0 = F.col("ord") * 30.0
+    return x.select("p_partkey", "ord", "text", F.lit(0.9).alias("confidence"), F.lit(0.0).alias("x0"), y0.alias("y0"), F.lit(200.0).alias("x1"), (y0 + 20).alias("y1"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey::VARCHAR AS t, p_partkey % 90 + 1 AS plot, p_partkey % 90000 + 10000 AS code, p_partkey % 4 + 2 AS packs, p_partkey % 500 + 1 AS g FROM part)
+  SELECT p_partkey, 'NET_QUANTITY' AS key, CASE WHEN p_partkey % 2 = 0 THEN g || ' g' ELSE packs || ' N x 50 g (' || packs * 50 || ' g)' END AS value, 0 AS ord, 90 AS confidence_pct FROM p
+  UNION ALL SELECT p_partkey, 'BATCH_NUMBER', CASE WHEN p_partkey % 3 = 0 THEN 'AB' ELSE 'XB' END || code, 1, CASE WHEN p_partkey % 3 = 0 THEN 90 ELSE 70 END FROM p
+  UNION ALL SELECT p_partkey, 'MANUFACTURER_NAME', 'Alpha Mills Ltd.', 2, 90 FROM p WHERE p_partkey % 5 <> 0
+  UNION ALL SELECT p_partkey, 'MANUFACTURER_ADDRESS', 'Plot ' || plot || ', Mill Road, Pune 411 045', 3, 90 FROM p
+  UNION ALL SELECT p_partkey, 'CONSUMER_CARE', 'Customer care: write to us, care' || t || '@shop.example', 4, 90 FROM p
+  UNION ALL SELECT p_partkey, 'COUNTRY_OF_ORIGIN', 'India', 6, 90 FROM p
+  UNION ALL SELECT p_partkey, 'MRP', 'MRP Rs. 75.00', 7, 90 FROM p""")
+def label_declarations(spark, d):
+    f = declarations.declarations(declared_lines(spark, d), ["p_partkey"])
+    return f.select("p_partkey", "key", "value", "ord", F.floor(F.col("confidence") * 100 + 0.5).cast("int").alias("confidence_pct"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'URGENT' ELSE trim(o_orderpriority) END AS o_orderpriority, o_orderstatus FROM orders")
+def partial_update(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.trim("o_orderpriority").alias("o_orderpriority"), "o_orderstatus")
+    return mutate.patch(rows, F.col("o_orderstatus") == "O", {"o_orderpriority": F.lit("URGENT")})
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer")
+def reference_cleared(spark, d):
+    gone = table(spark, d, "nation").where("n_regionkey = 1")
+    return mutate.clear_reference(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", gone, "n_nationkey")
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def rows_added(spark, d):
+    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return mutate.insert_new(old, table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id")
+
+
 # --- texts
 
 

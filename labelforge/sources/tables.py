@@ -13,6 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header, quotes doubled inside quotes, newlines in quotes, cells trimmed, all columns text, blank rows dropped."""
     rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    rows = rows.select(*[F.trim(F.col(f"`{c}`")).alias(c.strip()) for c in rows.columns])  # the reader trims bare cells only
     return rows.where(F.coalesce(*[F.nullif(F.col(f"`{c}`"), F.lit("")) for c in rows.columns]).isNotNull())
 
 
