@@ -251,7 +251,7 @@ def score(blocks: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, lang, n_chars and perplexity per character."""
     where = scratch(blocks.sparkSession, "block-grams")
     asked = map_batches(blocks, _block_keys, "block long, key long")  # a key that a block's parts repeat does no harm
-    asked.join(model.hint("merge"), "key").repartition("block").write.partitionBy("block").parquet(where)
+    asked.join(model.hint("merge"), "key").repartition("block").sortWithinPartitions("block", "key").write.option("compression", "zstd").partitionBy("block").parquet(where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, key, part, gamma = None, *(np.empty(0, t) for t in (np.int64, np.float32, np.float32))
