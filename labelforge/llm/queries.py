@@ -54,4 +54,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_host_rules, op5_sentencepiece, op6_perplexity, op7_toxicity, op8_language, op9_jaccard_join, op10_pii)}
 
-ORACLES: dict[str, str] = {}
+# Rules of op4 as its operator has them; its host step fits a beta prior by moments.
+_OP1 = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+  h AS (SELECT page_id, url, octet_length(encode(payload))::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+  f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id, payload_bytes >= 100 AND page_id <> first_id AS again FROM h)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to, url FROM f"""
+
+_OP4 = r"""WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  g AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8),
+  twice AS (SELECT doc_id, unnest(list(i)) AS i FROM (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win FROM g) GROUP BY doc_id, win HAVING count(*) > 1),
+  rep AS (SELECT doc_id, sum(step)::BIGINT AS n_repeat_words FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS step FROM twice) GROUP BY 1),
+  c AS (SELECT doc_id, host, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    len([x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')]) AS n_lines, len(list_distinct([x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')])) AS n_unlike FROM w),
+  r AS (SELECT doc_id, host, n_words, word_chars, n_symbols, (n_lines - n_unlike)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed FROM c LEFT JOIN rep USING (doc_id)),
+  rules AS (SELECT doc_id, host, k.rule, k.failed FROM r, LATERAL (VALUES ('few', n_words < 20), ('repeats', 100 * n_repeat_words > 30 * n_words), ('symbols', 100 * n_symbols > 10 * n_words),
+    ('lines', 100 * n_dup_lines > 30 * n_words), ('length', n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words))) k(rule, failed)),
+  h AS (SELECT host, rule, count(*)::DOUBLE AS n, count_if(failed)::DOUBLE AS bad FROM rules GROUP BY 1, 2),
+  m AS (SELECT rule, sum(bad) / sum(n) AS mean, sum(n) AS docs, count(*) AS hosts, sum(n) - sum(n * n) / sum(n) AS room, sum(bad * bad / n) AS square FROM h GROUP BY 1),
+  v AS (SELECT rule, mean, least(greatest(CASE WHEN room > 0 THEN (square - docs * mean * mean - (hosts - 1) * mean * (1 - mean)) / room ELSE 0 END, 1e-9), greatest(mean * (1 - mean), 1e-9)) AS between_hosts FROM m),
+  p AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / between_hosts - 1, 1), 1000) AS strength, least(mean + 2 * greatest(sqrt(between_hosts), 0.025), 0.5) AS most FROM v),
+  q AS (SELECT host, rule, n, bad, (bad + mean * strength) / (n + strength) AS rate, most FROM h JOIN p USING (rule)),
+  o AS (SELECT doc_id, max(n)::BIGINT AS host_docs, max(bad)::BIGINT AS host_failed, bool_or(rate > most AND (failed OR rate > 0.5)) AS host_off FROM rules JOIN q USING (host, rule) GROUP BY doc_id)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_off AS kept, host, host_docs, host_failed, host_off FROM r JOIN o USING (doc_id)"""
+
+_OP9 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles FROM w),
+  t AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+  both_in AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n + b.n) AS n, count(*) AS shared FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  links AS MATERIALIZED (SELECT x, y FROM both_in WHERE 100 * shared >= 80 * (n - shared)),
+  reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+  SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_host_rules": _OP4, "op9_jaccard_join": _OP9}
