@@ -46,3 +46,12 @@ def readability(mm: Column, contrast: Column, confidence: Column, least_mm: floa
     poor = (mm < least_mm * 0.95) | (contrast < 3)
     unsure = (mm < least_mm * 1.12) | (contrast < 4.5) | (confidence < 0.85)
     return F.when(poor, "POOR").when(unsure, "REVIEW").otherwise("GOOD")
+
+
+def unit_box(box: Column, width: Column, height: Column) -> Column:
+    """x, y, w, h as shares of the picture, kept within 0 and 1."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.struct(
+        F.greatest(zero, box["x0"] / width).alias("x"), F.greatest(zero, box["y0"] / height).alias("y"),
+        F.least(one, (box["x1"] - box["x0"]) / width).alias("w"), F.least(one, (box["y1"] - box["y0"]) / height).alias("h"),
+    )

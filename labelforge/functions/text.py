@@ -139,3 +139,20 @@ def date_keys(text: Column, first_year: int = 2015, last_year: int = 2036) -> Co
     year = lambda y: F.when(F.length(y) == 2, y.cast("int") + 2000).otherwise(y.cast("int"))
     keys = F.zip_with(found(1), found(2), lambda m, y: F.when(year(y).between(first_year, last_year), year(y) * 12 + m.cast("int")))
     return F.array_sort(F.filter(keys, lambda k: k.isNotNull()))
+
+
+def e164(phone: Column, country: str = "91") -> Column:
+    """A phone number as + and digits; ten digits get the country's prefix."""
+    d = F.regexp_replace(phone, "[^0-9]", "")
+    home = (F.length(d) == 10) & ~F.startswith(F.trim(phone), F.lit("+"))
+    return F.concat(F.when(home, f"+{country}").otherwise("+"), d)
+
+
+def ago(now: Column, then: Column) -> Column:
+    """How long ago in words, each unit rounded from the one below; from 30 days on the date. Both TIMESTAMP_NTZ."""
+    micros = F.timestamp_diff("MICROSECOND", then, now)
+    minutes = F.floor(micros / 60e6 + 0.5)
+    hours = F.floor(minutes / 60.0 + 0.5)
+    days = F.floor(hours / 24.0 + 0.5)
+    text = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return F.when(minutes < 1, "just now").when(minutes < 60, text(minutes, "m")).when(hours < 24, text(hours, "h")).when(days < 30, text(days, "d")).otherwise(F.date_format(then, "dd MMM yyyy"))

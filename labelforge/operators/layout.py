@@ -22,6 +22,34 @@ def words_of_provider(df: DataFrame, json: str, by: Sequence[str]) -> DataFrame:
     return x.select(*by, "block", "line", F.posexplode("l.words").alias("word", "w")).select(*by, "block", "line", "word", "w.*")
 
 
+def words_of_vision(df: DataFrame, json: str, by: Sequence[str]) -> DataFrame:
+    """The answer of a service that gives blocks of paragraphs of words made of symbols, as one row per word: `block` counts
+    its paragraphs, `word` the words of one. A line ends at a symbol with a line break and at a paragraph's end; words without a box or letters are left out."""
+    symbol = "struct<text:string,property:struct<detectedBreak:struct<type:string>>>"
+    word = f"struct<boundingBox:struct<vertices:array<struct<x:double,y:double>>>,confidence:double,symbols:array<{symbol}>>"
+    schema = f"responses array<struct<fullTextAnnotation:struct<pages:array<struct<blocks:array<struct<paragraphs:array<struct<words:array<{word}>>>>>>>>>>"
+    blocks = F.flatten(F.transform("j.responses", lambda r: F.flatten(F.transform(r["fullTextAnnotation"]["pages"], lambda p: p["blocks"]))))
+    paragraphs = F.flatten(F.transform(blocks, lambda b: b["paragraphs"]))
+    x = df.select(*by, F.from_json(json, schema).alias("j")).select(*by, F.posexplode(paragraphs).alias("block", "p"))
+    ends = lambda w: F.coalesce(F.element_at(w["symbols"], -1)["property"]["detectedBreak"]["type"].isin("LINE_BREAK", "EOL_SURE_SPACE"), F.lit(False))
+    x = x.withColumn("breaks", F.transform("p.words", lambda w: ends(w).cast("int"))).select(*by, "block", "breaks", F.posexplode("p.words").alias("word", "w"))
+    line = F.aggregate(F.slice("breaks", F.lit(1), F.col("word")), F.lit(0), lambda a, b: a + b)
+    corner = lambda f, axis: f(F.transform("w.boundingBox.vertices", lambda v: F.coalesce(v[axis], F.lit(0.0))))
+    box = [corner(F.array_min, "x").alias("x0"), corner(F.array_min, "y").alias("y0"), corner(F.array_max, "x").alias("x1"), corner(F.array_max, "y").alias("y1")]
+    text = F.array_join(F.transform("w.symbols", lambda s: F.coalesce(s["text"], F.lit(""))), "")
+    out = x.select(*by, "block", line.alias("line"), "word", text.alias("text"), F.floor(F.coalesce("w.confidence", F.lit(0.9)) * 100 + 0.5).cast("double").alias("confidence"), *box)
+    return out.where((F.trim("text") != "") & F.col("x0").isNotNull())
+
+
+def words_of_overlay(df: DataFrame, json: str, by: Sequence[str], confidence: float = 85.0) -> DataFrame:
+    """The answer of a service that gives lines of words with left, top, width and height; it states no confidence."""
+    schema = "ParsedResults array<struct<TextOverlay:struct<Lines:array<struct<Words:array<struct<WordText:string,Left:double,Top:double,Height:double,Width:double>>>>>>>"
+    x = df.select(*by, F.from_json(json, schema).alias("j")).select(*by, F.posexplode(F.get("j.ParsedResults", F.lit(0))["TextOverlay"]["Lines"]).alias("line", "l"))
+    x = x.select(*by, "line", F.posexplode("l.Words").alias("word", "w")).where(F.trim("w.WordText") != "")
+    at = lambda c: F.coalesce(F.col(f"w.{c}"), F.lit(0.0))
+    return x.select(*by, "line", "word", F.trim("w.WordText").alias("text"), F.lit(confidence).alias("confidence"), at("Left").alias("x0"), at("Top").alias("y0"), (at("Left") + at("Width")).alias("x1"), (at("Top") + at("Height")).alias("y1"))
+
+
 def segments(words: DataFrame, by: Sequence[str] = ("image_id",), gap: float = 0.045, least: float = 8.0) -> DataFrame:
     """words: by, width, block, line, text, confidence (0..100) and box. Lines are split where the next word begins more
     than gap * width after the last; `ord` is the reading order, by y0 then x0."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions import geom, num, text
-from labelforge.operators import analytics, classify, declarations, layout, mutate, readers, reconcile, registers, rules
+from labelforge.operators import agreement, analytics, classify, declarations, layout, mutate, panels, products, readers, reconcile, registers, rules
 from labelforge.sources.tables import table
 from labelforge.streaming import events as feed
 
@@ -630,3 +630,179 @@ def session(spark, d):
 def review_stage(spark, d):
     decision = F.when(F.col("event_type") == "purchase", "CLOSE").otherwise("NOTE")
     return feed.stages(table(spark, d, "events"), "user_id", decision)
+
+
+# --- panels of a label, products and their counters
+
+
+@query(r"""WITH p AS (SELECT l_orderkey, l_returnflag, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 = 0 THEN 'value ' || l_suppkey END AS value, (32 + l_partkey % 32) / 64.0::DOUBLE AS conf,
+    CASE WHEN l_suppkey % 4 = 0 THEN 'Domestic ' || l_suppkey % 5 END AS why FROM lineitem),
+  g AS (SELECT l_orderkey, l_returnflag, avg(conf) FILTER (value IS NULL) AS miss, arg_min(why, (l_linenumber, l_partkey, l_suppkey)) FILTER (value IS NULL AND why IS NOT NULL) AS why,
+    list({'c': conf, 'v': value} ORDER BY l_linenumber, l_partkey, l_suppkey, conf, value) FILTER (value IS NOT NULL) AS l FROM p GROUP BY 1, 2),
+  f AS (SELECT *, CASE WHEN l IS NOT NULL THEN list_reduce(l, lambda a, b: CASE WHEN abs(a.c - b.c) > 0.08 THEN CASE WHEN b.c > a.c THEN b ELSE a END WHEN length(b.v) > length(a.v) THEN b ELSE a END) END AS r FROM g)
+  SELECT l_orderkey, l_returnflag, r.v AS value, CASE WHEN r IS NOT NULL THEN r.c WHEN miss * 8 = floor(miss * 8) AND floor(miss * 8) % 2 = 1 THEN floor(miss * 100 + 0.5) / 100 ELSE printf('%.2f', miss)::DOUBLE END AS confidence,
+    CASE WHEN r IS NULL THEN why END AS not_applicable FROM f""")
+def merged_declarations(spark, d):
+    x = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("value "), F.col("l_suppkey").cast("string"))).alias("value"),
+        ((32 + F.col("l_partkey") % 32) / F.lit(64.0)).alias("confidence"), F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("Domestic "), (F.col("l_suppkey") % 5).cast("string"))).alias("not_applicable"),
+    )
+    return panels.merge_panels(x, ["l_orderkey", "l_returnflag"], ["l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 13 AS found, l_returnflag AS name, l_quantity::BIGINT AS words, l_suppkey * 10 AS ms, l_partkey % 40 AS cap_px, l_linestatus = 'O' AS refocused FROM lineitem),
+  k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, found, name) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM p)
+  SELECT l_orderkey, count(*) AS n_panels, sum(words)::BIGINT AS words, sum(ms)::BIGINT AS ms, min(cap_px) AS cap_px, bool_or(refocused) AS refocused, string_agg(found::VARCHAR, '/' ORDER BY i) AS best_of,
+    string_agg('--- Image ' || i || ' of ' || n || ': ' || name || ' ---', chr(10) ORDER BY i) AS headings FROM k GROUP BY 1""")
+def panel_summary(spark, d):
+    x = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 13).alias("found"), F.col("l_returnflag").alias("name"), F.col("l_quantity").cast("long").alias("words"),
+        (F.col("l_suppkey") * 10).alias("ms"), (F.col("l_partkey") % 40).alias("cap_px"), (F.col("l_linestatus") == "O").alias("refocused"),
+    )
+    return panels.panel_summary(x, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query("SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag))[1] AS first_key, len(list(DISTINCT l_returnflag))::INTEGER AS n_keys FROM lineitem GROUP BY 1")
+def keys_of_all_images(spark, d):
+    return panels.keys_seen(table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag").select("l_orderkey", F.get("keys", F.lit(0)).alias("first_key"), F.size("keys").alias("n_keys"))
+
+
+@query("""WITH w AS (SELECT p_partkey // 40 AS image, p_partkey // 8 AS line, (p_partkey % 8) * 50 + p_size / 2 AS x, ((p_partkey * 53) % 20)::DOUBLE AS y FROM part WHERE 40 + p_size >= 50),
+  s AS (SELECT image, line, count(*) AS n, count(*) * sum(x * y) - sum(x) * sum(y) AS num, count(*) * sum(x * x) - sum(x) * sum(x) AS den, max(x) - min(x) AS across FROM w GROUP BY 1, 2),
+  a AS (SELECT image, CASE WHEN n >= 3 AND den > 0 AND across > 400 * 0.05 THEN degrees(atan2(num, den)) END AS angle FROM s)
+  SELECT image, count(angle) AS n_lines, CASE WHEN count(angle) >= 3 THEN floor(median(angle) * 10 + 0.5) / 10 END AS tilt FROM a GROUP BY 1""")
+def image_tilt(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    x = table(spark, d, "part").select(F.floor(k / 40).alias("image"), F.floor(k / 8).alias("line"), ((k % 8) * 50 + size / 2.0).alias("x"), ((k * 53) % 20).cast("double").alias("y"), (40 + size).cast("double").alias("confidence"))
+    return panels.tilt(x, ["image"], "line", F.lit(400.0))
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS hosted, o_orderkey % 12 AS found, o_orderkey % 7 AS score FROM orders),
+  b AS (SELECT o_custkey, coalesce(max(found) FILTER (hosted) >= 8, false) AS stands_alone, max(score) FILTER (hosted) AS h, max(score) FILTER (NOT hosted) AS l, arg_max(o_orderkey, (score, -o_orderkey)) FILTER (hosted) AS hk,
+    arg_max(o_orderkey, (score, -o_orderkey)) FILTER (NOT hosted) AS lk FROM p GROUP BY 1), c AS (SELECT *, h IS NOT NULL AND (stands_alone OR l IS NULL OR h >= l) AS from_hosted FROM b)
+  SELECT o_custkey, stands_alone, from_hosted AS hosted, CASE WHEN from_hosted THEN hk ELSE lk END AS o_orderkey, CASE WHEN from_hosted THEN h ELSE l END AS score FROM c""")
+def leading_pass(spark, d):
+    k = F.col("o_orderkey")
+    return panels.leading_pass(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F", k % 12, k % 7, "o_orderkey")
+
+
+@query("""SELECT l_partkey, CASE min(CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) WHEN 0 THEN 'violation' WHEN 1 THEN 'review' ELSE 'valid' END AS tone,
+  arg_min(l_suppkey, (CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_orderkey, l_linenumber, l_suppkey)) AS l_suppkey FROM lineitem GROUP BY 1""")
+def region_verdicts(spark, d):
+    status = F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "REVIEW").otherwise("PASS")
+    return panels.region_verdicts(table(spark, d, "lineitem").withColumn("status", status), ["l_partkey"], "status", ["l_orderkey", "l_linenumber"], "l_suppkey")
+
+
+_PRODUCTS = f"""f AS (SELECT l_orderkey, count_if(l_linestatus = 'O')::BIGINT AS n FROM lineitem GROUP BY 1),
+  c AS (SELECT o_custkey, count(*) AS inspection_count, min(o_orderdate) AS created_at, max(o_orderdate) AS last_inspected_at, arg_max({_VERDICT}, (o_orderdate, o_orderkey)) AS latest_status, sum(coalesce(n, 0))::BIGINT AS open_findings,
+    count_if(o_orderstatus = 'P') >= 2 AS repeat_offender FROM orders LEFT JOIN f ON l_orderkey = o_orderkey GROUP BY 1),
+  p AS (SELECT c_custkey, c_mktsegment, coalesce(inspection_count, 0) AS inspection_count, created_at, last_inspected_at, latest_status, coalesce(open_findings, 0) AS open_findings, coalesce(repeat_offender, false) AS repeat_offender
+    FROM customer LEFT JOIN c ON o_custkey = c_custkey)"""
+
+
+@query(f"WITH {_PRODUCTS} SELECT * FROM p")
+def products_with_counters(spark, d):
+    findings = products.open_findings(table(spark, d, "lineitem"), "l_orderkey", F.col("l_linestatus") == "O").withColumnRenamed("l_orderkey", "o_orderkey")
+    seen = inspections(spark, d).join(findings, "o_orderkey", "left").withColumn("open_findings", F.coalesce("open_findings", F.lit(0).cast("long")))
+    counters = products.product_counters(seen, "o_custkey", "o_orderdate", "o_orderkey", "verdict", "NON_COMPLIANT", "open_findings").withColumnRenamed("o_custkey", "c_custkey")
+    return products.with_counters(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), counters, "c_custkey")
+
+
+@query(f"WITH {_PRODUCTS} SELECT c_custkey, last_inspected_at, latest_status FROM p WHERE repeat_offender AND c_mktsegment = 'MACHINERY' ORDER BY last_inspected_at DESC NULLS LAST")
+def offending_products(spark, d):
+    return products.listed_products(products_with_counters(spark, d), True, c_mktsegment="MACHINERY", latest_status=registers.ALL).select("c_custkey", "last_inspected_at", "latest_status")
+
+
+@query("""SELECT o_custkey, o_orderkey, row_number() OVER w::INTEGER AS place, sum(o_orderkey % 101) OVER w::DOUBLE / row_number() OVER w AS mean_so_far FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def compliance_history(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", (F.col("o_orderkey") % 101).alias("score"))
+    return products.history(rows, "o_custkey", "o_orderdate", "o_orderkey", "score").select("o_custkey", "o_orderkey", "place", "mean_so_far")
+
+
+@query("SELECT o_orderkey, coalesce(s_name, (SELECT s_name FROM supplier ORDER BY s_suppkey LIMIT 1)) AS s_name FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey")
+def officer_or_first(spark, d):
+    return products.with_default(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("s_suppkey")), table(spark, d, "supplier"), "s_suppkey", "s_suppkey", "s_name").select("o_orderkey", "s_name")
+
+
+@query("""SELECT s_suppkey, CASE WHEN (s_suppkey % 7) || 'x' || s_suppkey IN (SELECT (c_custkey % 5) || 'x' || c_custkey FROM customer) THEN 'official'
+  WHEN s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) THEN 'email' END AS conflict FROM supplier""")
+def key_conflicts(spark, d):
+    name = lambda k, m, x: F.concat((F.col(k) % m).cast("string"), F.lit(x), F.col(k).cast("string"))
+    new = table(spark, d, "supplier").select("s_suppkey", name("s_suppkey", 7, "x").alias("official"), F.concat(F.col("s_nationkey").cast("string"), F.lit("@m ")).alias("email"))
+    mail = F.when(F.col("c_acctbal") > 9900, F.concat(F.col("c_nationkey").cast("string"), F.lit("@M")))
+    old = table(spark, d, "customer").select(name("c_custkey", 5, "X").alias("official"), mail.alias("email"))
+    return products.conflicts(new, old, "official", "email").select("s_suppkey", "conflict")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type, count_if(event_type = 'signup') OVER w AS code, max(CASE WHEN event_type = 'signup' THEN ts END) OVER w AS since FROM events
+    WHERE event_type IN ('signup', 'purchase', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  t AS (SELECT *, count_if(event_type = 'purchase') OVER k AS used, count_if(event_type <> 'signup') OVER k AS tries FROM e WINDOW k AS (PARTITION BY user_id, code ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT event_id, user_id, CASE WHEN code = 0 OR used > 0 OR tries >= 3 OR ts > since + INTERVAL 2 DAY THEN 'EXPIRED' WHEN event_type = 'purchase' THEN 'ACCEPTED' ELSE 'WRONG' END AS status FROM t WHERE event_type <> 'signup'""")
+def code_attempts(spark, d):
+    kind = F.col("event_type")
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type").where(kind.isin("signup", "purchase", "error"))
+    return products.code_attempts(rows, "user_id", ["ts", "event_id"], "ts", kind == "signup", kind == "purchase", "2 days", 3).select("event_id", "user_id", "status")
+
+
+@query("""SELECT count(*) AS n, count_if(l_linestatus = 'O')::BIGINT AS open, count_if(l_linestatus = 'F')::BIGINT AS verified, count_if(l_returnflag = 'R')::BIGINT AS high, count_if(l_linestatus = 'O' AND l_returnflag = 'R')::BIGINT AS open_high FROM lineitem""")
+def scalar_counters(spark, d):
+    is_open, high = F.col("l_linestatus") == "O", F.col("l_returnflag") == "R"
+    return analytics.counts_of(table(spark, d, "lineitem"), [], {"open": is_open, "verified": F.col("l_linestatus") == "F", "high": high, "open_high": is_open & high})
+
+
+@query("SELECT l_orderkey, coalesce(floor(avg(l_quantity::BIGINT) FILTER (l_returnflag = 'R') * 8 + 0.5) / 8, 0)::DOUBLE AS mean FROM lineitem GROUP BY 1")
+def mean_or_zero(spark, d):
+    eighths = lambda x: F.floor(x * 8 + 0.5) / 8.0
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(panels.mean_or_zero(F.col("l_quantity").cast("long"), F.col("l_returnflag") == "R", 9).alias("mean")).withColumn("mean", eighths(F.col("mean")))
+
+
+@query("""WITH p AS (SELECT s_suppkey, lpad((98000 + s_suppkey)::VARCHAR, 5, '0') || lpad((s_suppkey * 37 % 100000)::VARCHAR, 5, '0') AS d FROM supplier)
+  SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '+91' || d WHEN 1 THEN '+91' || d WHEN 2 THEN '+44' || d ELSE '+' || d END AS phone FROM p""")
+def phone_numbers(spark, d):
+    k = F.col("s_suppkey")
+    a, b = F.lpad((98000 + k).cast("string"), 5, "0"), F.lpad((k * 37 % 100000).cast("string"), 5, "0")
+    shown = F.when(k % 4 == 0, F.concat(a, F.lit("-"), b)).when(k % 4 == 1, F.concat(F.lit("91 "), a, b)).when(k % 4 == 2, F.concat(F.lit(" +44 ("), a, F.lit(") "), b)).otherwise(F.concat(F.lit("+"), a, b))
+    return table(spark, d, "supplier").select("s_suppkey", text.e164(shown).alias("phone"))
+
+
+@query("""WITH m AS (SELECT event_id, ts, floor(date_diff('microsecond', ts, TIMESTAMP '2024-02-15 00:00:00') / 6e7 + 0.5) AS m FROM events),
+  h AS (SELECT *, floor(m / 60 + 0.5) AS h FROM m), d AS (SELECT *, floor(h / 24 + 0.5) AS d FROM h)
+  SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m::BIGINT || 'm ago' WHEN h < 24 THEN h::BIGINT || 'h ago' WHEN d < 30 THEN d::BIGINT || 'd ago' ELSE strftime(ts, '%d %b %Y') END AS shown FROM d""")
+def relative_times(spark, d):
+    return table(spark, d, "events").select("event_id", text.ago(F.to_timestamp_ntz(F.lit("2024-02-15 00:00:00")), F.col("ts")).alias("shown"))
+
+
+@query(f"WITH {_BOXES} SELECT ord, greatest(0, x0 / 256)::DOUBLE AS x, greatest(0, y0 / 64)::DOUBLE AS y, least(1, (x1 - x0) / 256)::DOUBLE AS w, least(1, (y1 - y0) / 64)::DOUBLE AS h FROM b")
+def unit_boxes(spark, d):
+    box = F.struct("x0", "y0", "x1", "y1")
+    return _boxes(spark, d).select("ord", geom.unit_box(box, F.lit(256.0), F.lit(64.0)).alias("b")).select("ord", "b.*")
+
+
+@query(f"WITH {_BOXES} SELECT ord // 4 AS image, ord % 4 // 2 AS line, ord % 4 AS word, 'w' || ord AS text, (50 + ord % 50)::DOUBLE AS confidence, x0, y0, x1, y1 FROM b")
+def provider_words(spark, d):
+    """Parts as a provider's answer of one paragraph with two lines of two words, as JSON, read back."""
+    k = F.col("ord")
+    at = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
+    kind = F.when(k % 2 == 1, "LINE_BREAK").otherwise("SPACE")
+    letters = F.array(F.struct(F.lit("w").alias("text"), F.lit(None).cast("struct<detectedBreak:struct<type:string>>").alias("property")), F.struct(k.cast("string").alias("text"), F.struct(F.struct(kind.alias("type")).alias("detectedBreak")).alias("property")))
+    word = F.struct(F.struct(F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1")).alias("vertices")).alias("boundingBox"), ((50 + k % 50) / 100.0).alias("confidence"), letters.alias("symbols"))
+    one = F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), word.alias("w")))), lambda x: x["w"])  # four words an image
+    images = _boxes(spark, d).groupBy(F.floor(k / 4).alias("image")).agg(one.alias("words"))
+    nested = F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.array(F.struct(F.array(F.struct("words")).alias("paragraphs"))).alias("blocks"))).alias("pages")).alias("fullTextAnnotation"))).alias("responses"))
+    return layout.words_of_vision(images.select("image", F.to_json(nested).alias("json")), "json", ["image"]).drop("block")
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'MRP' ELSE 'PRODUCT_NAME' END AS key, CASE p_partkey % 2 WHEN 0 THEN 'Rs. ' || p_size || '.00' ELSE p_name END AS expected,
+    CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'MRP ' || (p_size + p_partkey % 4 // 2) || '.00 incl' ELSE upper(p_name) || ' by ' || p_brand END AS got FROM part)
+  SELECT p_partkey, key, CASE WHEN got IS NULL THEN false WHEN key = 'MRP' THEN contains(regexp_replace(got, '[^0-9]', '', 'g'), regexp_replace(expected, '[^0-9]', '', 'g'))
+    OR contains(regexp_replace(expected, '[^0-9]', '', 'g'), regexp_replace(got, '[^0-9]', '', 'g')) ELSE contains(lower(got), expected) END AS ok FROM p""")
+def field_agreement(spark, d):
+    """Labels and predictions of parts: prices right or off by one, names in capitals with the brand after them."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, d, "part").withColumn("key", F.when(k % 2 == 0, "MRP").otherwise("PRODUCT_NAME"))
+    expected = F.when(k % 2 == 0, F.concat(F.lit("Rs. "), size.cast("string"), F.lit(".00"))).otherwise(F.col("p_name"))
+    read = F.when(k % 2 == 0, F.concat(F.lit("MRP "), (size + F.floor(k % 4 / 2)).cast("string"), F.lit(".00 incl"))).otherwise(F.concat(F.upper("p_name"), F.lit(" by "), F.col("p_brand")))
+    file = lambda folder: F.concat(F.lit(folder), k.cast("string"), F.lit(".jpg")).alias("file")
+    labels = p.select("p_partkey", file(""), "key", expected.alias("expected"))
+    predictions = p.where(k % 11 != 0).select(file("photographs/"), "key", read.alias("got"))
+    return agreement.judged(labels, predictions).select("p_partkey", "key", "ok")
