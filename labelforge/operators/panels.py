@@ -16,11 +16,12 @@ def merge_panels(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     """Per key the best reading of all panels. Where no panel has a value: the mean confidence of the misses, to two
     decimals, and the first reason in order why none is due."""
     found = F.length(F.coalesce(F.col(value), F.lit(""))) > 0
-    best = best_readings(df.where(found), by, order, value, confidence).select(*by, F.col("value").alias("_value"), F.col("confidence").alias("_confidence"))
+    best = best_readings(df.where(found), by, order, value, confidence).select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("value").alias("_value"), F.col("confidence").alias("_confidence"))
     because = F.min_by(reason, F.when(~found & F.col(reason).isNotNull(), F.struct(*order)))
     keys = df.groupBy(*by).agg(F.avg(F.when(~found, F.col(confidence))).alias("_miss"), because.alias("_reason"))
     none = F.col("_value").isNull()
-    return keys.join(best, list(by), "left").select(
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by])  # a null key is a key, as in groupBy
+    return keys.join(best, same, "left").select(
         *by, F.col("_value").alias(value), F.when(none, to_fixed(F.coalesce("_miss", F.lit(0.0)), 2)).otherwise(F.col("_confidence")).alias(confidence), F.when(none, F.col("_reason")).alias(reason)
     )
 

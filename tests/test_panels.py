@@ -55,10 +55,10 @@ def test_overlay_lines(spark):
 
 
 def test_merged_panels_without_a_value(spark):
-    rows = [(1, 0, None, 0.5, None), (1, 1, "", 0.25, "second"), (1, 2, None, 0.75, "third"), (2, 0, None, 0.1, "not due"), (2, 1, "x", 0.2, None)]
+    rows = [(1, 0, None, 0.5, None), (1, 1, "", 0.25, "second"), (1, 2, None, 0.75, "third"), (2, 0, None, 0.1, "not due"), (2, 1, "x", 0.2, None), (None, 0, "y", 0.5, None)]
     df = spark.createDataFrame(rows, "key int, n int, value string, confidence double, not_applicable string")
     got = {r["key"]: tuple(r)[1:] for r in panels.merge_panels(df, ["key"], ["n"]).collect()}
-    assert got == {1: (None, 0.5, "second"), 2: ("x", 0.2, None)}
+    assert got == {1: (None, 0.5, "second"), 2: ("x", 0.2, None), None: ("y", 0.5, None)}
     assert panels.merge_panels(df.where("key > 9"), ["key"], ["n"]).count() == 0
 
 
