@@ -11,10 +11,11 @@ most groups. Shared groups that then still hold more than one component go throu
 vectors (64 coordinates or more, one for some one or two shingles, so that chance adds little to what sets of any size
 share): subtrees and pairs are dropped where the sum of coordinate minima is below the overlap needed, or the component
 is the same already; pairs that stay are looked at again in places 256 times as fine. Of what is left, a task passes on a
-spanning forest, the likeliest links first: at most one pair a set, whatever the size of a group of near copies. These
-pairs are verified exactly on their texts. If all link, whatever was left out lies within a component; else the lists that had
-more pairs come again with four times as many disjoint forests, until all is settled; so no link between different sets
-is lost. A list of more than TILE sets is cut by size and hash, and its tiles meet two by two in tasks of their own.
+spanning forest, the likeliest links first. Over all tasks each set keeps its BEST likeliest of these pairs, which are
+verified exactly on their texts: at most BEST pairs a set, whatever the size of a group of near copies and in however many
+tasks its lists meet. Of the others, those whose ends are still apart come next. Once all pairs of the forests lie within
+components, so does whatever was left out; else the lists that had more pairs come again with four times as many disjoint
+forests, until all is settled; so no link between different sets is lost. A list of more than TILE sets is cut by size and hash, and its tiles meet two by two in tasks of their own.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; equal sets count once; repeated doc_ids
 stay as rows; a null doc_id is linked through equal sets only, and its component is the least non-null id of that group
@@ -49,6 +50,8 @@ CHUNK = 128
 TILE = 2048
 #: Rounds of disjoint forests are so many times as wide as the one before.
 WIDER = 4
+#: Pairs that a set keeps for its first exact check; later checks of the same pairs take WIDER times as many.
+BEST = 3
 #: A task forgets its forests and the pairs that it refused beyond so many: then it passes on more pairs, never fewer.
 HELD_PAIRS = 400_000
 #: Bytes of text for each shard of the groups' keys.
@@ -111,9 +114,9 @@ def bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(fold(a, m), fold(b, m)).sum(dtype=np.int64))
 
 
-def linked(overlap, a, b):
-    """100 * intersection >= 80 * union."""
-    return 9 * overlap >= 4 * (a + b)
+def linked(overlap, a, b, percent: int = 80):
+    """100 * intersection >= percent * union."""
+    return (100 + percent) * overlap >= percent * (a + b)
 
 
 @cache
@@ -267,24 +270,28 @@ def shared_groups(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([x.astype({"a": "Int64", "b": "Int64"}) for x in out])
 
 
-def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verified(percent: int):
     """Of rows sorted by home and chunk, the home's own text first: the members that link to it, by the sum of coordinate
     minima first, then exactly. Holds one home's set at a time."""
-    at, centre, low = None, None, None
-    for b in batches:
-        keep: list[tuple[int, int]] = []
-        for home, chunk, sid, text in zip(*(b.column(x).to_pylist() for x in ("home", "chunk", "sid", "text")), strict=True):
-            s = shingle_set(text)
-            if set_id(s) != sid:
-                continue  # another text under a repeated id
-            if home == sid:
-                at, centre, low = (home, chunk), s, vectors(s)
-            elif at == (home, chunk) and linked(bound(low, vectors(s)), len(centre), len(s)):
-                both = np.concatenate([centre, s])
-                both.sort(kind="stable")  # two sorted runs: merged in one pass
-                if linked(int((both[1:] == both[:-1]).sum()), len(centre), len(s)):
-                    keep.append((home, sid))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in keep], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre, low = None, None, None
+        for b in batches:
+            keep: list[tuple[int, int]] = []
+            for home, chunk, sid, text in zip(*(b.column(x).to_pylist() for x in ("home", "chunk", "sid", "text")), strict=True):
+                s = shingle_set(text)
+                if set_id(s) != sid:
+                    continue  # another text under a repeated id
+                if home == sid:
+                    at, centre, low = (home, chunk), s, vectors(s)
+                elif at == (home, chunk) and linked(bound(low, vectors(s)), len(centre), len(s), percent):
+                    both = np.concatenate([centre, s])
+                    both.sort(kind="stable")  # two sorted runs: merged in one pass
+                    if linked(int((both[1:] == both[:-1]).sum()), len(centre), len(s), percent):
+                        keep.append((home, sid))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in keep], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -295,7 +302,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.withColumn("bit", bit).join(bits, "bit", "left_semi").drop("bit").join(wanted.hint("merge"), "doc_id")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, homes: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, homes: DataFrame, percent: int = 80) -> DataFrame:
     """The pairs that link. Texts are sent, not sets, which are larger: those of all b to their a, of which a large group
     is cut into chunks that each get the text of a."""
     chunks = pairs.groupBy("a").agg((F.floor(F.count("*") / CHUNK) + 1).alias("chunks"))
@@ -304,7 +311,7 @@ def verify(pairs: DataFrame, docs: DataFrame, homes: DataFrame) -> DataFrame:
     wanted = materialise(members.unionByName(centres).join(homes, "sid"), "wanted")
     rows = texts_of(docs, wanted).select("home", "chunk", "sid", "text")
     rows = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk", F.col("home") != F.col("sid"))
-    return materialise(map_batches(rows, verified, "a long, b long"), "links")
+    return materialise(map_batches(rows, verified(percent), "a long, b long"), "links")
 
 
 class Node:
@@ -388,8 +395,8 @@ def forest_edges(number: int):
     those of `number` disjoint forests. A row with a list's id tells that the list had pairs whose ends were joined already.
     Holds one tile at a time."""
 
-    def edges(tile: list[list], forests: Forests, refused: set[tuple[int, int]]) -> Iterator[tuple[int, int] | None]:
-        """New edges, and None for a pair whose ends are joined already."""
+    def edges(tile: list[list], forests: Forests, refused: set[tuple[int, int]]) -> Iterator[tuple[int, int, float] | None]:
+        """New edges with their bound on the likeness, and None for a pair whose ends are joined already."""
         sid, n, label, side = (np.array(x, np.int64) for x in list(zip(*tile, strict=True))[:4])
         if (label == label[0]).all():
             return
@@ -402,7 +409,8 @@ def forest_edges(number: int):
         if not found:
             return
         x, y, overlap = (np.concatenate(c) for c in zip(*found, strict=True))
-        for k in np.argsort(-overlap / (n[x] + n[y]), kind="stable").tolist():
+        likeness = overlap / (n[x] + n[y] - overlap)
+        for k in np.argsort(-likeness, kind="stable").tolist():
             i, j = int(x[k]), int(y[k])
             pair = min(int(sid[i]), int(sid[j])), max(int(sid[i]), int(sid[j]))
             if pair in forests.edges or pair in refused:
@@ -411,10 +419,16 @@ def forest_edges(number: int):
                 yield None
             elif linked(common(own[i] >> np.uint32(bits[i] - min(bits[i], bits[j])), own[j] >> np.uint32(bits[j] - min(bits[i], bits[j]))), int(n[i]), int(n[j])):
                 forests.join(*pair)
-                yield pair
+                yield *pair, float(likeness[k])
             else:
                 refused.add(pair)
 
+    return forest_batches(edges, number)
+
+
+def forest_batches(edges, number: int):
+    """The loop of forest_edges over tiles; `edges` finds those of one tile."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forests, refused, at, rows, out = Forests(number), set(), None, [], []
 
@@ -427,7 +441,7 @@ def forest_edges(number: int):
                 else:
                     out.append((*pair, None))
             if rest:
-                out.append((None, None, at[0]))
+                out.append((None, None, None, at[0]))
             if len(forests.edges) + len(refused) > HELD_PAIRS:
                 forests = Forests(number)
                 refused.clear()
@@ -436,9 +450,9 @@ def forest_edges(number: int):
 
         def batch() -> pa.RecordBatch:
             nonlocal out
-            a, b, c = zip(*out, strict=True)
+            a, b, w, c = zip(*out, strict=True)
             out = []
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], ["a", "b", "list_id"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.float64()), pa.array(c, pa.int64())], ["a", "b", "w", "list_id"])
 
         for b in batches:
             for list_id, tile, *row in zip(*(b.column(x).to_pylist() for x in ("list_id", "tile", "sid", "n", "label", "side", "places")), strict=True):
@@ -517,28 +531,52 @@ def link_components(docs: DataFrame, tile: int = TILE) -> DataFrame:
     homes = materialise(homes, "homes")
     homes, sizes = homes.drop("n"), homes.drop("doc_id")
     links = verify(pairs, docs, homes)
-    labels = components(links)
     lists = met.where(F.col("kind") == LIST).select(F.col("a").alias("list_id"), "members").dropDuplicates(["list_id"])
     lists = materialise(map_batches(lists, list_rows, "list_id long, sid long"), "lists")
-    points, done, number = None, pairs, 1
+    fetch = lambda wanted: map_batches(texts_of(docs, wanted.join(homes, "sid")).select("sid", "text"), set_points, "sid long, n long, places binary").dropDuplicates(["sid"])
+    labels = settle(docs, homes, sizes, lists, links, pairs, fetch, forest_edges, shards, tile)
+    return with_components(known, labels)
+
+
+def likeliest(pairs: DataFrame, most: int) -> DataFrame:
+    """Of pairs (a, b, w), those that are among the `most` of greatest w of either end."""
+    ends = pairs.select("a", "b", "w", F.explode(F.array("a", "b")).alias("end"))
+    rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("w"), "a", "b"))
+    return ends.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct()
+
+
+def settle(docs, homes, sizes, lists, links, done, fetch, edges, shards: int, tile: int = TILE, percent: int = 80) -> DataFrame:
+    """(sid, label) after all lists (list_id, sid) are settled: no pair of a list that links has its ends apart.
+
+    `fetch` gives what `edges` needs of the sets (sid) asked for, as (sid, n, places); `edges` makes the function over tiles
+    that gives forests of pairs that may link. `links` are the pairs known to link, `done` those that were checked."""
+    labels, points, number = components(links), None, 1
     while True:
         still = materialise(open_tiles(lists.join(sizes, "sid"), labels, tile), "open-tiles")
         if still.isEmpty():
-            break
-        if points is None:
-            wanted = still.select("sid").distinct().join(homes, "sid")
-            points = materialise(map_batches(texts_of(docs, wanted).select("sid", "text"), set_points, "sid long, n long, places binary").dropDuplicates(["sid"]), "points")
+            return labels
+        if points is None:  # labels only grow together: no later round has sets that this one hasn't
+            points = materialise(fetch(still.select("sid").distinct()), "points")
         rows = still.drop("n").join(points, "sid").repartition(shards, "list_id", "tile").sortWithinPartitions("list_id", "tile")
-        found = materialise(map_batches(rows, forest_edges(number), "a long, b long, list_id long"), "forests")
-        forest = found.where("a is not null").select("a", "b").distinct()
-        more = materialise(forest.join(done, ["a", "b"], "left_anti"), "open-pairs")
-        links, done = links.unionByName(verify(more, docs, homes)), done.unionByName(more)
-        labels = components(links)
-        if forest.join(links, ["a", "b"], "left_anti").isEmpty():
-            break  # what was joined already is joined by links
+        found = materialise(map_batches(rows, edges(number), "a long, b long, w double, list_id long"), "found")
+        forest, most = found.where("a is not null").groupBy("a", "b").agg(F.max("w").alias("w")), BEST
+        while True:
+            ends = [labels.select(F.col("sid").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b")]
+            apart = forest.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "w")
+            forest = materialise(apart, "apart")  # pairs within a component are settled
+            more = materialise(likeliest(forest.join(done, ["a", "b"], "left_anti"), most), "forests")
+            if more.isEmpty():
+                break
+            links, done, most = links.unionByName(verify(more, docs, homes, percent)), done.unionByName(more), most * WIDER
+            labels = components(links)
+        if forest.isEmpty():
+            return labels  # what a task left out is joined by what it passed on
         crowded = found.where("list_id is not null").select("list_id").distinct()
         lists, number = materialise(lists.join(crowded, "list_id", "left_semi"), "crowded-lists"), number * WIDER
 
+
+def with_components(known: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (doc_id, n_shingles, sid) with the least doc_id of each row's component."""
     labels = materialise(known.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "labels")
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
     by_set = materialise(labels.join(least, "label").select("sid", "component_id"), "components")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelforge.llm import host_rules, jaccard_join, language, mixing, perplexity, pieces, pii, simhash, toxicity, warc
+from labelforge.llm import host_rules, jaccard_join, language, minhash, mixing, perplexity, pieces, pii, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_host_rules, op5_sentencepiece, op6_perplexity, op7_toxicity, op8_language, op9_jaccard_join, op10_pii)}
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_host_rules, op5_sentencepiece, op6_perplexity, op7_toxicity, op8_language, op9_jaccard_join, op10_pii, op13_minhash)}
 
 # Rules of op4 as its operator has them; its host step fits a beta prior by moments.
 _OP1 = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
@@ -87,4 +91,6 @@ _OP9 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coal
   reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
   SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_host_rules": _OP4, "op9_jaccard_join": _OP9}
+_OP13 = f"SELECT *, doc_id = component_id AS kept FROM ({_OP9.replace('100 * shared >= 80 *', '100 * shared >= 85 *')})"
+
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_host_rules": _OP4, "op9_jaccard_join": _OP9, "op13_minhash": _OP13}
