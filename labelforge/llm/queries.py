@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelforge.llm import host_rules, jaccard_join, language, minhash, mixing, perplexity, pieces, pii, simhash, toxicity, warc
+from labelforge.llm import host_rules, jaccard_join, language, minhash, mixing, perplexity, pieces, pii, repair, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +52,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_host_rules, op5_sentencepiece, op6_perplexity, op7_toxicity, op8_language, op9_jaccard_join, op10_pii, op13_minhash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_host_rules, op5_sentencepiece, op6_perplexity, op7_toxicity, op8_language, op9_jaccard_join, op10_pii, op11_repair, op13_minhash)}
 
 # Rules of op4 as its operator has them; its host step fits a beta prior by moments.
 _OP1 = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
@@ -91,6 +95,41 @@ _OP9 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coal
   reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
   SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
 
+# Rows of a conversation are taken from its end; f0 to f3 are the least (cost, audit, lines) from each state of the grammar.
+_OP11 = r"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT),
+      lambda crc, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)), 4294967295::BIGINT), 4294967295) % 20 AS draw FROM conversations),
+  e AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE draw WHEN 0 THEN []::BIGINT[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d),
+  n AS (SELECT conv_id, turn, role, text, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS mark, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM e),
+  r AS (SELECT *, mark = '' AS blank, mark <> '' AND again AS duplicate, mark NOT IN ('', '.', '!', '?') AND NOT again AS truncated,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM n),
+  t AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(blank)::BIGINT AS blank, count_if(duplicate)::BIGINT AS duplicate,
+    count_if(truncated)::BIGINT AS truncated, count_if(illegal)::BIGINT AS illegal FROM r GROUP BY conv_id),
+  x AS (SELECT conv_id, i, role, text, initial, blank OR duplicate AS gone, CASE WHEN truncated THEN 3 ELSE 0 END::BIGINT AS more FROM r),
+  f AS (SELECT conv_id, rows + 1 AS i, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS f0, {'c': 6::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']} AS f1,
+      {'c': 3::BIGINT, 'a': 'I', 't': ['assistant:']} AS f2, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS f3 FROM t
+    UNION ALL SELECT conv_id, i, least(b0, {'c': b2.c + 3, 'a': 'I' || b2.a, 't': ['user:'] || b2.t}, {'c': b3.c + 6, 'a': 'II' || b3.a, 't': ['user:', 'assistant:'] || b3.t}),
+      least(b1, {'c': b2.c + 3, 'a': 'I' || b2.a, 't': ['user:'] || b2.t}, {'c': b3.c + 6, 'a': 'II' || b3.a, 't': ['user:', 'assistant:'] || b3.t}),
+      least(b2, {'c': b3.c + 3, 'a': 'I' || b3.a, 't': ['assistant:'] || b3.t}), least(b3, {'c': b2.c + 3, 'a': 'I' || b2.a, 't': ['user:'] || b2.t}) FROM
+      (SELECT conv_id, i,
+        least({'c': f0.c + 4, 'a': 'D' || f0.a, 't': f0.t}, {'c': CASE WHEN gone THEN 1000000000000 ELSE f2.c + more + 3 END, 'a': 'R' || f2.a, 't': ['user:' || text] || f2.t},
+          {'c': CASE WHEN gone OR initial <> 'u' THEN 1000000000000 ELSE f2.c + more END, 'a': 'K' || f2.a, 't': [role || ':' || text] || f2.t},
+          {'c': CASE WHEN gone OR initial <> 's' THEN 1000000000000 ELSE f1.c + more END, 'a': 'K' || f1.a, 't': [role || ':' || text] || f1.t}) AS b0,
+        least({'c': f1.c + 4, 'a': 'D' || f1.a, 't': f1.t}, {'c': CASE WHEN gone THEN 1000000000000 ELSE f2.c + more + 3 END, 'a': 'R' || f2.a, 't': ['user:' || text] || f2.t},
+          {'c': CASE WHEN gone OR initial <> 'u' THEN 1000000000000 ELSE f2.c + more END, 'a': 'K' || f2.a, 't': [role || ':' || text] || f2.t}) AS b1,
+        least({'c': f2.c + 4, 'a': 'D' || f2.a, 't': f2.t}, {'c': CASE WHEN gone THEN 1000000000000 ELSE f3.c + more + 3 END, 'a': 'R' || f3.a, 't': ['assistant:' || text] || f3.t},
+          {'c': CASE WHEN gone OR initial <> 'a' THEN 1000000000000 ELSE f3.c + more END, 'a': 'K' || f3.a, 't': [role || ':' || text] || f3.t}) AS b2,
+        least({'c': f3.c + 4, 'a': 'D' || f3.a, 't': f3.t}, {'c': CASE WHEN gone THEN 1000000000000 ELSE f2.c + more + 3 END, 'a': 'R' || f2.a, 't': ['user:' || text] || f2.t},
+          {'c': CASE WHEN gone OR initial <> 'u' THEN 1000000000000 ELSE f2.c + more END, 'a': 'K' || f2.a, 't': [role || ':' || text] || f2.t}) AS b3
+        FROM (SELECT f.*, x.role, x.text, x.initial, x.gone, x.more, x.i AS j FROM f JOIN x ON x.conv_id IS NOT DISTINCT FROM f.conv_id AND x.i = f.i - 1) _(conv_id, k, f0, f1, f2, f3, role, text, initial, gone, more, i)))
+  SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(f0.c, 0) AS cost, coalesce(f0.a, '') AS audit, sha256(coalesce(array_to_string(f0.t, chr(10)), '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = 1"""
+
 _OP13 = f"SELECT *, doc_id = component_id AS kept FROM ({_OP9.replace('100 * shared >= 80 *', '100 * shared >= 85 *')})"
 
-ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_host_rules": _OP4, "op9_jaccard_join": _OP9, "op13_minhash": _OP13}
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_host_rules": _OP4, "op9_jaccard_join": _OP9, "op11_repair": _OP11, "op13_minhash": _OP13}
