@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelforge.llm import host_rules, jaccard_join, language, minhash, mixing, perplexity, pieces, pii, repair, simhash, toxicity, warc
+from labelforge.llm import host_rules, jaccard_join, language, minhash, mixing, perplexity, phrases, pieces, pii, repair, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +56,15 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_host_rules, op5_sentencepiece, op6_perplexity, op7_toxicity, op8_language, op9_jaccard_join, op10_pii, op11_repair, op13_minhash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_host_rules, op5_sentencepiece, op6_perplexity, op7_toxicity, op8_language, op9_jaccard_join, op10_pii, op11_repair, op12_collocations, op13_minhash)}
 
 # Rules of op4 as its operator has them; its host step fits a beta prior by moments.
 _OP1 = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
@@ -102,7 +106,9 @@ _OP11 = r"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS ro
   e AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
     CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(CASE draw WHEN 0 THEN []::BIGINT[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d),
-  n AS (SELECT conv_id, turn, role, text, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS mark, left(role, 1) AS initial,
+  n AS (SELECT conv_id, turn, role, text, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS mark, left(role, 1) AS initial,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM e),
   r AS (SELECT *, mark = '' AS blank, mark <> '' AND again AS duplicate, mark NOT IN ('', '.', '!', '?') AND NOT again AS truncated,
@@ -130,6 +136,20 @@ _OP11 = r"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS ro
     coalesce(f0.c, 0) AS cost, coalesce(f0.a, '') AS audit, sha256(coalesce(array_to_string(f0.t, chr(10)), '')) AS repaired_sha256
   FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = 1"""
 
+_OP12 = r"""WITH s AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM s),
+  g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM p, (VALUES (1), (2), (3), (4)) _(k) WHERE len(w) >= k),
+  f AS MATERIALIZED (SELECT lang, phrase, any_value(k) AS k, count(*) AS a FROM g GROUP BY 1, 2),
+  n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+  c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 30),
+  cuts AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+  scored AS (SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, x.cut, (2000000 * x.a::HUGEINT // (l.a::HUGEINT + r.a))::BIGINT AS score FROM cuts x
+    JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.cut + 1:], ' ')),
+  worst AS (SELECT lang, phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, a, w, k, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) _(m) WHERE m < k) GROUP BY 1, 2),
+  kept AS (SELECT worst.* FROM worst LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
 _OP13 = f"SELECT *, doc_id = component_id AS kept FROM ({_OP9.replace('100 * shared >= 80 *', '100 * shared >= 85 *')})"
 
-ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_host_rules": _OP4, "op9_jaccard_join": _OP9, "op11_repair": _OP11, "op13_minhash": _OP13}
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_host_rules": _OP4, "op9_jaccard_join": _OP9, "op11_repair": _OP11, "op12_collocations": _OP12, "op13_minhash": _OP13}
