@@ -32,9 +32,16 @@ BUCKETS = 1 << 15
 BLOCK, SPARE = 64, 8
 HELD_BLOCKS = 4  # more are read again for each batch of texts
 PENALTY = 6.0
-#: What is alphanumeric to `re` without being a letter: fractions, raised, circled and Roman numerals.
-_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. To `re`, fractions and raised, circled and Roman numerals are as good as letters, so
+    what holds one is cut there; a class without these 1,800 characters would be walked for every character."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split(" ")) if x]
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +60,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         by: dict[str, list[str]] = {}
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            by.setdefault(lang, []).extend(_WORD.findall(text.lower()))
+            by.setdefault(lang, []).extend(words_of(text))
         for lang, words in by.items():
             if words:
                 new = np.bincount(trigrams(words)[0], minlength=BUCKETS)
@@ -152,7 +159,7 @@ def _choose(ll: np.ndarray, n: np.ndarray, penalty: float) -> tuple[np.ndarray,
 
 
 def _read(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    found = [_WORD.findall((t or "").lower()) for t in texts]
+    found = [words_of(t or "") for t in texts]
     return [w for words in found for w in words], np.array([len(words) for words in found], np.int64)
 
 

@@ -160,7 +160,8 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """Documents of one epoch of the mix, whole: those that start before their leaf's cut. A leaf's token-prefix can
     exceed its budget by less than one document."""
     _, leaves = plan(docs, mix)
-    cut = leaves.select(*[F.col(x).alias(f"_{x}") for x in LEVELS], F.col("whole").alias("_whole"), F.col("cut_key").alias("_cut"))
-    held = with_leaf(docs).join(cut, [f"_{x}" for x in LEVELS])
-    key = order_key(mix, F.col("_whole") + 1, F.col("doc_id"))
-    return held.where((tokens_of(F.col("text")) > 0) & ((F.col("_whole") > 0) | (key <= F.col("_cut")))).select(*docs.columns)
+    cut = leaves.select(*[F.col(x).alias(f"_{x}") for x in LEVELS], "whole", "cut_key")
+    # The rows travel as one struct, so that no column's name can clash.
+    held = with_leaf(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "source")).join(cut, [f"_{x}" for x in LEVELS])
+    key = order_key(mix, F.col("whole") + 1, F.col("row.doc_id"))
+    return held.where((tokens_of(F.col("row.text")) > 0) & ((F.col("whole") > 0) | (key <= F.col("cut_key")))).select("row.*")

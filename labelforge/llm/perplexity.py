@@ -14,8 +14,11 @@ shards, and what is found comes back as one small file for each block. A task th
 interpolates from the shortest order up. So a gram is sent once for each block that has it, not for each place where it
 stands, and no worker holds the model.
 
-A text's perplexity is kept within its language's limit: the `quantile` of the trusted texts' perplexities in it; a
-language without trusted text has the limit of all.
+A text's perplexity is kept within its language's limit: the `quantile` of its held-out trusted texts' perplexities. One
+trusted text in HELD_OUT (by crc32 of doc_id) is left out of the counts for that, as the model knows the grams of the texts
+it has counted and would set limits that no new text keeps. A quantile that n texts are too few for (n below 1 / (1 -
+quantile)) is at least that of a normal law of the logarithms, with (1 + 2 / sqrt(n)) times their deviation. A language of
+fewer than LEAST_HELD held-out texts has the limit of all held-out texts; if these are as few, that of all trusted texts.
 
 Defined cases: null and empty texts have no perplexity and aren't kept; without trusted text every other text is kept and
 perplexity is that of 4096 equally likely symbols; a document labelled twice is trusted if any label says so; repeated
@@ -26,6 +29,7 @@ text and lang aren't read, so they may have any name; an empty table gives no ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -34,12 +38,13 @@ import pyarrow.parquet as pq
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import map_batches, materialise, scratch
+from labelforge.llm.common import fold, map_batches, materialise, scratch
 
 SYMBOLS, ORDER = 4096, 5
+HELD_OUT, LEAST_HELD = 5, 3
 #: A row of a block ends at so many characters, a block at so many.
 ROW_CHARS, BLOCK_CHARS = 2 << 20, 64 << 20
 #: A gram's key has its order above its code.
@@ -146,13 +151,14 @@ def _side_file(where: str, block: int) -> pd.DataFrame | None:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    """doc_id of trusted texts, and held_out: whether they are for the limits, not for the counts."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("held_out", fold(F.col("doc_id")) % HELD_OUT == 0)
 
 
 def count_trusted(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     """(code, n) of all five-grams of trusted text. Only ids are joined; a task learns its block's from a file."""
     where = scratch(blocks.sparkSession, "trusted")
-    ids = blocks.select("block", F.explode("doc_id").alias("doc_id")).join(trusted_ids(labels).hint("merge"), "doc_id")
+    ids = blocks.select("block", F.explode("doc_id").alias("doc_id")).join(trusted_ids(labels).where("not held_out").hint("merge"), "doc_id")
     ids.select("block", "doc_id").distinct().repartition("block").write.partitionBy("block").parquet(where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,12 +287,21 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(score(blocks, train(blocks, labels)), "perplexities")
 
 
+def _limit(quantile: float) -> tuple[Column, Column]:
+    """texts and most: how many perplexities there are, and their limit."""
+    texts, seen = F.count("perplexity"), F.percentile_approx("perplexity", quantile, 10_000)
+    spread = F.coalesce(F.stddev_samp(F.log("perplexity")), F.lit(0.0)) * (1 + 2 / F.sqrt(texts))
+    normal = F.exp(F.avg(F.log("perplexity")) + NormalDist().inv_cdf(quantile) * spread)
+    return texts.alias("texts"), F.when(texts * (1 - quantile) < 1, F.greatest(seen, normal)).otherwise(seen).alias("most")
+
+
 def keep_fluent(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, most (the language's limit) and kept."""
     scores = perplexities(docs, labels).withColumn("_lang", F.coalesce("lang", F.lit("")))
-    trusted = materialise(scores.where("perplexity is not null").join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi").select("_lang", "perplexity"), "trusted-perplexities")
-    limit = F.percentile_approx("perplexity", quantile, 10_000)
-    overall = trusted.agg(limit).first()[0]
-    limits = materialise(trusted.groupBy("_lang").agg(limit.alias("most")), "limits")
+    trusted = materialise(scores.where("perplexity is not null").join(trusted_ids(labels).hint("merge"), "doc_id").select("_lang", "perplexity", "held_out"), "trusted-perplexities")
+    held = trusted.where("held_out")
+    limits = materialise(held.groupBy("_lang").agg(*_limit(quantile)).where(F.col("texts") >= LEAST_HELD).select("_lang", "most"), "limits")
+    both = held.agg(*_limit(quantile)).first(), trusted.agg(*_limit(quantile)).first()
+    overall = next((x["most"] for x in both if x["texts"] >= LEAST_HELD), both[1]["most"])
     out = scores.join(limits, "_lang", "left").withColumn("most", F.coalesce("most", F.lit(overall if overall is not None else float("inf"))))
     return out.select("doc_id", "lang", "n_chars", "perplexity", "most", F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(False)).alias("kept"))

@@ -83,13 +83,15 @@ _CASE_TWINS = str.maketrans({"ſ": "s", "ı": "i", "İ": "i", "K": "k"})
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|chez|bei)", r"(?:dot|punkt|punto|point)"
-_DOT = rf"(?:\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}\s*|\s+{_DOT_WORD}\s+)"
+# Runs of white space are entered at their start only, or right before what follows them, so long ones take linear time.
+_SPACE, _GAP = r"(?:(?<!\s)\s*+|)", r"(?<!\s)\s++"
+_DOT = rf"(?:{_SPACE}{_OPEN}\s*+(?:{_DOT_WORD}|\.)\s*+{_CLOSE}\s*+|{_GAP}{_DOT_WORD}\s++)"
 _ATOM = r"[A-Za-z0-9-]++"
 # What stands before "at" and a web address, not before a mail domain.
 NOT_MAILBOXES = frozenset("us me you it him them here there is are was were be available found online look looked looking visit see website site more shop order buy read learn download hosted".split())
 _RULES = re.compile(
-    rf"(?P<at>\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_CLOSE}\s*(?={_ATOM}(?:{_DOT}|\.){_ATOM})|\s+{_AT_WORD}\s+(?={_ATOM}(?:\.{_ATOM})*(?:{_DOT}){_ATOM}))"
-    rf"|(?P<bare>(?<=[A-Za-z0-9_%+-])[^\S\n\r]+{_AT_WORD}[^\S\n\r]+(?=(?P<domain>{_ATOM}(?:\.{_ATOM})+)))"
+    rf"(?P<at>{_SPACE}{_OPEN}\s*+(?:{_AT_WORD}|@)\s*+{_CLOSE}\s*+(?={_ATOM}(?:{_DOT}|\.){_ATOM})|{_GAP}{_AT_WORD}\s++(?={_ATOM}(?:\.{_ATOM})*(?:{_DOT}){_ATOM}))"
+    rf"|(?P<bare>(?<=[A-Za-z0-9_%+-])[^\S\n\r]++{_AT_WORD}[^\S\n\r]++(?=(?P<domain>{_ATOM}(?:\.{_ATOM})+)))"
     rf"|(?P<plus>(?<![^\W_])(?:plus|más)[\s-]+(?=(?:{_WORDS}|[0-9])(?![^\W_])))"
     rf"|(?P<digits>(?<![^\W_])(?:{_WORDS}|[0-9]+)(?:(?:{_DOT}|[\s.-]+)(?:{_WORDS}|[0-9]+))+(?![^\W_]))"
     rf"|(?P<dot>(?<=[A-Za-z0-9])(?:{_DOT})(?=[A-Za-z0-9]))",
@@ -97,10 +99,10 @@ _RULES = re.compile(
 )
 _UNIT = re.compile(rf"({_WORDS})|([0-9]+)|({_DOT}|\s*\.\s*)|([\s-]+)", re.IGNORECASE)
 _SPELLED_DOT = re.compile(_DOT, re.IGNORECASE)
-_TRIGGER = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s*{_CLOSE}|\s{_DOT_WORD}\s|\s{_AT_WORD}\s+{_ATOM}\.[A-Za-z0-9]|\b(?:{_WORDS})[\s.-]+(?:{_WORDS}|[0-9]+)\b", re.IGNORECASE)
+_TRIGGER = re.compile(rf"{_OPEN}\s*+(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s*+{_CLOSE}|\s{_DOT_WORD}\s|\s{_AT_WORD}\s++{_ATOM}\.[A-Za-z0-9]|\b(?:{_WORDS})[\s.-]+(?:{_WORDS}|[0-9]+)\b", re.IGNORECASE)
 #: Styled forms of ASCII letters and digits (full width, mathematical, circled, raised) and the decimal digits of other scripts.
 STYLED = {c: by for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) != "Cs" and (by := str(unicodedata.decimal(c, "")) or unicodedata.normalize("NFKC", c)) != c and len(by) == 1 and by.isascii() and (by.isalnum() or 0xFF00 < ord(c) < 0xFF5F)}
-_ODD = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + re.escape("".join(STYLED)) + "]")
+_ODD = frozenset([*LOOKALIKES, *INVISIBLE, *STYLED])
 
 
 class Traced:
@@ -126,12 +128,10 @@ class Traced:
         self.text, self.start, self.end, self.new = "".join(text), start, end, new
 
 
-def _odd_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in _ODD.finditer(text):
-        c = m[0]
-        edits.append((m.start(), m.end(), "" if c in INVISIBLE else LOOKALIKES.get(c) or STYLED[c]))
-    return edits
+def _odd_edits(text: str, odd: frozenset[str]) -> list[tuple[int, int, str]]:
+    """The edits of those characters of the text that are odd; a class of all odd ones would be walked at every place."""
+    by = {c: "" if c in INVISIBLE else LOOKALIKES.get(c) or STYLED[c] for c in odd}
+    return [(m.start(), m.end(), by[m[0]]) for m in re.finditer("[" + re.escape("".join(odd)) + "]", text)]
 
 
 def _is_mail(text: str, m: re.Match) -> bool:
@@ -168,12 +168,12 @@ def _rule_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    odd = None if text.isascii() else _ODD.search(text)
+    odd = frozenset() if text.isascii() else _ODD.intersection(text)
     if not odd and not _TRIGGER.search(text):
         return []
     traced = Traced(text)
     if odd:
-        traced.rewrite(_odd_edits(text))
+        traced.rewrite(_odd_edits(text, odd))
     traced.rewrite(_rule_edits(traced.text))
     out = []
     for a, kind, b in plain_spans(traced.text):

@@ -31,3 +31,12 @@ def test_blocks_give_what_one_table_gives(spark):
     assert [dict(x) for x in language.mixtures(texts, [(names, table)])] == want
     singly = [dict(x) for x in language.mixtures(texts, [([x], table[:, [k]]) for k, x in enumerate(names)])]
     assert all(s.keys() == w.keys() and all(abs(s[k] - w[k]) < 1e-6 for k in s) for s, w in zip(singly, want, strict=True))
+
+
+def test_words_are_runs_of_letters():
+    import re
+
+    numerals = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha())
+    plain = re.compile(rf"[^\W\d_{re.escape(numerals)}]+")
+    for text in ("Ab½cd ²x ⅣV _a_ 12three ⑦", "Ünï\u0301x İstanbul 漢字三 ٣د 𝟙a", "", "½", "plain words"):
+        assert language.words_of(text) == plain.findall(text.lower())
