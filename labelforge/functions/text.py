@@ -156,3 +156,32 @@ def ago(now: Column, then: Column) -> Column:
     days = F.floor(hours / 24.0 + 0.5)
     text = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
     return F.when(minutes < 1, "just now").when(minutes < 60, text(minutes, "m")).when(hours < 24, text(hours, "h")).when(days < 30, text(days, "d")).otherwise(F.date_format(then, "dd MMM yyyy"))
+
+
+def _product32(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of numbers of 32 bits, from halves, so that nothing passes 64 bits."""
+    return (F.shiftleft((a * F.shiftright(b, 16)).bitwiseAND(F.lit(0xFFFF)), 16) + a * b.bitwiseAND(F.lit(0xFFFF))).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+# Starts and factors of the checksum.
+CHECKSUM_STARTS = (0xDEADBEEF, 0x41C6CE57)
+CHECKSUM_FACTORS = (2654435761, 1597334677)
+CHECKSUM_LAST = (2246822507, 3266489909)
+
+
+def checksum64(text: Column) -> Column:
+    """Sixteen hex digits, four times: two sums of 32 bits over the UTF-16 units of a text, each stirred by the other."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    pair = lambda p: F.array(F.lit(0xD800) + F.shiftright(p - 0x10000, 10), F.lit(0xDC00) + (p - 0x10000).bitwiseAND(F.lit(0x3FF)))
+    units = F.flatten(F.transform(points, lambda p: F.when(p >= 0x10000, pair(p)).otherwise(F.array(p))))
+    n = F.size(units).cast("long")
+    start = F.struct(*[F.lit(x).cast("long").bitwiseXOR(n).alias(k) for k, x in zip("ab", CHECKSUM_STARTS, strict=True)])
+    step = lambda s, c: F.struct(*[_product32(s[k].bitwiseXOR(c), F.lit(x).cast("long")).alias(k) for k, x in zip("ab", CHECKSUM_FACTORS, strict=True)])
+
+    def end(s: Column) -> Column:
+        p, q = (F.lit(x).cast("long") for x in CHECKSUM_LAST)
+        mixed = lambda x, y: _product32(x.bitwiseXOR(F.shiftright(x, 16)), p).bitwiseXOR(_product32(y.bitwiseXOR(F.shiftright(y, 13)), q))
+        out = lambda a, b: F.concat(*[F.lpad(F.lower(F.hex(x)), 8, "0") for x in (b, a)])
+        return F.transform(F.array(mixed(s["a"], s["b"])), lambda a: out(a, mixed(s["b"], a)))[0]
+
+    return F.repeat(F.aggregate(units, start, step, end), 4)

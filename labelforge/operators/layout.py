@@ -116,3 +116,29 @@ def legend_values(lines: DataFrame, by: Sequence[str], keys: dict[str, str]) ->
     values = lines.where(kind.isNull()).select(*by, "ord", F.regexp_extract("text", "([*#@^†‡§])", 1).alias("symbol"), F.trim(F.regexp_extract("text", rf"{mark}:?\s*(.+)$", 2)).alias("value"))
     found = defined.join(values.where("symbol != '' and value != ''"), [*by, "symbol"])
     return found.groupBy(*by, "key").agg(F.min_by("value", "ord").alias("value"))
+
+
+def glued(words: Column) -> Column:
+    """Words of a line in order (structs of text, confidence, x0, y0, x1, y1) with torn punctuation, numbers, addresses and
+    domains put together: a fold whose accumulator is the array that is being built, so a joined word can be joined again."""
+    text = F.transform(words, lambda w: w["text"])
+    priced = F.exists(text, lambda t: t.rlike(r"(?i)m\.?\s?r\.?\s?p|^rs\.?$|₹|taxes"))
+
+    def step(done: Column, w: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        gap, high = w["x0"] - last["x1"], F.greatest(F.lit(8.0), last["y1"] - last["y0"])
+        mark = w["text"].rlike(r"^[.,:;@/\-()]+$") & (gap < high * 0.7)
+        number = last["text"].rlike(r"\d[.,:]$") & w["text"].rlike(r"^\d")
+        address = last["text"].rlike(r"[@/\-]$") & w["text"].rlike("^[A-Za-z0-9]")
+        domain = last["text"].endswith(".") & (last["text"].contains("@") | w["text"].rlike(r"(?i)^(?:com|in|org|net|co|biz|info)(?![A-Za-z0-9_])"))
+        near = (gap < high * 0.45) & (number | address | domain)
+        both = F.concat(last["text"], w["text"])
+        # Between digits of a price a colon is a full stop that was misread.
+        both = F.when(~mark & number & priced, F.regexp_replace(both, r"(\d):(\d)", "$1.$2")).otherwise(both)
+        one = F.struct(
+            both.alias("text"), F.least(last["confidence"], w["confidence"]).alias("confidence"), F.least(last["x0"], w["x0"]).alias("x0"), F.least(last["y0"], w["y0"]).alias("y0"),
+            F.greatest(last["x1"], w["x1"]).alias("x1"), F.greatest(last["y1"], w["y1"]).alias("y1"),
+        )
+        return F.when(F.coalesce(mark | near, F.lit(False)), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(one))).otherwise(F.concat(done, F.array(w)))
+
+    return F.aggregate(words, F.slice(words, 1, 0), step)

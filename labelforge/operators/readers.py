@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.text import repair_rupee
 from labelforge.operators.layout import nearest_below
+from labelforge.sources.scratch import written
 
 MRP, PACKED, BEST, COUNTRY, IMPORTER, LICENCE = "MRP", "DATE_OF_PACKING", "BEST_BEFORE", "COUNTRY_OF_ORIGIN", "IMPORTER_DETAILS", "FSSAI_LICENSE"
 
@@ -198,7 +199,7 @@ def fields(lines: DataFrame, by: Sequence[str] = ("image_id",), batches: DataFra
     """Price, dates, country, importer and licence of every image."""
     by = list(by)
     held = lines.select(*by, "ord", F.coalesce("text", F.lit("")).alias("text"), "confidence", "x0", "y0", "x1", "y1")
-    held = without_nutrition(held, by).withColumn("text", repair_rupee(F.col("text")))
-    hits = captioned(held, by)
+    held = written(without_nutrition(held, by).withColumn("text", repair_rupee(F.col("text"))), "lines-without-tables")
+    hits = written(captioned(held, by), "hits")
     importer = hits.where(F.col("key") == IMPORTER).select(*by, "key", "value", "ord", "confidence")
     return prices(held, by, hits).unionByName(dates(held, by, hits)).unionByName(countries(held, by, hits)).unionByName(importer).unionByName(licences(held, by, hits, batches))

@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelforge.functions import geom, num, text
-from labelforge.operators import agreement, analytics, classify, declarations, layout, mutate, panels, products, readers, reconcile, registers, rules
+from labelforge.functions import geom, num, tables, text
+from labelforge.operators import agreement, analytics, classify, declarations, layout, mutate, panels, products, readers, reconcile, registers, rules, stages, temporal
 from labelforge.sources.tables import table
 from labelforge.streaming import events as feed
 
@@ -806,3 +806,113 @@ def field_agreement(spark, d):
     labels = p.select("p_partkey", file(""), "key", expected.alias("expected"))
     predictions = p.where(k % 11 != 0).select(file("photographs/"), "key", read.alias("got"))
     return agreement.judged(labels, predictions).select("p_partkey", "key", "ok")
+
+
+# --- stages over a label's declarations
+
+
+def staged_labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as labels of six lines, and what readers have found on them: prices whose sign was read as a 7, dates swapped, as a
+    range, or behind the marks of a legend, a batch number in a second column, and no country."""
+    k = F.col("p_partkey")
+    n = lambda x: x.cast("string")
+    price = F.concat(n((k % 50 + 10) * 5), F.lit(".00"))
+    place = F.when(k % 5 == 0, "Jalan Besar 7, Surabaya 60293, Indonesia").otherwise("Mill Road, Pune 411 045")
+    texts = F.array(
+        F.concat(F.lit("Made by Alpha Mills Ltd., "), place), F.lit("Rs 0.50 per g"), F.when(k % 4 >= 2, "*MFD. #EXP.").otherwise("Crisp and light"),
+        F.when(k % 4 >= 2, F.concat(F.lit("*03/2024 #0"), n(k % 9 + 1), F.lit("/2025"))).otherwise("Keep dry"), F.lit("Batch No.:"), F.concat(F.lit("AB"), n(k % 90000 + 10000)),
+    )
+    lines = table(spark, d, "part").select("p_partkey", F.posexplode(texts).alias("ord", "text"))
+    row, right = F.least("ord", F.lit(4)) * 34.0 + 40, F.when(F.col("ord") == 5, 220.0).otherwise(0.0)
+    lines = lines.select("p_partkey", "ord", "text", F.lit(0.9).alias("confidence"), (right + 20).alias("x0"), row.alias("y0"), (right + 200).alias("x1"), (row + 26).alias("y1"))
+    hit = lambda key, value, ord_: F.struct(F.lit(key).alias("key"), value.alias("value"), F.lit(ord_).alias("ord"), F.lit(0.9).alias("confidence"))
+    found = F.array(
+        hit(declarations.MAKER, F.lit("Alpha Mills Ltd."), 0), hit(declarations.ADDRESS, place, 0), hit(declarations.NET, F.concat(F.lit("Net "), n((k % 50 + 10) * 10), F.lit(" g")), 1),
+        hit(readers.MRP, F.concat(F.when(k % 3 == 0, "MRP 7").otherwise("MRP ₹"), price), 1), hit(readers.PACKED, F.when(k % 4 == 0, "06/2026"), 2),
+        hit(readers.BEST, F.when(k % 4 == 0, "05/2024").when(k % 4 == 1, "01/2024 - 06/2025"), 3),
+    )
+    fields = table(spark, d, "part").select("p_partkey", F.explode(found).alias("x")).select("p_partkey", "x.*").where("value is not null")
+    return fields, lines
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 4 AS q, CASE WHEN p_partkey % 5 = 0 THEN 'Jalan Besar 7, Surabaya 60293, Indonesia' ELSE 'Mill Road, Pune 411 045' END AS place,
+    (p_partkey % 50 + 10) * 5 AS rupees, p_partkey % 90000 + 10000 AS code FROM part)
+  SELECT p_partkey, 'MANUFACTURER_NAME' AS key, 'Alpha Mills Ltd.' AS value, 0 AS ord, 90 AS confidence_pct FROM p
+  UNION ALL SELECT p_partkey, 'MANUFACTURER_ADDRESS', place, 0, 90 FROM p
+  UNION ALL SELECT p_partkey, 'COUNTRY_OF_ORIGIN', CASE WHEN place LIKE '%Indonesia' THEN 'Indonesia' ELSE 'India' END, 0, CASE WHEN place LIKE '%Indonesia' THEN 70 ELSE 65 END FROM p
+  UNION ALL SELECT p_partkey, 'NET_QUANTITY', rupees * 2 || ' g', 1, 90 FROM p
+  UNION ALL SELECT p_partkey, 'MRP', 'MRP ₹' || rupees || '.00', 1, 90 FROM p
+  UNION ALL SELECT p_partkey, 'DATE_OF_PACKING', CASE q WHEN 0 THEN '05/2024' WHEN 1 THEN '01/2024' ELSE '03/2024' END, 3, CASE WHEN q < 2 THEN 90 ELSE 85 END FROM p
+  UNION ALL SELECT p_partkey, 'BEST_BEFORE', CASE q WHEN 0 THEN '06/2026' WHEN 1 THEN '06/2025' ELSE '0' || p_partkey % 9 + 1 || '/2025' END, CASE q WHEN 0 THEN 2 ELSE 3 END, CASE WHEN q < 2 THEN 90 ELSE 85 END FROM p
+  UNION ALL SELECT p_partkey, 'BATCH_NUMBER', 'AB' || code, 5, 85 FROM p""")
+def label_stages(spark, d):
+    fields, lines = staged_labels(spark, d)
+    f = stages.staged(fields, lines, ["p_partkey"])
+    return f.select("p_partkey", "key", "value", "ord", F.floor(F.col("confidence") * 100 + 0.5).cast("int").alias("confidence_pct"))
+
+
+# --- joins in time, sketches, folds
+
+
+def _skewed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events of which one user has a third."""
+    return table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).cast("long").alias("user_id"), "ts", "event_type", "value")
+
+
+_SKEWED = "e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END::BIGINT AS user_id, ts, event_type, value FROM events)"
+
+
+@query(f"""WITH {_SKEWED} SELECT l.event_id, l.user_id, r.event_id AS last_event_id, r.value AS last_value FROM (SELECT * FROM e WHERE event_type = 'purchase') l
+  LEFT JOIN LATERAL (SELECT event_id, value FROM e v WHERE v.event_type = 'view' AND v.user_id = l.user_id AND v.ts <= l.ts ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) r ON true""")
+def view_before_purchase(spark, d):
+    e = _skewed_events(spark, d)
+    views = e.where("event_type = 'view'").withColumn("viewed", F.col("event_id"))
+    found = temporal.as_of(e.where("event_type = 'purchase'"), views, "user_id", "ts", "event_id", ["viewed", "value"])
+    return found.select("event_id", "user_id", F.col("last_viewed").alias("last_event_id"), "last_value")
+
+
+@query(f"""WITH {_SKEWED} SELECT l.event_id, count(*) AS clicks, min(r.ts) AS first_click FROM e l JOIN e r ON l.user_id = r.user_id AND r.ts BETWEEN l.ts - INTERVAL 2 HOUR AND l.ts
+  WHERE l.event_type = 'error' AND r.event_type = 'click' GROUP BY 1""")
+def clicks_before_error(spark, d):
+    e = _skewed_events(spark, d).drop("value")
+    pairs = temporal.within(e.where("event_type = 'error'"), e.where("event_type = 'click'"), "user_id", "ts", 7200)
+    return pairs.groupBy(F.col("l_event_id").alias("event_id")).agg(F.count("*").alias("clicks"), F.min("r_ts").alias("first_click"))
+
+
+@query("SELECT date_trunc('month', ts)::DATE AS month, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY 1")
+def distinct_users(spark, d):
+    """Sketches of each day, united by month, beside the exact counts."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    estimate = temporal.united(temporal.distinct_sketches(e, ["day"], "user_id").withColumn("month", F.trunc("day", "month")), ["month"])
+    exact = e.groupBy(F.trunc("day", "month").alias("month")).agg(F.count_distinct("user_id").alias("users"))
+    return exact.join(estimate, "month").select("month", "users", (F.abs(F.col("estimate") / F.col("users") - 1) <= 0.065).alias("close"))
+
+
+@query("""SELECT o_orderkey, 'MRP ' || o_custkey || '.' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || ' desk@shop' || o_custkey || '.com, Ltd. 7th' AS line FROM orders""")
+def glued_words(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    words = F.array(F.lit("MRP"), F.concat(c, F.lit(":")), F.lpad((k % 100).cast("string"), 2, "0"), F.lit("desk@"), F.concat(F.lit("shop"), c, F.lit(".")), F.lit("com"), F.lit(","), F.lit("Ltd."), F.lit("7th"))
+    gaps = F.array(*[F.lit(x) for x in (20, 20, 5, 20, 5, 5, 8, 20, 12)])
+    boxes = F.transform(words, lambda w, i: F.struct(w.alias("text"), F.lit(0.9).alias("confidence"), (i * 200 + F.element_at(gaps, i + 1)).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (i * 200 + 200).cast("double").alias("x1"), F.lit(20.0).alias("y1")))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(layout.glued(boxes), lambda w: w["text"]), " ").alias("line"))
+
+
+_PRODUCT = "((({a}) * ({b})::HUGEINT) % 4294967296)::BIGINT"
+_MIX = "xor({p}, {q})".format(p=_PRODUCT.format(a="xor({x}, {x} >> 16)", b=2246822507), q=_PRODUCT.format(a="xor({y}, {y} >> 13)", b=3266489909))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, list_transform(string_split(p_name, ''), lambda c: ord(c)::BIGINT) AS u FROM part),
+  s AS (SELECT p_partkey, list_reduce(u, lambda h, c: {_PRODUCT.format(a="xor(h, c)", b=2654435761)}, xor(3735928559::BIGINT, len(u)::BIGINT)) AS a,
+    list_reduce(u, lambda h, c: {_PRODUCT.format(a="xor(h, c)", b=1597334677)}, xor(1103547991::BIGINT, len(u)::BIGINT)) AS b FROM t),
+  m AS (SELECT p_partkey, {_MIX.format(x="a", y="b")} AS a, b FROM s)
+  SELECT p_partkey, repeat(printf('%08x', {_MIX.format(x="b", y="a")}) || printf('%08x', a), 4) AS checksum FROM m""")
+def checksums(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.checksum64(F.col("p_name")).alias("checksum"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)
+  SELECT user_id AS owner, count(*) AS events, count_if(before IS NULL OR ts - before > INTERVAL 1 DAY)::BIGINT AS bursts FROM e GROUP BY 1""")
+def user_bursts(spark, d):
+    tables.register(spark)
+    rows = table(spark, d, "events").select(F.col("user_id").alias("owner"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(86_400_000_000).alias("apart"))
+    return spark.sql("SELECT * FROM bursts(TABLE({rows}) PARTITION BY owner ORDER BY at)", rows=rows)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 
 def read_events(spark, path: str, schema: str, files_per_trigger: int = 8) -> DataFrame:
@@ -48,3 +51,34 @@ def stages(events: DataFrame, key: str, decision: Column) -> DataFrame:
 def keep_current(stream: DataFrame, recompute: Callable[[DataFrame, int], None], checkpoint: str, every: str = "60 seconds"):
     """Calls `recompute` with every micro-batch; a batch that is repeated after a failure has the same number."""
     return stream.writeStream.foreachBatch(recompute).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def code_attempts(stream: DataFrame, key: str, id_: str, time: str, issued: Column, right: Column, lifetime: timedelta, most: int = 5, keep: timedelta = timedelta(days=30)) -> DataFrame:
+    """(event_id, owner, status) of the tries of single-use codes as a stream: for each owner the open code's issue, its tries and
+    whether it was used are state between micro-batches, whose events must come in order of time. State untouched for `keep`
+    goes, so owners who never come back cost nothing (a query that is to end with its input needs
+    spark.sql.streaming.noDataMicroBatches.enabled off, as it would wait for these timeouts). `products.code_attempts` gives the same over a whole table. Rows without
+    a key have no owner and go."""
+    rows = stream.select(F.col(key).alias("owner"), F.col(id_).alias("event_id"), F.col(time).cast("timestamp").alias("at"), F.coalesce(issued, F.lit(False)).alias("issued"), F.coalesce(right, F.lit(False)).alias("right"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def judge(owner: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since, tries, used = state.get if state.exists else (None, 0, False)
+        own, out = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable"), []
+        for event_id, at, is_issue, is_right in zip(own["event_id"], own["at"], own["issued"], own["right"], strict=True):
+            if is_issue:
+                since, tries, used = at.to_pydatetime(), 0, False
+                continue
+            gone = since is None or used or tries >= most or at - since > lifetime
+            out.append((event_id, "EXPIRED" if gone else "ACCEPTED" if is_right else "WRONG"))
+            tries, used = tries + 1, used or bool(is_right)
+        if since is not None:
+            state.update((since, tries, used))
+            state.setTimeoutDuration(int(keep.total_seconds() * 1000))
+        yield pd.DataFrame({"event_id": [x[0] for x in out], "owner": [owner[0]] * len(out), "status": [x[1] for x in out]})
+
+    schema = f"event_id {types['event_id']}, owner {types['owner']}, status string"
+    return rows.where("owner is not null").groupBy("owner").applyInPandasWithState(judge, schema, "since timestamp, tries long, used boolean", "append", "ProcessingTimeTimeout")
