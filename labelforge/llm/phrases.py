@@ -1,13 +1,14 @@
 """Phrase collocation mining: phrases of two to four words that occur far more often than their parts suggest.
 
-Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and packed into blocks. One pass gives each
-block's words and its share of a count sketch: every phrase of one to four words, with its language, falls into one of many
-cells (one hash row; as many cells as there are bytes, so a cell's count exceeds its phrases' by about a half), and a block
-sends its cells and counts, packed, to the shards of the cells. A shard sums and answers each block with those of its cells
+Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and packed into blocks. Each block gives its
+share of a count sketch: every phrase of one to four words, with its language, falls into one of many cells (one hash row;
+a cell for each four to eight bytes of text, so that a cell's count exceeds its phrases' by two to five), and a block sends
+its cells and counts, packed, to the shards of the cells. A shard sums and answers each block with those of its cells
 that reach the least count. A cell's sum is an upper bound for each of its phrases, and so are the sums of the cells of the
 phrases within it; a phrase whose every bound reaches the least count is a candidate of the block. Candidates, guarded by a
 delimiter on both sides, compile into one Aho-Corasick automaton for a language and block; a scan counts all matches, overlaps
-included, and the blocks' counts are summed exactly. Nothing that is frequent enough is missed, as bounds are never too
+included (single words are counted as they are), and the blocks' counts, as sorted lists of phrases that compress well, are
+summed exactly. Nothing that is frequent enough is missed, as bounds are never too
 low, and what the sketch let through wrongly falls to the threshold. What moves is a packed cell for each distinct phrase of a
 block; what a task holds is bounded by the block.
 
@@ -24,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from operator import itemgetter
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -96,41 +98,50 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 SKETCH, TEXT = 0, 1
-_BLOCK = {"kind": pa.int32(), "block": pa.int64(), "shard": pa.int64(), "lang": pa.string(), "n": pa.int64(), "cells": pa.binary(), "counts": pa.binary(), "text": pa.binary()}
-BLOCK_SCHEMA = "kind int, block long, shard long, lang string, n long, cells binary, counts binary, text binary"
 
 
-def blocks(bits: int, shards: int, block_bytes: int):
-    """One pass over the texts: for each block its packed words by language (TEXT) and its cells by shard (SKETCH)."""
+def blocks(block_bytes: int):
+    """One pass over the texts: the words of each block by language, compressed, and how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, {}, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows, cells = [], []
+        def flush() -> pa.RecordBatch:
+            rows = []
             for lang, parts in held.items():
                 data = b"".join(parts)
-                own, hashes, whole = phrase_hashes(data, lang)
-                cells += [(h[ok] >> np.uint64(64 - bits)) for h, ok in zip(hashes, whole, strict=True)]
-                rows.append((TEXT, number, None, lang, int(whole[0].sum()) if whole else 0, None, None, zstandard.ZstdCompressor(level=3).compress(data)))
-            cell, count = np.unique(np.concatenate(cells) if cells else np.empty(0, np.uint64), return_counts=True)
-            shard = ((cell >> np.uint64(max(0, bits - 32))) * np.uint64(shards)) >> np.uint64(min(bits, 32))
-            border = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(cell)])) if len(cell) else np.empty(0, np.int64)
-            for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
-                rows.append((SKETCH, number, int(shard[a]), None, None, pack(np.diff(cell[a:b], prepend=np.uint64(0))), pack(count[a:b]), None))
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 64]], t) for k, t in enumerate(_BLOCK.values())], list(_BLOCK))
+                n = sum(x != BREAK for x in data.split())
+                rows.append((number, lang, n, zstandard.ZstdCompressor(level=3).compress(data)))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.binary()))], ["block", "lang", "n", "text"])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for part in cut(tokens(text), block_bytes):
                     if size and size + len(part) > block_bytes:
-                        yield from flush()
+                        yield flush()
                         number, held, size = number + 1, {}, 0
                     held.setdefault(lang, []).append(part)
                     size += len(part)
         if size:
-            yield from flush()
+            yield flush()
+
+    return run
+
+
+def sketches(bits: int, shards: int):
+    """The distinct cells of each block's part in a language, with counts, by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, lang, text in zip(*(b.column(x).to_pylist() for x in ("block", "lang", "text")), strict=True):
+                _, hashes, whole = phrase_hashes(zstandard.ZstdDecompressor().decompress(text), lang)
+                cell, count = np.unique(np.concatenate([h[ok] >> np.uint64(64 - bits) for h, ok in zip(hashes, whole, strict=True)]), return_counts=True)
+                if not len(cell):
+                    continue
+                shard = ((cell >> np.uint64(max(0, bits - 32))) * np.uint64(shards)) >> np.uint64(min(bits, 32))
+                border = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(cell)])).tolist()
+                rows = [(int(shard[i]), block, pack(np.diff(cell[i:j], prepend=np.uint64(0))), pack(count[i:j])) for i, j in zip(border[:-1], border[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "block", "cells", "counts"])
 
     return run
 
@@ -157,21 +168,42 @@ def frequent_cells(least: int):
 
 def candidates(own: list[bytes], hashes: list[np.ndarray], whole: list[np.ndarray], frequent: np.ndarray, bits: int) -> set[bytes]:
     """Phrases of which every bound, its own and those of the phrases within it, is high enough."""
-    out, before = set(), None
+    out: set[bytes] = set()
+    if not len(frequent):
+        return out
+    low = np.uint64((1 << 22) - 1)
+    maybe = np.zeros(int(low) + 1, bool)  # most cells are told apart by their low bits
+    maybe[frequent & low] = True
+    before = None
     for k, (h, ok) in enumerate(zip(hashes, whole, strict=True), 1):
-        cell = h >> np.uint64(64 - bits)
-        at = np.minimum(np.searchsorted(frequent, cell), max(0, len(frequent) - 1))
-        ok = ok & (frequent[at] == cell) if len(frequent) else np.zeros(len(h), bool)
-        if before is not None:
-            ok &= before[:-1] & before[1:]
-        before, where = ok, np.flatnonzero(ok)
+        where = np.flatnonzero(ok if before is None else ok & before[:-1] & before[1:])
+        cell = h[where] >> np.uint64(64 - bits)
+        some = maybe[cell & low]
+        where, cell = where[some], cell[some]
+        where = where[frequent[np.minimum(np.searchsorted(frequent, cell), len(frequent) - 1)] == cell]
+        before = np.zeros(len(h), bool)
+        before[where] = True
         for i in where[np.unique(h[where], return_index=True)[1]].tolist():
             out.add(b" ".join(own[i : i + k]))
     return out
 
 
-def scan(bits: int):
-    """Rows sorted by (block, kind), a block's frequent cells (SKETCH) before its texts: how often each candidate occurs."""
+def scan(bits: int, shards: int):
+    """Rows sorted by (block, kind), a block's frequent cells (SKETCH) before its texts: how often each candidate occurs, as
+    sorted lists of phrases and their counts by language and shard."""
+
+    def count(own: list[bytes], data: bytes, found: set[bytes]) -> dict[bytes, int]:
+        words = Counter(own)
+        counts = {x: words[x] for x in found if b" " not in x}
+        longer = [x.decode("utf-8", "surrogatepass") for x in found if b" " in x]
+        if longer:
+            automaton = ahocorasick.Automaton()
+            for i, phrase in enumerate(longer):
+                automaton.add_word(f" {phrase} ", i)
+            automaton.make_automaton()
+            for i, n in Counter(map(itemgetter(1), automaton.iter(data.decode("utf-8", "surrogatepass")))).items():
+                counts[longer[i].encode("utf-8", "surrogatepass")] = n
+        return counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, cells = None, []
@@ -182,23 +214,31 @@ def scan(bits: int):
                 if kind == SKETCH:
                     cells.append(np.cumsum(unpack(packed), dtype=np.uint64))
                     continue
-                frequent = np.sort(np.concatenate(cells)) if cells else np.empty(0, np.uint64)
+                frequent = np.unique(np.concatenate(cells)) if cells else np.empty(0, np.uint64)
                 cells = [frequent]
                 data = zstandard.ZstdDecompressor().decompress(text)
-                found = candidates(*phrase_hashes(data, lang), frequent, bits)
-                if not found:
-                    continue
-                phrases = [x.decode("utf-8", "surrogatepass") for x in found]
-                automaton = ahocorasick.Automaton()
-                for i, phrase in enumerate(phrases):
-                    automaton.add_word(f" {phrase} ", i)
-                automaton.make_automaton()
-                count = list(Counter(map(itemgetter(1), automaton.iter(data.decode("utf-8", "surrogatepass")))).items())
-                for i in range(0, len(count), 20_000):
-                    part = count[i : i + 20_000]
-                    own = [phrases[x[0]] for x in part]
-                    columns = [pa.array([lang] * len(part)), pa.array(own), pa.array([x.count(" ") + 1 for x in own], pa.int32()), pa.array([x[1] for x in part], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "a"])
+                own, hashes, whole = phrase_hashes(data, lang)
+                counts = count(own, data, candidates(own, hashes, whole, frequent, bits))
+                by: dict[int, list[bytes]] = {}
+                for phrase in sorted(counts):
+                    by.setdefault(crc32(phrase) % shards, []).append(phrase)
+                rows = [(shard, zstandard.ZstdCompressor(level=6).compress(b"\n".join(own)), pack(np.array([counts[x] for x in own], np.uint64))) for shard, own in by.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary())))], ["lang", "shard", "phrases", "counts"])
+
+    return run
+
+
+def summed(least: int):
+    """Of one language and shard: the phrases whose counts sum to the least or more."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total: dict[bytes, int] = {}
+        for phrases, counts in zip(pdf["phrases"], pdf["counts"], strict=True):
+            for x, n in zip(zstandard.ZstdDecompressor().decompress(phrases).split(b"\n"), unpack(counts).tolist(), strict=True):
+                total[x] = total.get(x, 0) + n
+        rows = [(x.decode("utf-8", "surrogatepass"), x.count(b" ") + 1, n) for x, n in total.items() if n >= least]
+        return pd.DataFrame(rows, columns=["phrase", "words", "a"]).assign(lang=pdf["lang"].iloc[0])
 
     return run
 
@@ -213,15 +253,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT, block_bytes: int =
     """(lang, phrase, words, a) of all phrases of one to four words that occur `least` times or more, exactly, and (lang, n)."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits, shards = min(max(20, int(total).bit_length()), 60), int(max(8, total // SHARD_BYTES))
-    packed = materialise(map_batches(docs, blocks(bits, shards, block_bytes), BLOCK_SCHEMA), "blocks")
-    texts = packed.where(F.col("kind") == TEXT)
-    sketch = packed.where(F.col("kind") == SKETCH).select("shard", "block", "cells", "counts")
+    bits, shards = min(max(20, int(total).bit_length() - 2), 60), int(max(8, total // SHARD_BYTES))
+    texts = materialise(map_batches(docs, blocks(block_bytes), "block long, lang string, n long, text binary"), "blocks")
+    sketch = map_batches(texts.select("block", "lang", "text"), sketches(bits, shards), "shard long, block long, cells binary, counts binary")
     frequent = sketch.groupBy("shard").applyInPandas(frequent_cells(least), "block long, cells binary")
-    rows = texts.select("block", "kind", "lang", "cells", "text").unionByName(frequent.withColumn("kind", F.lit(SKETCH)), allowMissingColumns=True)
+    rows = texts.select("block", F.lit(TEXT).alias("kind"), "lang", F.lit(None).cast("binary").alias("cells"), "text")
+    rows = rows.unionByName(frequent.withColumn("kind", F.lit(SKETCH)), allowMissingColumns=True)
     rows = rows.repartition("block").sortWithinPartitions("block", "kind")
-    found = map_batches(rows, scan(bits), "lang string, phrase string, words int, a long")
-    counts = found.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("a").alias("a")).where(F.col("a") >= least)
+    found = map_batches(rows, scan(bits, max(8, shards // 4)), "lang string, shard long, phrases binary, counts binary")
+    counts = found.groupBy("lang", "shard").applyInPandas(summed(least), "lang string, phrase string, words int, a long")
     return materialise(counts, "phrase-counts"), texts.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
