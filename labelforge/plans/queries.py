@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from labelforge.functions import geom, num, tables, text
 from labelforge.operators import agreement, analytics, classify, declarations, layout, mutate, panels, products, readers, reconcile, registers, rules, stages, temporal
+from labelforge.sources.scratch import written
 from labelforge.sources.tables import table
 from labelforge.streaming import events as feed
+from labelforge.streaming import figures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -916,3 +918,23 @@ def user_bursts(spark, d):
     tables.register(spark)
     rows = table(spark, d, "events").select(F.col("user_id").alias("owner"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(86_400_000_000).alias("apart"))
     return spark.sql("SELECT * FROM bursts(TABLE({rows}) PARTITION BY owner ORDER BY at)", rows=rows)
+
+
+# --- figures kept by changes
+
+
+@query("""SELECT event_type, count(*) AS n, sum(coalesce(floor(value * 100 + 0.5)::BIGINT, 0))::BIGINT AS cents
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS k FROM events) WHERE k = 1 GROUP BY 1""")
+def figures_by_changes(spark, d):
+    """Users by their latest event, kept over five spans of time by what each changes; the SQL recomputes them."""
+    image = F.struct("event_type", F.floor(F.col("value") * 100 + 0.5).cast("long").alias("cents"))
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    at = F.unix_micros("ts")
+    start, end = events.agg(F.min(at), F.max(at)).first()
+    step = F.coalesce(F.floor((at - F.lit(start)) * 5 / (F.lit(end) - F.lit(start) + 1)), F.lit(0))
+    changes = figures.images(events, "user_id", ["ts", "event_id"], image)
+    changes = written(changes.select("before", "after", step.cast("int").alias("step")), "changes")
+    kept = changes.limit(0).select("after.event_type", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("cents"))
+    for k in range(5):
+        kept = written(figures.apply(kept, changes.where(F.col("step") == k), ["event_type"]), "figures")
+    return kept
