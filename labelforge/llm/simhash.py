@@ -161,12 +161,12 @@ class Blocks:
 
     def compare(self, a: np.ndarray, b: np.ndarray, same: bool, first: int, second: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row of a, row of b, distance) of the pairs that belong to this place; same: b is a, and each pair counts once."""
-        step = max(1, AT_ONCE // max(1, len(b)))
+        step = max(1, AT_ONCE // max(1, len(b))) if not same else max(1, min(128, AT_ONCE // max(1, len(b))))
         for start in range(0, len(a), step):
-            part = a[start : start + step, None]
-            distance = np.bitwise_count(part[..., 0] ^ b[None, :, 0]) + np.bitwise_count(part[..., 1] ^ b[None, :, 1])
+            part, past = a[start : start + step, None], start if same else 0
+            distance = np.bitwise_count(part[..., 0] ^ b[None, past:, 0]) + np.bitwise_count(part[..., 1] ^ b[None, past:, 1])
             i, j = np.nonzero(distance <= self.radius)
-            d, i = distance[i, j], i + start
+            d, i, j = distance[i, j], i + start, j + past
             if same:
                 once = i < j
                 i, j, d = i[once], j[once], d[once]
