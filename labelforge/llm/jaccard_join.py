@@ -14,8 +14,8 @@ is the same already; pairs that stay are looked at again in places 256 times as
 spanning forest, the likeliest links first. Over all tasks each set keeps its BEST likeliest of these pairs, which are
 verified exactly on their texts: at most BEST pairs a set, whatever the size of a group of near copies and in however many
 tasks its lists meet. Of the others, those whose ends are still apart come next. Once all pairs of the forests lie within
-components, so does whatever was left out; else the lists that had more pairs come again with four times as many disjoint
-forests, until all is settled; so no link between different sets is lost. A list of more than TILE sets is cut by size and hash, and its tiles meet two by two in tasks of their own.
+components, so does whatever was left out; else the lists that had more pairs come again, with their sets of those components that a
+pair which doesn't link had put together, and four times as many disjoint forests, until all is settled; so no link between different sets is lost. A list of more than TILE sets is cut by size and hash, and its tiles meet two by two in tasks of their own.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; equal sets count once; repeated doc_ids
 stay as rows; a null doc_id is linked through equal sets only, and its component is the least non-null id of that group
@@ -389,6 +389,39 @@ class Forests:
                 self.edges.add((a, b))
                 return
 
+    def roots(self, sets: list[int]) -> np.ndarray:
+        """A row for each forest: the roots of the sets."""
+        return np.array([[self._roots(up, a, a)[0] for a in sets] for up in self.up], np.int64)
+
+    def grow(self, sid: np.ndarray, x: np.ndarray, y: np.ndarray, likeness: np.ndarray, refused: set[tuple[int, int]], may_link) -> Iterator[tuple[int, int, float] | None]:
+        """Takes pairs of rows, the likeliest first: yields those that join the forests, and None where others had their
+        ends joined already. Pairs come in blocks that double; of a block only those that are still apart at its start are
+        looked at one by one, so a dense group costs little more than its sets."""
+        order = np.argsort(-likeness, kind="stable")
+        x, y, likeness, names = x[order], y[order], likeness[order], sid.tolist()
+        at, step, rest = 0, 4 * len(names), False
+        name = lambda i, j: (min(names[i], names[j]), max(names[i], names[j]))
+        while at < len(x):
+            i, j, w = x[at : at + step], y[at : at + step], likeness[at : at + step]
+            roots = self.roots(names)
+            apart = (roots[:, i] != roots[:, j]).any(0)
+            closed = np.flatnonzero(~apart)
+            rest = rest or any((p := name(i[k], j[k])) not in self.edges and p not in refused for k in closed)
+            for a, b, v in zip(i[apart].tolist(), j[apart].tolist(), w[apart].tolist(), strict=True):
+                pair = name(a, b)
+                if pair in self.edges or pair in refused:
+                    continue
+                if not self.apart(*pair):
+                    rest = True
+                elif may_link(a, b):
+                    self.join(*pair)
+                    yield *pair, v
+                else:
+                    refused.add(pair)
+            at, step = at + step, 2 * step
+        if rest:
+            yield None
+
 
 def forest_edges(number: int):
     """Rows sorted by tile: of the pairs that both bounds let through (a < b), the vectors' and that of the finer places,
@@ -410,18 +443,12 @@ def forest_edges(number: int):
             return
         x, y, overlap = (np.concatenate(c) for c in zip(*found, strict=True))
         likeness = overlap / (n[x] + n[y] - overlap)
-        for k in np.argsort(-likeness, kind="stable").tolist():
-            i, j = int(x[k]), int(y[k])
-            pair = min(int(sid[i]), int(sid[j])), max(int(sid[i]), int(sid[j]))
-            if pair in forests.edges or pair in refused:
-                continue
-            if not forests.apart(*pair):
-                yield None
-            elif linked(common(own[i] >> np.uint32(bits[i] - min(bits[i], bits[j])), own[j] >> np.uint32(bits[j] - min(bits[i], bits[j]))), int(n[i]), int(n[j])):
-                forests.join(*pair)
-                yield *pair, float(likeness[k])
-            else:
-                refused.add(pair)
+
+        def may_link(i: int, j: int) -> bool:
+            low = min(bits[i], bits[j])
+            return linked(common(own[i] >> np.uint32(bits[i] - low), own[j] >> np.uint32(bits[j] - low)), int(n[i]), int(n[j]))
+
+        yield from forests.grow(sid, x, y, likeness, refused, may_link)
 
     return forest_batches(edges, number)
 
@@ -562,8 +589,9 @@ def settle(docs, homes, sizes, lists, links, done, fetch, edges, shards: int, ti
         forest, most = found.where("a is not null").groupBy("a", "b").agg(F.max("w").alias("w")), BEST
         while True:
             ends = [labels.select(F.col("sid").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b")]
-            apart = forest.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "w")
-            forest = materialise(apart, "apart")  # pairs within a component are settled
+            apart = forest.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+            apart = materialise(apart.select("a", "b", "w", "label_a", "label_b"), "apart")  # pairs within a component are settled
+            forest = apart.select("a", "b", "w")
             more = materialise(likeliest(forest.join(done, ["a", "b"], "left_anti"), most), "forests")
             if more.isEmpty():
                 break
@@ -571,8 +599,12 @@ def settle(docs, homes, sizes, lists, links, done, fetch, edges, shards: int, ti
             labels = components(links)
         if forest.isEmpty():
             return labels  # what a task left out is joined by what it passed on
+        # A path in a task's forest that joins what isn't linked leaves its first and its last component by a pair that
+        # doesn't link, so only sets of components at such pairs may have lost a link.
+        torn = apart.select(F.explode(F.array(F.coalesce("label_a", "a"), F.coalesce("label_b", "b"))).alias("label")).distinct()
         crowded = found.where("list_id is not null").select("list_id").distinct()
-        lists, number = materialise(lists.join(crowded, "list_id", "left_semi"), "crowded-lists"), number * WIDER
+        lists = lists.join(crowded, "list_id", "left_semi").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        lists, number = materialise(lists.join(torn, "label", "left_semi").select("list_id", "sid"), "crowded-lists"), number * WIDER
 
 
 def with_components(known: DataFrame, labels: DataFrame) -> DataFrame:

@@ -137,18 +137,7 @@ def estimated_edges(percent: int):
                 x, y = np.nonzero(fits)
                 found.append((x + i, y, e[x, y]))
             x, y, likeness = (np.concatenate(c) for c in zip(*found, strict=True))
-            for k in np.argsort(-likeness, kind="stable").tolist():
-                i, j = int(x[k]), int(y[k])
-                pair = min(int(sid[i]), int(sid[j])), max(int(sid[i]), int(sid[j]))
-                if pair in forests.edges or pair in refused:
-                    continue
-                if not forests.apart(*pair):
-                    yield None
-                elif may_link(i, j):
-                    forests.join(*pair)
-                    yield *pair, float(likeness[k])
-                else:
-                    refused.add(pair)
+            yield from forests.grow(sid, x, y, likeness, refused, may_link)
 
         return forest_batches(edges, number)
 
