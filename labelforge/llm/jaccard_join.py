@@ -52,8 +52,10 @@ TILE = 2048
 WIDER = 4
 #: Pairs that a set keeps for its first exact check; later checks of the same pairs take WIDER times as many.
 BEST = 3
-#: A task forgets its forests and the pairs that it refused beyond so many: then it passes on more pairs, never fewer.
+#: A task forgets its forests beyond so many pairs: then it passes on more pairs, never fewer.
 HELD_PAIRS = 400_000
+#: Places of at most so many bits are looked up in a mask, so many places of other sets at a time.
+MASK_BITS, MASK_READ = 24, 1 << 20
 #: Bytes of text for each shard of the groups' keys.
 SHARD_BYTES = 24 << 20
 _words = WordTable(hash64)
@@ -393,10 +395,10 @@ class Forests:
         """A row for each forest: the roots of the sets."""
         return np.array([[self._roots(up, a, a)[0] for a in sets] for up in self.up], np.int64)
 
-    def grow(self, sid: np.ndarray, x: np.ndarray, y: np.ndarray, likeness: np.ndarray, refused: set[tuple[int, int]], may_link) -> Iterator[tuple[int, int, float] | None]:
+    def grow(self, sid: np.ndarray, x: np.ndarray, y: np.ndarray, likeness: np.ndarray, may_link) -> Iterator[tuple[int, int, float] | None]:
         """Takes pairs of rows, the likeliest first: yields those that join the forests, and None where others had their
-        ends joined already. Pairs come in blocks that double; of a block only those that are still apart at its start are
-        looked at one by one, so a dense group costs little more than its sets."""
+        ends joined already. Pairs come in blocks that double; of a block only those that are still apart at its start go
+        through `may_link`, all at once, so a dense group costs little more than its sets."""
         order = np.argsort(-likeness, kind="stable")
         x, y, likeness, names = x[order], y[order], likeness[order], sid.tolist()
         at, step, rest = 0, 4 * len(names), False
@@ -405,50 +407,67 @@ class Forests:
             i, j, w = x[at : at + step], y[at : at + step], likeness[at : at + step]
             roots = self.roots(names)
             apart = (roots[:, i] != roots[:, j]).any(0)
-            closed = np.flatnonzero(~apart)
-            rest = rest or any((p := name(i[k], j[k])) not in self.edges and p not in refused for k in closed)
-            for a, b, v in zip(i[apart].tolist(), j[apart].tolist(), w[apart].tolist(), strict=True):
-                pair = name(a, b)
-                if pair in self.edges or pair in refused:
+            rest = rest or any(name(i[k], j[k]) not in self.edges for k in np.flatnonzero(~apart))
+            i, j, w = i[apart], j[apart], w[apart]
+            fits = may_link(i, j)
+            for pair, v in zip(map(name, i[fits].tolist(), j[fits].tolist()), w[fits].tolist(), strict=True):
+                if pair in self.edges:
                     continue
-                if not self.apart(*pair):
-                    rest = True
-                elif may_link(a, b):
+                if self.apart(*pair):
                     self.join(*pair)
                     yield *pair, v
                 else:
-                    refused.add(pair)
+                    rest = True
             at, step = at + step, 2 * step
         if rest:
             yield None
 
 
+def fine_links(place, bits: np.ndarray, n: np.ndarray, percent: int = 80):
+    """Whether the places of rows i[k] and j[k] let them link: of j's at least as many as the two share are places of i.
+    `place` gives a row's places; all partners of a row are looked up at once in a mask of its places."""
+
+    def of(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        overlap, low = np.zeros(len(i), np.int64), np.minimum(bits[i], bits[j])
+        order = np.lexsort((low, i))
+        cuts = np.flatnonzero((np.diff(i[order]) != 0) | (np.diff(low[order]) != 0)) + 1
+        for rows in np.split(order, cuts) if len(order) else []:
+            a, level = int(i[rows[0]]), int(low[rows[0]])
+            own = place(a) >> np.uint32(bits[a] - level)
+            if level > MASK_BITS:
+                overlap[rows] = [common(own, place(k) >> np.uint32(bits[k] - level)) for k in j[rows].tolist()]
+                continue
+            mask = np.zeros(1 << level, np.uint8)
+            mask[own] = 1
+            for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(n[j[rows]]) // MASK_READ)) + 1):
+                theirs = [place(k) >> np.uint32(bits[k] - level) if bits[k] > level else place(k) for k in j[part].tolist()]
+                length = np.array([len(t) for t in theirs])
+                overlap[part] = np.add.reduceat(mask[np.concatenate(theirs)], np.cumsum(length) - length, dtype=np.int64)
+        return linked(overlap, n[i], n[j], percent)
+
+    return of
+
+
 def forest_edges(number: int):
     """Rows sorted by tile: of the pairs that both bounds let through (a < b), the vectors' and that of the finer places,
     those of `number` disjoint forests. A row with a list's id tells that the list had pairs whose ends were joined already.
     Holds one tile at a time."""
 
-    def edges(tile: list[list], forests: Forests, refused: set[tuple[int, int]]) -> Iterator[tuple[int, int, float] | None]:
+    def edges(tile: list[list], forests: Forests) -> Iterator[tuple[int, int, float] | None]:
         """New edges with their bound on the likeness, and None for a pair whose ends are joined already."""
         sid, n, label, side = (np.array(x, np.int64) for x in list(zip(*tile, strict=True))[:4])
         if (label == label[0]).all():
             return
         opener = zstandard.ZstdDecompressor()
-        own, bits = [unpack(x[4], opener) for x in tile], [fine_bits(x[1]) for x in tile]
-        low = min(bits)
+        own, bits = [unpack(x[4], opener) for x in tile], np.array([fine_bits(x[1]) for x in tile])
+        low = int(bits.min())
         m = low - FINE.bit_length() + 1
-        points = np.stack([np.bincount(v >> np.uint32(b - m), minlength=1 << m).astype(np.uint32) for v, b in zip(own, bits, strict=True)])
+        points = np.stack([np.bincount(v >> np.uint32(b - m), minlength=1 << m).astype(np.uint32) for v, b in zip(own, bits.tolist(), strict=True)])
         found = list(tree_join(points, n, label, side if side.any() else None))
         if not found:
             return
         x, y, overlap = (np.concatenate(c) for c in zip(*found, strict=True))
-        likeness = overlap / (n[x] + n[y] - overlap)
-
-        def may_link(i: int, j: int) -> bool:
-            low = min(bits[i], bits[j])
-            return linked(common(own[i] >> np.uint32(bits[i] - low), own[j] >> np.uint32(bits[j] - low)), int(n[i]), int(n[j]))
-
-        yield from forests.grow(sid, x, y, likeness, refused, may_link)
+        yield from forests.grow(sid, x, y, overlap / (n[x] + n[y] - overlap), fine_links(own.__getitem__, bits, n))
 
     return forest_batches(edges, number)
 
@@ -457,21 +476,20 @@ def forest_batches(edges, number: int):
     """The loop of forest_edges over tiles; `edges` finds those of one tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forests, refused, at, rows, out = Forests(number), set(), None, [], []
+        forests, at, rows, out = Forests(number), None, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal forests
             rest = False
-            for pair in edges(rows, forests, refused):
+            for pair in edges(rows, forests):
                 if pair is None:
                     rest = True
                 else:
                     out.append((*pair, None))
             if rest:
                 out.append((None, None, None, at[0]))
-            if len(forests.edges) + len(refused) > HELD_PAIRS:
+            if len(forests.edges) > HELD_PAIRS:
                 forests = Forests(number)
-                refused.clear()
             if len(out) >= 50_000:
                 yield batch()
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.llm.common import map_batches, materialise
-from labelforge.llm.jaccard_join import SHARD_BYTES, TILE, Forests, common, fine_bits, forest_batches, linked, mix64, set_id, set_points, settle, shingle_set, texts_of, unpack, verify, with_components
+from labelforge.llm.jaccard_join import SHARD_BYTES, TILE, Forests, fine_bits, fine_links, forest_batches, mix64, set_id, set_points, settle, shingle_set, texts_of, unpack, verify, with_components
 
 PERCENT = 85
 BANDS, ROWS = 32, 4
@@ -113,20 +113,17 @@ def estimated_edges(percent: int):
     least = cut(percent)
 
     def make(number: int):
-        def edges(tile: list[list], forests: Forests, refused: set[tuple[int, int]]) -> Iterator[tuple[int, int, float] | None]:
+        def edges(tile: list[list], forests: Forests) -> Iterator[tuple[int, int, float] | None]:
             sid, n, label, side = (np.array(x, np.int64) for x in list(zip(*tile, strict=True))[:4])
             if (label == label[0]).all():
                 return
             signature = np.frombuffer(b"".join(x[4][:SIGNATURE] for x in tile), np.uint64).reshape(len(tile), -1)
             opener, places = zstandard.ZstdDecompressor(), {}
 
-            def may_link(i: int, j: int) -> bool:
-                for k in (i, j):
-                    if k not in places:
-                        places[k] = unpack(tile[k][4][SIGNATURE:], opener)
-                low = min(fine_bits(int(n[i])), fine_bits(int(n[j])))
-                x, y = (places[k] >> np.uint32(fine_bits(int(n[k])) - low) for k in (i, j))
-                return linked(common(x, y), int(n[i]), int(n[j]), percent)
+            def place(k: int) -> np.ndarray:
+                if k not in places:
+                    places[k] = unpack(tile[k][4][SIGNATURE:], opener)
+                return places[k]
 
             found = []
             for i in range(0, len(tile), 256):
@@ -137,7 +134,8 @@ def estimated_edges(percent: int):
                 x, y = np.nonzero(fits)
                 found.append((x + i, y, e[x, y]))
             x, y, likeness = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield from forests.grow(sid, x, y, likeness, refused, may_link)
+            bits = np.array([fine_bits(x[1]) for x in tile])
+            yield from forests.grow(sid, x, y, likeness, fine_links(place, bits, n, percent))
 
         return forest_batches(edges, number)
 
