@@ -4,8 +4,10 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from labelforge.llm import jaccard_join, minhash
+from labelforge.llm.jaccard_join import Forests, fine_bits, fine_links, fine_points, linked
 from tests.llm.data import awkward, empty
 from tests.llm.test_contracts import WORD, near_copies, rows
 
@@ -91,3 +93,50 @@ def test_bands_and_cut_at_the_threshold():
     """The chance that a pair just at 0.85 shares no band is negligible, and the cut is far below what estimates scatter."""
     assert (1 - 0.85**minhash.ROWS) ** minhash.BANDS < 1e-10
     assert 0.6 < minhash.cut(85) < 0.75
+
+
+def test_places_of_many_partners_agree_with_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = []
+    for size in (6, 40, 127, 128, 130, 150, 600, 640, 2900):
+        for share in (1.0, 0.9, 0.8, 0.5):
+            own = base[:size].copy()
+            gone = rng.random(size) >= share
+            own[gone] = rng.integers(0, 1 << 63, int(gone.sum()), dtype=np.uint64)
+            sets.append(np.unique(own))
+    n = np.array([len(s) for s in sets])
+    places, bits = [fine_points(s) for s in sets], np.array([fine_bits(k) for k in n.tolist()])
+    i, j = np.nonzero(np.ones((len(sets), len(sets)), bool))
+    exact = np.array([linked(len(np.intersect1d(sets[a], sets[b])), n[a], n[b], 85) for a, b in zip(i, j, strict=True)])
+    for most_bits, read in ((24, 1 << 20), (24, 500), (0, 1 << 20)):  # masks, masks in many parts, pairs one by one
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(jaccard_join, "MASK_BITS", most_bits)
+            patch.setattr(jaccard_join, "MASK_READ", read)
+            got = fine_links(places.__getitem__, bits, n, 85)(i, j)
+        assert got[exact].all()  # never loses a link
+        assert (got & ~exact).sum() <= 4  # and lets hardly anything else through
+    assert fine_links(places.__getitem__, bits, n, 85)(i[:0], j[:0]).tolist() == []
+
+
+def test_forests_grow_as_pair_by_pair():
+    rng = np.random.default_rng(5)
+    for number in (1, 4):
+        sid = rng.permutation(200) - 100
+        x, y = np.triu_indices(200, 1)
+        likeness = rng.random(len(x))
+        fits = rng.random(len(x)) < 0.2
+        verdict = {(a, b): f for a, b, f in zip(x.tolist(), y.tolist(), fits.tolist(), strict=True)}
+        plain, want, rest = Forests(number), [], False
+        for k in np.argsort(-likeness, kind="stable").tolist():
+            pair = min(int(sid[x[k]]), int(sid[y[k]])), max(int(sid[x[k]]), int(sid[y[k]]))
+            if not plain.apart(*pair):
+                rest = True
+            elif fits[k]:
+                plain.join(*pair)
+                want.append((*pair, likeness[k]))
+        forests = Forests(number)
+        may_link = lambda i, j: np.array([verdict[p] for p in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        got = list(forests.grow(sid, x, y, likeness, may_link))
+        assert rest and got == [*want, None]
+        assert list(forests.grow(sid, x[:1], y[:1], likeness[:1], may_link)) in ([], [None])
