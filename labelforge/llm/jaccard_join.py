@@ -613,8 +613,10 @@ def settle(docs, homes, sizes, lists, links, done, fetch, edges, shards: int, ti
             more = materialise(likeliest(forest.join(done, ["a", "b"], "left_anti"), most), "forests")
             if more.isEmpty():
                 break
-            links, done, most = links.unionByName(verify(more, docs, homes, percent)), done.unionByName(more), most * WIDER
-            labels = components(links)
+            fresh, done, most = verify(more, docs, homes, percent), done.unionByName(more), most * WIDER
+            if not fresh.isEmpty():
+                links = links.unionByName(fresh)
+                labels = components(links)
         if forest.isEmpty():
             return labels  # what a task left out is joined by what it passed on
         # A path in a task's forest that joins what isn't linked leaves its first and its last component by a pair that
