@@ -81,3 +81,32 @@ def test_cells_bound_counts_from_above():
     cell, count = np.unique(np.concatenate([h[ok] >> np.uint64(64 - 8) for h, ok in zip(hashes, whole)]), return_counts=True)
     found = phrases.candidates(own, hashes, whole, cell[count >= 30], 8)
     assert {p for p, a in true.items() if a >= 30} <= found
+
+
+def test_a_word_is_looked_up_once_however_often_it_occurs(monkeypatch):
+    asked = []
+
+    class Table:
+        def __getitem__(self, word):
+            asked.append(word)
+            return phrases.hash64(word)
+
+    monkeypatch.setattr(phrases, "_words", Table())
+    own, _, _ = phrases.phrase_hashes(phrases.tokens("so it goes. " * 500), "en")
+    assert own[:4] == [b"so", b"it", b"goes", b"."] and len(own) == 2001
+    assert sorted(asked) == [b".", b"goes", b"it", b"so"]
+
+
+def test_matches_of_hundreds_of_words_that_share_letters():
+    """Ranks above 256 take other first letters; overlaps count, and what lies between candidates stops a match."""
+    rng = random.Random(5)
+    data = phrases.tokens("".join(f"w{rng.choice((i, i, i + 1, 7))}{rng.choice('   .')}" + "a a a a " * (i % 3) for i in range(700) for _ in range(4)))
+    words, numbers = phrases.numbered(data)
+    hashes, whole = phrases.hashes_at(words, numbers, "en")
+    true = Counter(tuple(numbers[i : i + k].tolist()) for k, ok in enumerate(whole, 1) for i in np.flatnonzero(ok))
+    cell, count = np.unique(np.concatenate([h[ok] >> np.uint64(64 - 40) for h, ok in zip(hashes, whole)]), return_counts=True)
+    where = phrases.places(hashes, whole, cell[count >= 2], 40)
+    one = phrases.distinct(where, numbers)
+    found = {tuple(numbers[i : i + k].tolist()): n for k, (at, own) in enumerate(zip(one[1:], phrases.matches(numbers, where, one)), 2) for i, n in zip(at.tolist(), own.tolist())}
+    assert len({x for p in found for x in p}) > 300
+    assert found == {p: a for p, a in true.items() if a >= 2 and len(p) > 1}
