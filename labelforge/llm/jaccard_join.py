@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import WordTable, hash64, map_batches, materialise
+from labelforge.llm.common import hash64, map_batches, materialise
 
 SHINGLE = 5
 GROUPS, MOST_GROUPS = 64, 1 << 24
@@ -58,7 +58,6 @@ HELD_PAIRS = 400_000
 MASK_BITS, MASK_READ = 24, 1 << 20
 #: Bytes of text for each shard of the groups' keys.
 SHARD_BYTES = 24 << 20
-_words = WordTable(hash64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,14 +75,16 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if len(h) < SHINGLE:
+    if len(words) < SHINGLE:
         return np.array([hash64(b"\0".join([b"%d" % len(words), *words]))], np.uint64)
+    h = pd.util.hash_array(np.array(words, object), categorize=False)  # SipHash of all words in one call
     m = len(h) - SHINGLE + 1
     s = h[:m].copy()
     for k in range(1, SHINGLE):
         s = s * _P + h[k : k + m]
-    return np.unique(mix64(s))
+    s = mix64(s)
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def set_id(shingles: np.ndarray) -> int:

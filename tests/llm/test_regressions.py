@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from labelforge.llm import common, language, pii, warc
+from labelforge.llm import common, jaccard_join, language, pii, warc
 
 
 def test_every_case_twin_of_a_digit_word_is_read():
@@ -93,3 +94,17 @@ def test_toxicity_score_is_that_of_the_most_toxic_window():
             doubled = [" ".join([*plain[:20], w + w[-1], *plain[20:40]]) for w in bad]
             assert all(float(model.score(np.array([top(t)]))[0]) >= 0.7 for t in doubled)
             assert float(model.score(np.array([top(" ".join(plain[:40]))]))[0]) < 0.7
+
+
+def test_words_of_a_shingle_set_are_hashed_in_one_call(monkeypatch):
+    """A call for each rare word took most of the first pass over the texts."""
+    made, keep = [], common.hashlib.blake2b
+    monkeypatch.setattr(common.hashlib, "blake2b", lambda *a, **k: made.append(a) or keep(*a, **k))
+    rng = random.Random(9)
+    for words in (5, 6, 300):
+        text = " ".join(rng.choice(["Never\x00met", "never\x00", "never", "É", "é", "\x85", "　", f"rare{rng.random()}"]) for _ in range(words))
+        own = text.encode().lower().split()
+        found = jaccard_join.shingle_set(text)
+        assert len(found) == len({tuple(own[i : i + 5]) for i in range(words - 4)}) and (found[1:] > found[:-1]).all()
+        assert (jaccard_join.shingle_set(f" {text}\n") == found).all()
+    assert not made
