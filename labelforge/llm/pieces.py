@@ -47,8 +47,9 @@ class Pieces:
         for i in range(p.vocab_size()):
             s = p.id_to_piece(i)
             if p.is_byte(i):
-                self.byte[int(s[3:5], 16)] = i
-                self.text.append(f"\0{s[3:5]}")
+                b = int(s[3:5], 16)
+                self.byte[b] = i
+                self.text.append(chr(b) if 0 < b < 128 else f"\0{s[3:5]}")  # such a byte is a character in any run
             elif p.is_control(i) or p.is_unknown(i):
                 self.text.append("")
             else:
@@ -70,7 +71,7 @@ class Pieces:
 
     def edges(self, units: list[str]):
         """Of all units, one after the other: edges (start, end, log-probability, piece) between character positions, the
-        position that each unit starts at, and the byte strings; a byte string's piece is -2 - its number."""
+        position that each unit starts at, and the byte strings; a byte string's piece is -2 - its number, a single byte's its own."""
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         length = np.array([len(u) for u in units], np.int64)
         start = np.cumsum(length) - length
@@ -90,7 +91,8 @@ class Pieces:
             at, h = at[more], h[more]
         bare = np.flatnonzero(bare)
         raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[bare].tolist()]
-        found.append((bare, np.ones(len(bare), np.int64), self.byte_logp * np.array([len(r) for r in raw], float), -2 - np.arange(len(bare))))
+        own = np.array([self.byte[r[0]] if len(r) == 1 else -1 for r in raw], np.int64)
+        found.append((bare, np.ones(len(bare), np.int64), self.byte_logp * np.array([len(r) for r in raw], float), np.where(own >= 0, own, -2 - np.arange(len(bare)))))
         first, size, logp, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         return first, first + size, logp, piece.astype(np.int32), start, length, raw
 
@@ -137,7 +139,9 @@ class Lattices:
         alpha = np.zeros(length.sum() + len(units))
         first, last = first + shift, last + shift
         # Forwards by position in the unit, over all units at once.
-        order = np.lexsort((first, last, step))
+        longest = self.pieces.longest + 1
+        by_end = last * longest + (longest - (last - first))  # longer pieces first; no two edges have one key
+        order = np.argsort(step * (longest * len(alpha) + longest) + by_end)
         first, last, logp, piece, step = first[order], last[order], logp[order], piece[order], step[order]
         new = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
         bounds = np.searchsorted(step[new], np.arange(1, length.max() + 2))
@@ -150,7 +154,7 @@ class Lattices:
             total = np.add.reduceat(np.exp(z - np.repeat(most, np.diff(np.append(at, len(z))))), at)
             alpha[last[own]] = most + np.log(total)
         p = np.exp(alpha[first] + logp - alpha[last])
-        order = np.lexsort((first, last))
+        order = np.argsort(last * longest + (longest - (last - first)), kind="stable")  # nearly in order
         first, last, piece, p = first[order], last[order], piece[order], p[order]
         new = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
         size = np.diff(np.append(new, len(last)))
@@ -192,7 +196,7 @@ def encode_batch(texts: list[str | None], keys: list, lattices: Lattices, seed:
     counts = np.array(counts)
     if not every:
         return [np.empty(0, np.int32) for _ in texts]
-    if new := list(dict.fromkeys(u for u in every if u not in lattices.at)):
+    if new := [u for u in dict.fromkeys(every) if u not in lattices.at]:
         lattices.add(new)
     first, run, back, piece = lattices.first, lattices.run, lattices.back, lattices.piece
     node = np.fromiter(map(lattices.at.__getitem__, every), np.int64, len(every))

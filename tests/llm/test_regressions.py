@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from labelforge.llm import common, jaccard_join, language, pii, warc
+from labelforge.llm import common, jaccard_join, language, pieces, pii, warc
 
 
 def test_every_case_twin_of_a_digit_word_is_read():
@@ -108,3 +108,15 @@ def test_words_of_a_shingle_set_are_hashed_in_one_call(monkeypatch):
         assert len(found) == len({tuple(own[i : i + 5]) for i in range(words - 4)}) and (found[1:] > found[:-1]).all()
         assert (jaccard_join.shingle_set(f" {text}\n") == found).all()
     assert not made
+
+
+def test_line_ends_need_no_byte_strings():
+    """A newline, a tab or a NUL is a piece of its own byte; only characters of several bytes are put together from bytes."""
+    model = pieces.load(pieces.MODEL, 1.0)
+    lattices = pieces.Lattices(model)
+    texts = ["a\nb\n\n\tc\x00", "\n", "x\x00\x0a0A \x01", "snow ☃\n\U0001f9ff\n▁"]
+    ids = pieces.encode_batch(texts, [1, 2, 3, 4], lattices, 42)
+    assert [pieces.decode(x.tolist(), model) for x in ids] == texts
+    assert "\0" not in "".join(model.text[i] for i in ids[1]) and model.byte[10] in ids[0].tolist()
+    first, last, _, piece, *_ = model.edges([" a", "\n", "\x00"])
+    assert (piece >= 0).all()
