@@ -516,20 +516,35 @@ def forest_batches(edges, number: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(sid, label): label is the least set id that can be reached. Large-star and small-star steps until nothing changes."""
-    edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), None
+    """(sid, label): label is the least set id that can be reached. Large-star and small-star steps until all are stars.
+
+    A step has four shuffles: the least neighbour of every set that is the greater end of a link, links by their lesser end
+    (its greater neighbours go to the least one), by their greater end (its lesser neighbours go to the least one), and
+    distinct links."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u")
-        small = near.select("u", F.col("m").alias("v")).unionByName(near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "stars")
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == before:
+        least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        near = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = materialise(near.select(F.explode(ends).alias("edge")).select("edge.u", "edge.v").where("u != v").distinct(), "stars")
+        if are_stars(edges):
             return edges.select(F.col("u").alias("sid"), F.col("v").alias("label"))
-        before = now
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Of edges (u, v) with u > v: whether each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("end"), "v").unionByName(edges.select(F.col("v").alias("end"), F.lit(None).cast("long").alias("v")))
+    seen = ends.groupBy("end").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.max(F.col("v").isNull()).alias("centre"))
+    return seen.where("least is not null and (centre or least != most)").agg(F.count("*")).first()[0] == 0
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after `links` (a, b) between labels are added: only these labels go through the steps, not all links."""
+    moved = components(links)  # a set that is a label has no row in `labels`
+    to = moved.select(F.col("sid").alias("label"), F.col("label").alias("root"))
+    kept = labels.join(to, "label", "left").select("sid", F.coalesce("root", "label").alias("label"))
+    return materialise(kept.unionByName(moved), "joined-labels")
 
 
 def open_tiles(lists: DataFrame, labels: DataFrame, tile: int = TILE) -> DataFrame:
@@ -541,14 +556,17 @@ def open_tiles(lists: DataFrame, labels: DataFrame, tile: int = TILE) -> DataFra
     link are a tile, with sides 0 and 1, and each part is one for itself."""
     labelled = lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     several = labelled.groupBy("list_id").agg((F.min("label") != F.max("label")).alias("open"), F.count("*").alias("sets")).where("open").select("list_id", "sets")
-    rows = labelled.join(several, "list_id")
+    rows = materialise(labelled.join(several, "list_id").select("list_id", "sid", "n", "label", "sets"), "open-lists")
     along = Window.partitionBy("list_id").orderBy("n", "sid")
     near = [F.lag("n").over(along) * 5 >= F.col("n") * 4, F.col("n") * 5 >= F.lead("n").over(along) * 4]
     near = F.coalesce(near[0], F.lit(False)) | F.coalesce(near[1], F.lit(False))
     columns = ["list_id", "tile", "sid", "n", "label", "side"]
     small = rows.where(F.col("sets") <= tile).withColumn("near", near).where("near").withColumns({"tile": F.lit(0).cast("long"), "side": F.lit(0)}).select(*columns)
 
-    large = rows.where(F.col("sets") > tile).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9))
+    large = rows.where(F.col("sets") > tile)
+    if large.isEmpty():
+        return small
+    large = large.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9))
     parts = large.groupBy("list_id", "band").agg((F.floor(F.count("*") / tile) + 1).alias("parts"))
     above, below = (parts.select("list_id", (F.col("band") + k).alias("band"), F.col("parts").alias(name)) for k, name in ((-1, "above"), (1, "below")))
     parts = parts.join(above, ["list_id", "band"], "left").join(below, ["list_id", "band"], "left").fillna(0, ["above", "below"])
@@ -616,8 +634,7 @@ def settle(docs, homes, sizes, lists, links, done, fetch, edges, shards: int, ti
                 break
             fresh, done, most = verify(more, docs, homes, percent), done.unionByName(more), most * WIDER
             if not fresh.isEmpty():
-                links = links.unionByName(fresh)
-                labels = components(links)
+                labels = joined(labels, fresh.join(apart, ["a", "b"]).select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")))
         if forest.isEmpty():
             return labels  # what a task left out is joined by what it passed on
         # A path in a task's forest that joins what isn't linked leaves its first and its last component by a pair that
