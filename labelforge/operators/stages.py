@@ -1,27 +1,29 @@
 """A label's declarations as one state that passes through fixed stages: legends, repair, caption columns, repair, country.
 
-The state has one row for each image and one column for each declaration: a struct of value, ord, confidence and text (that of
-the line it was read from), null where nothing was read. A stage fills or mends columns, so a later one can draw on what an
-earlier one found in another field: the country of origin comes from the maker's address, a price is weighed against quantity
-and unit price, dates are told apart by their order. Repair and country are expressions over the row; the stages that look at
-lines again join them by image. The state, a small table, is written after each stage, so plans stay short and lines are
-read once a stage.
-
-Defined cases: images without lines or fields have no rows; null texts are empty lines; of several values of one key in
-`fields` the one of the first line counts; equal lines are told apart by ord; other columns of `lines` are not looked at.
+The state has one row for each image: its lines in order, and one column for each declaration: a struct of value, ord,
+confidence and text (that of the line it was read from), null where nothing was read. A stage fills or mends columns, so a later
+one can draw on what an earlier one found in another field: the country of origin comes from the maker's address, a price is
+weighed against quantity and unit price, dates are told apart by their order. Lines and fields meet in one shuffle by image; from
+there on all stages, also those that look at lines again, are expressions over the row, without a join or another shuffle. The
+state is written once, so the driver plans two queries whatever the number of stages or rows.
+
+Defined cases: images without lines or fields, or with a null in `by`, have no rows; null texts are empty lines; of several values
+of one key in `fields` the one of the first line counts, on one line the least; of several marked values on one line, and of dates
+of one month on one line, the first; equal lines are told apart by ord; other columns of `lines` are not looked at; an image's
+lines are one row, so they have to fit in a task's memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelforge.functions.geom import span_overlap
 from labelforge.functions.text import looks_like_words, repair_rupee
 from labelforge.operators import declarations as d
 from labelforge.operators import readers as r
-from labelforge.operators.layout import same_row
 from labelforge.sources.scratch import written
 
 KEYS = (d.NAME, d.MAKER, d.ADDRESS, d.NET, r.MRP, d.CARE, r.PACKED, r.BEST, r.COUNTRY, r.IMPORTER, r.LICENCE, d.BATCH)
@@ -51,11 +53,32 @@ POINTS_ELSEWHERE = r"(?i)\b(?:see|refer(?:\s*to)?|read|check)\s+(?:the\s+)?(?:ne
 LEGEND_CAP, ROW_CAP, BLOCK_CAP, COUNTRY_CAP, INDIA_CAP = 0.85, 0.85, 0.75, 0.7, 0.65
 
 
-def state_of(fields: DataFrame, lines: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows (by, key, value, ord, confidence) as one row an image, each hit with the text of its line."""
-    own = fields.where(F.trim("value") != "").join(lines.select(*by, "ord", "text"), [*by, "ord"], "left")
-    hit = F.struct("value", F.col("ord").cast("int").alias("ord"), F.col("confidence").cast("double").alias("confidence"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.groupBy(*by).agg(*[F.min_by(hit, F.when(F.col("key") == k, F.col("ord"))).alias(k) for k in KEYS])
+def _head(array: Column) -> Column:
+    return F.try_element_at(array, F.lit(1))
+
+
+def _first_of(array: str, key: str) -> Column:
+    """The first of the array's structs (key, hit) with that key: its hit."""
+    return _head(F.filter(array, lambda x: x["key"] == key))["hit"]
+
+
+def gathered(fields: DataFrame, lines: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row for each image with lines: its lines and the fields that readers found, both in the order of ord."""
+    line = F.struct("ord", F.coalesce("text", F.lit("")).alias("text"), "confidence", "x0", "y0", "x1", "y1")
+    hit = F.struct(F.col("ord").cast("int").alias("ord"), "key", "value", F.col("confidence").cast("double").alias("confidence"))
+    found = fields.where((F.trim("value") != "") & F.col("ord").isNotNull()).select(*by, hit.alias("hit"))
+    both = lines.select(*by, line.alias("line")).unionByName(found, allowMissingColumns=True).dropna(subset=list(by))
+    return both.groupBy(*by).agg(F.sort_array(F.collect_list("line")).alias("lines"), F.sort_array(F.collect_list("hit")).alias("hits")).where(F.size("lines") > 0)
+
+
+def state_of(s: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Gathered rows as the state: each hit with the text of its line, and the first unit price printed."""
+    text = lambda h: F.coalesce(_head(F.filter("lines", lambda x: x["ord"] == h["ord"]))["text"], F.lit(""))
+    hits = F.transform("hits", lambda h: F.struct(h["key"].alias("key"), F.struct(h["value"].alias("value"), h["ord"].alias("ord"), h["confidence"].alias("confidence"), text(h).alias("text")).alias("hit")))
+    priced = lambda t: F.replace(F.nullif(F.regexp_extract(t, UNIT_PRICE, 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    unit_price = _head(F.array_compact(F.transform("lines", lambda x: priced(x["text"]))))
+    s = s.select(*by, "lines", unit_price.alias("unit_price"), hits.alias("hits"))
+    return s.select(*by, "lines", "unit_price", *[_first_of("hits", k).alias(k) for k in KEYS])
 
 
 def rows_of(state: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -140,57 +163,74 @@ def repaired_amounts(s: DataFrame) -> DataFrame:
     return s.withColumn(d.NET, F.when(~F.coalesce(small, F.lit(False)) | F.col(f"{d.NET}.text").rlike(f"(?i){d.CAPTIONS[d.NET]}"), F.col(d.NET)))
 
 
-def repaired_care(s: DataFrame, lines: DataFrame, by: Sequence[str]) -> DataFrame:
+def _below(at: Column, max_gap: float = 70, min_overlap: float = 0.2) -> Column:
+    """The nearest line below, as `layout.nearest_below` and `declarations.walk` have it; null without one."""
+    high = at["y1"] - at["y0"]
+    under = lambda x: (x["ord"] != at["ord"]) & (x["y0"] >= at["y1"] - high * 0.3) & (x["y0"] - at["y1"] <= max_gap) & (span_overlap(at["x0"], at["x1"], x["x0"], x["x1"]) >= min_overlap)
+    return F.array_min(F.transform(F.filter("lines", under), lambda x: F.struct(*[x[c].alias(c) for c in ("y0", "ord", "x0", "x1", "y1", "text", "confidence")])))
+
+
+def repaired_care(s: DataFrame) -> DataFrame:
     """Care lines without a contact go on to the first one of the three lines below that has it, or go."""
-    lost = s.where(F.col(d.CARE).isNotNull() & ~F.col(f"{d.CARE}.value").rlike(CONTACT)).select(*by, f"{d.CARE}.ord", F.col(f"{d.CARE}.text").alias("head"))
-    down = d.walk(lost, lines, by, steps=3).join(lost.select(*by, "head"), list(by))
-    along = Window.partitionBy(*by).orderBy("step")
-    earlier = F.coalesce(F.max(F.col("text").rlike(CONTACT)).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    down = down.withColumn("earlier", earlier).where("not earlier").groupBy(*by).agg(F.max(F.col("text").rlike(CONTACT)).alias("found"), F.first("head").alias("head"), d.in_order(F.col("step"), F.col("text")).alias("parts"), F.avg("confidence").alias("more"))
-    down = down.where("found").select(*by, d.joined(F.concat(F.array("head"), F.col("parts"))).alias("_care"), "more")
-    s = s.join(down, list(by), "left")
-    good = F.col(f"{d.CARE}.value").rlike(CONTACT)
-    mended = F.col(d.CARE).withField("value", F.col("_care")).withField("confidence", (F.col(f"{d.CARE}.confidence") + F.col("more")) / 2)
-    return s.withColumn(d.CARE, F.when(good, F.col(d.CARE)).when(F.col("_care").isNotNull(), mended)).drop("_care", "more")
-
-
-def repaired(s: DataFrame, lines: DataFrame, by: Sequence[str], care: bool = True) -> DataFrame:
+    care = F.col(d.CARE)
+    s = s.withColumn("_0", F.when(~care["value"].rlike(CONTACT), _head(F.filter("lines", lambda x: x["ord"] == care["ord"]))))
+    for k in (1, 2, 3):
+        s = s.withColumn(f"_{k}", _below(F.col(f"_{k - 1}")))
+    down = F.coalesce(*[F.when(F.col(f"_{k}.text").rlike(CONTACT), F.array(*[f"_{i}" for i in range(1, k + 1)])) for k in (1, 2, 3)])
+    s = s.withColumn("_down", down)
+    sure = F.filter(F.transform("_down", lambda x: x["confidence"].cast("double")), lambda c: c.isNotNull())
+    more = F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.nullif(F.size(sure), F.lit(0))
+    value = d.joined(F.concat(F.array(care["text"]), F.transform("_down", lambda x: x["text"])))
+    mended = care.withField("value", value).withField("confidence", (care["confidence"] + more) / 2)
+    return s.withColumn(d.CARE, F.when(care["value"].rlike(CONTACT), care).when(F.col("_down").isNotNull(), mended)).drop("_0", "_1", "_2", "_3", "_down")
+
+
+def repaired(s: DataFrame, care: bool = True) -> DataFrame:
     """One pass of all repairs over the state, which has unit_price."""
-    s = written(repaired_dates(repaired_names(s)), "state-dates")
-    s = written(repaired_amounts(s), "state-amounts")
-    return written(repaired_care(s, lines, by), "state-care") if care else s
+    s = repaired_amounts(repaired_dates(repaired_names(s)))
+    return repaired_care(s) if care else s
+
 
+def _hit(value: Column, x: Column, most: float) -> Column:
+    """What a line says, with a confidence of at most so much."""
+    return F.struct(value.alias("value"), x["ord"].cast("int").alias("ord"), F.least(x["confidence"], F.lit(most)).cast("double").alias("confidence"), x["text"].alias("text"))
 
-def _fill(s: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Fills empty columns from rows (by, key, value, ord, confidence, text), one for each key."""
-    hit = F.struct("value", F.col("ord").cast("int").alias("ord"), F.col("confidence").cast("double").alias("confidence"), "text")
-    new = found.groupBy(*by).agg(*[F.min_by(hit, F.when(F.col("key") == k, F.col("ord"))).alias(f"_{k}") for k in COLUMNS])
-    out = s.join(new, list(by), "left")
-    return out.withColumns({k: F.coalesce(k, f"_{k}") for k in COLUMNS}).drop(*[f"_{k}" for k in COLUMNS])
 
+def _fill(s: DataFrame, hits: Column) -> DataFrame:
+    """Fills empty columns from an array of (key, hit), for each key with its first."""
+    s = s.withColumn("_hits", hits)
+    return s.withColumns({k: F.coalesce(k, _first_of("_hits", k)) for k in COLUMNS}).drop("_hits")
 
-def legend_stage(s: DataFrame, lines: DataFrame, by: Sequence[str]) -> DataFrame:
+
+def legend_stage(s: DataFrame) -> DataFrame:
     """A legend defines marks ("*MFD. #EXP."); what stands after a mark on another line is the value of its key."""
-    plain = F.regexp_replace(F.regexp_replace("text", "['‘’\"“”]", "*"), "[©®]", "@")
-    defined = F.array_compact(F.array(*[F.when(plain.rlike(rf"(?i)[*#@^†‡§]\s*(?:{p})"), F.struct(F.lit(k).alias("key"), F.regexp_extract(plain, rf"(?i)([*#@^†‡§])\s*(?:{p})", 1).alias("mark"))) for k, p in LEGEND.items()]))
-    x = lines.withColumns({"defined": defined, "plain": plain})
-    legend = x.select(*by, "ord", F.explode("defined").alias("f")).groupBy(*by, F.col("f.mark").alias("mark")).agg(F.min_by("f.key", "ord").alias("key"))
-    values = x.where(F.size("defined") == 0).select(*by, "ord", "confidence", "text", F.explode(F.arrays_zip(F.regexp_extract_all("plain", F.lit(r"([*#@^†‡§])\s*([^*#@^†‡§]+)"), F.lit(1)).alias("mark"), F.regexp_extract_all("plain", F.lit(r"([*#@^†‡§])\s*([^*#@^†‡§]+)"), F.lit(2)).alias("tail"))).alias("m"))
-    found = values.select(*by, "ord", "confidence", "text", "m.mark", "m.tail").join(legend, [*by, "mark"])
-    value = F.nullif(F.coalesce(*[F.when(F.col("key") == k, F.regexp_extract("tail", p, 1)) for k, p in MARKED_VALUE.items()]), F.lit(""))
-    shown = F.when(F.col("key") == r.MRP, F.concat(F.lit("MRP ₹"), F.regexp_replace(value, r"(?i)^(?:₹|rs\.?|[?=€¥£])\s*", ""))).otherwise(value)
-    found = found.withColumn("value", shown).where("value is not null")
-    hit = F.struct("value", "ord", F.least("confidence", F.lit(LEGEND_CAP)).alias("confidence"), "text")
-    return _fill(s, found.groupBy(*by, "key").agg(F.min_by(hit, "ord").alias("h")).select(*by, "key", "h.*"), by)
-
-
-def _lone(lines: DataFrame) -> DataFrame:
-    """Captions that stand alone: (lines' columns, key), once for each key."""
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, "['‘’\"“”]", "*"), "[©®]", "@")
+    # Of the keys that a line gives to one mark the last of LEGEND counts, so these are told in turned order.
+    defined = lambda t: F.array_compact(F.array(*[F.when(t.rlike(rf"(?i)[*#@^†‡§]\s*(?:{p})"), F.struct(F.lit(k).alias("key"), F.regexp_extract(t, rf"(?i)([*#@^†‡§])\s*(?:{p})", 1).alias("mark"))) for k, p in reversed(LEGEND.items())]))
+    s = s.withColumn("_marks", F.transform("lines", lambda x: F.struct(x.alias("line"), plain(x["text"]).alias("plain"))))
+    s = s.withColumn("_marks", F.transform("_marks", lambda x: F.struct(x["line"].alias("line"), x["plain"].alias("plain"), defined(x["plain"]).alias("defined"))))
+    s = s.withColumn("_legend", F.flatten(F.transform("_marks", lambda x: x["defined"])))
+
+    def told(x: Column) -> Column:
+        """(key, tail, line) of a line's marked values; key is null for marks without a meaning."""
+        part = lambda k: F.regexp_extract_all(x["plain"], F.lit(r"([*#@^†‡§])\s*([^*#@^†‡§]+)"), F.lit(k))
+        key = lambda mark: _head(F.filter("_legend", lambda f: f["mark"] == mark))["key"]
+        return F.zip_with(part(1), part(2), lambda mark, tail: F.struct(key(mark).alias("key"), tail.alias("tail"), x["line"].alias("line")))
+
+    bare = F.filter("_marks", lambda x: (F.size("_legend") > 0) & (F.size(x["defined"]) == 0))
+    value = lambda x: F.nullif(F.coalesce(*[F.when(x["key"] == k, F.regexp_extract(x["tail"], p, 1)) for k, p in MARKED_VALUE.items()]), F.lit(""))
+    shown = lambda key, v: F.when(key == r.MRP, F.concat(F.lit("MRP ₹"), F.regexp_replace(v, r"(?i)^(?:₹|rs\.?|[?=€¥£])\s*", ""))).otherwise(v)
+    hits = F.transform(F.flatten(F.transform(bare, told)), lambda x: F.struct(x["key"].alias("key"), _hit(shown(x["key"], value(x)), x["line"], LEGEND_CAP).alias("hit")))
+    return _fill(s, F.filter(hits, lambda x: x["hit"]["value"].isNotNull())).drop("_marks", "_legend")
+
+
+def _lone(text: Column, missing: Column) -> Column:
+    """Those of the missing keys whose captions stand alone on the line."""
     kinds = []
     for k, (caption, value) in COLUMNS.items():
-        rest = F.regexp_replace(F.regexp_extract("text", f"{caption}(.*)$", 1), r"(?i)\(?\s*(?:incl?\.?|inclusive)[^)]*\)?|₹|rs\.?|inr|[:.\-–—|]", "")
-        kinds.append(F.when(F.col("text").rlike(caption) & ~F.col("text").rlike(POINTS_ELSEWHERE) & ~F.trim(rest).rlike(value), F.lit(k)))
-    return lines.withColumn("key", F.explode(F.array_compact(F.array(*kinds))))
+        rest = F.regexp_replace(F.regexp_extract(text, f"{caption}(.*)$", 1), r"(?i)\(?\s*(?:incl?\.?|inclusive)[^)]*\)?|₹|rs\.?|inr|[:.\-–—|]", "")
+        kinds.append(F.when(F.array_contains(missing, k) & text.rlike(caption) & ~text.rlike(POINTS_ELSEWHERE) & ~F.trim(rest).rlike(value), F.lit(k)))
+    return F.array_compact(F.array(*kinds))
 
 
 def _shown(key: Column, value: Column) -> Column:
@@ -199,46 +239,75 @@ def _shown(key: Column, value: Column) -> Column:
     return F.when(key == r.MRP, priced).otherwise(F.trim(value))
 
 
-def columns_stage(s: DataFrame, lines: DataFrame, by: Sequence[str]) -> DataFrame:
+def _missing() -> Column:
+    return F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in COLUMNS]))
+
+
+def _beside(c: Column) -> Column:
+    """The nearest value of the caption's type on its row (as in `layout.same_row`), with the value in its text; null without one."""
+    at, high = c["line"], c["line"]["y1"] - c["line"]["y0"]
+    centre = lambda x: (x["y0"] + x["y1"]) / 2
+    row = lambda x: (x["ord"] != at["ord"]) & (F.abs(centre(at) - centre(x)) <= high * 0.75) & (x["x0"] > (at["x0"] + at["x1"]) / 2) & (x["x0"] - at["x1"] < high * 30)
+    typed = lambda t: F.coalesce(*[F.when(c["key"] == k, F.regexp_extract(t, f"({p[1]})", 1)) for k, p in COLUMNS.items()])
+    values = F.transform(F.filter("lines", row), lambda x: F.struct(x["x0"].alias("x0"), x["ord"].alias("ord"), x["text"].alias("text"), x["confidence"].alias("confidence"), typed(x["text"]).alias("value")))
+    no_code = lambda x: (c["key"] == d.BATCH) & (x["value"].rlike(f"(?i){r.DATE}") | x["text"].rlike(d.PRICE))
+    return F.array_min(F.filter(values, lambda x: (x["value"] != "") & ~no_code(x)))
+
+
+def columns_stage(s: DataFrame) -> DataFrame:
     """Captions in one column, values in another or in the row below. First, of the values on a caption's row the nearest of
     its type, each value for one caption only (the nearest on its left); then, of what stands in reach of the captions that are
     left, by type: the first and last date, the largest price, the first code and quantity."""
-    missing = s.select(*by, F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in COLUMNS])).alias("missing")).where(F.size("missing") > 0)
-    own = lines.join(missing, list(by))
-    lone = _lone(own).where(F.array_contains("missing", F.col("key"))).drop("missing")
-    typed = lambda key, text: F.coalesce(*[F.when(key == k, F.regexp_extract(text, f"({p[1]})", 1)) for k, p in COLUMNS.items()])
-    any_caption = "|".join(f"(?:{p[0]})" for p in COLUMNS.values())
-    value = typed(F.col("c_key"), F.col("v_text"))
-    other = F.col("v_text").rlike(any_caption) & (value == "")
-    no_code = (F.col("c_key") == d.BATCH) & (value.rlike(f"(?i){r.DATE}") | F.col("v_text").rlike(d.PRICE))
-    # A caption line may hold several keys: each is a caption of its own, so ord and key together name it.
-    pairs = same_row(lone.withColumn("c", F.concat_ws(":", "ord", "key")).withColumnRenamed("ord", "line").withColumn("ord", F.xxhash64("c")), own.drop("missing"), by, test=(F.col("v_ord") != F.col("c_line")) & (value != "") & ~other & ~no_code)
-    nearest = F.row_number().over(Window.partitionBy(*by, "v_ord", value).orderBy(F.desc("c_x1"), "c_line", "c_key"))
-    pairs = pairs.withColumn("n", nearest).where("n = 1").select(*by, F.col("c_key").alias("key"), _shown(F.col("c_key"), value).alias("value"), F.col("v_ord").alias("ord"), F.least("v_confidence", F.lit(ROW_CAP)).alias("confidence"), F.col("v_text").alias("text"))
-    s = _fill(s, pairs, by)
-
-    still = s.select(*by, F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in COLUMNS])).alias("still"), F.col(f"{r.PACKED}.value").alias("packed"))
-    lone = lone.join(still, list(by)).where(F.array_contains("still", F.col("key")))
-    box = lone.groupBy(*by).agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.min("x0").alias("left"), F.median(F.col("y1") - F.col("y0")).alias("high"), F.count_distinct("ord").alias("captions"), F.collect_set("key").alias("wanted"), F.first("packed").alias("packed"))
-    near = own.drop("missing").join(box, list(by)).join(pairs.select(*by, "ord"), [*by, "ord"], "left_anti")  # a value serves once
-    high = F.coalesce(F.nullif("high", F.lit(0.0)), F.lit(20.0))
-    near = near.where((F.col("y1") >= F.col("top") - high * 2) & (F.col("y0") <= F.col("bottom") + high * F.when(F.col("captions") == 1, 6).otherwise(4)) & (F.col("x1") >= F.col("left")) & ~F.col("text").rlike(any_caption) & ~F.col("text").rlike(r.CAPTION_LIKE))
-    wants = lambda k: F.array_contains("wanted", F.lit(k))
-    hit = lambda v: F.struct(v.alias("value"), "ord", F.least("confidence", F.lit(BLOCK_CAP)).alias("confidence"), "text")
-    dates = near.withColumn("t", F.explode(r.date_tokens(F.col("text"))))
-    dates = dates.groupBy(*by).agg(F.min_by(hit(F.col("t.text")), F.struct("t.key", "ord")).alias("a"), F.max_by(hit(F.col("t.text")), F.struct("t.key", -F.col("ord"))).alias("z"), F.count_distinct("t.key").alias("n"), F.first("wanted").alias("wanted"), F.first("packed").alias("packed"))
-    later = (F.col("z.value") != F.coalesce("packed", F.when(wants(r.PACKED), F.col("a.value")), F.lit(""))) & ((F.col("n") >= 2) | ~wants(r.PACKED))
-    dates = dates.select(*by, F.explode(F.array(F.struct(F.lit(r.PACKED).alias("key"), F.when(wants(r.PACKED), F.col("a")).alias("h")), F.struct(F.lit(r.BEST).alias("key"), F.when(wants(r.BEST) & later, F.col("z")).alias("h")))).alias("x")).where("x.h is not null").select(*by, "x.key", "x.h.*")
-    bare = F.transform(F.filter(F.regexp_extract_all("text", F.lit(r"(?i)\b(?!0\.)(\d{1,5}[.,]\d{2})\d?\b(?![/\-.]\d)(?!\s*(?:g|gm|kg|ml|l|mg|%|per)\b)"), F.lit(1)), lambda t: ~t.rlike(f"(?i)^{r.DATE}$")), lambda t: F.struct(F.concat(F.lit("₹"), F.replace(t, F.lit(","), F.lit("."))).alias("text"), F.replace(t, F.lit(","), F.lit(".")).try_cast("double").alias("amount")))
-    marked = F.transform(r.amounts(F.col("text"), F.lit(False)), lambda a: F.struct(a["text"].alias("text"), a["amount"].alias("amount")))
-    priced = near.where(wants(r.MRP)).select("*", F.posexplode(F.concat(marked, bare)).alias("n", "a")).where("a.amount >= 1")
-    priced = priced.groupBy(*by).agg(F.max_by(hit(_shown(F.lit(r.MRP), F.col("a.text"))), F.struct("a.amount", -F.col("ord"), -F.col("n"))).alias("h")).select(*by, F.lit(r.MRP).alias("key"), "h.*")
-    code = F.trim("text")
-    coded = code.rlike(r"^[A-Z0-9][A-Z0-9\-/.: ]{2,14}$") & code.rlike(r"\d") & code.rlike("[A-Z]") & ~code.rlike(r"\b[A-Z]{4,}\b") & ~code.rlike(f"(?i){r.DATE}") & ~code.rlike(d.PRICE) & ~code.rlike(d.PLAIN_QUANTITY)
-    codes = near.where(wants(d.BATCH) & coded).groupBy(*by).agg(F.min_by(hit(code), "ord").alias("h")).select(*by, F.lit(d.BATCH).alias("key"), "h.*")
-    amount = F.regexp_extract("text", f"({COLUMNS[d.NET][1]})", 1)
-    sizes = near.where(wants(d.NET) & (amount != "")).groupBy(*by).agg(F.min_by(hit(amount), "ord").alias("h")).select(*by, F.lit(d.NET).alias("key"), "h.*")
-    return _fill(s, dates.unionByName(priced).unionByName(codes).unionByName(sizes), by)
+    s = s.withColumn("_missing", _missing())
+    # A caption line may hold several keys: each is a caption of its own, so line and key together name it.
+    captions = F.transform("lines", lambda x: F.transform(_lone(x["text"], F.col("_missing")), lambda k: F.struct(x.alias("line"), k.alias("key"))))
+    s = s.withColumn("_lone", F.flatten(captions))
+    pairs = F.transform("_lone", lambda c: F.struct(F.struct((-c["line"]["x1"]).alias("x"), c["line"]["ord"].alias("line"), c["key"].alias("key")).alias("place"), _beside(c).alias("v")))
+    s = s.withColumn("_pairs", F.filter(pairs, lambda p: p["v"].isNotNull()))
+    nearer = lambda p: F.exists("_pairs", lambda q: (q["v"]["ord"] == p["v"]["ord"]) & (q["v"]["value"] == p["v"]["value"]) & (q["place"] < p["place"]))
+    own = F.transform(F.filter("_pairs", lambda p: ~nearer(p)), lambda p: F.struct(p["v"]["ord"].alias("ord"), p["place"]["key"].alias("key"), _hit(_shown(p["place"]["key"], p["v"]["value"]), p["v"], ROW_CAP).alias("hit")))
+    s = _fill(s.withColumn("_pairs", F.sort_array(own)), F.col("_pairs"))
+
+    s = s.withColumn("_missing", _missing())
+    s = s.withColumn("_lone", F.filter("_lone", lambda c: F.array_contains("_missing", c["key"])))
+    of = lambda f: F.transform("_lone", lambda c: f(c["line"]))
+    s = s.withColumn("_highs", F.sort_array(F.filter(of(lambda x: x["y1"] - x["y0"]), lambda h: h.isNotNull())))
+    middle = lambda k: F.try_element_at("_highs", F.floor((F.size("_highs") + k) / 2).cast("int"))
+    half = F.when(F.size("_highs") > 0, middle(1) * 0.5 + middle(2) * 0.5)
+    box = {
+        "top": F.array_min(of(lambda x: x["y0"])), "bottom": F.array_max(of(lambda x: x["y1"])), "left": F.array_min(of(lambda x: x["x0"])), "high": F.coalesce(F.nullif(half, F.lit(0.0)), F.lit(20.0)),
+        "captions": F.size(F.array_distinct(of(lambda x: x["ord"]))), "wanted": F.array_distinct(F.transform("_lone", lambda c: c["key"])),
+    }
+    s = s.withColumn("_box", F.struct(*[c.alias(k) for k, c in box.items()]))
+    b, any_caption = F.col("_box"), "|".join(f"(?:{p[0]})" for p in COLUMNS.values())
+    reach = lambda x: (x["y1"] >= b["top"] - b["high"] * 2) & (x["y0"] <= b["bottom"] + b["high"] * F.when(b["captions"] == 1, 6).otherwise(4)) & (x["x1"] >= b["left"])
+    used = lambda x: F.exists("_pairs", lambda p: p["ord"] == x["ord"])  # noqa: E731  a value serves once
+    s = s.withColumn("_near", F.filter("lines", lambda x: reach(x) & ~used(x) & ~x["text"].rlike(any_caption) & ~x["text"].rlike(r.CAPTION_LIKE)))
+
+    wants = lambda k: F.array_contains(b["wanted"], F.lit(k))
+    # Each kind: what the lines hold, in an array of structs whose first fields are their order and whose last one is the hit.
+    each = lambda found, one: F.flatten(F.transform("_near", lambda x: F.transform(found(x["text"]), lambda t, n: one(x, t, n))))
+    dates = each(r.date_tokens, lambda x, t, n: F.struct(t["key"].alias("key"), (-x["ord"]).alias("ord"), (-n).alias("n"), _hit(t["text"], x, BLOCK_CAP).alias("hit")))
+    number = lambda t: F.replace(t, F.lit(","), F.lit("."))
+    bare = lambda text: F.transform(F.filter(F.regexp_extract_all(text, F.lit(r"(?i)\b(?!0\.)(\d{1,5}[.,]\d{2})\d?\b(?![/\-.]\d)(?!\s*(?:g|gm|kg|ml|l|mg|%|per)\b)"), F.lit(1)), lambda t: ~t.rlike(f"(?i)^{r.DATE}$")), lambda t: F.struct(F.concat(F.lit("₹"), number(t)).alias("text"), number(t).try_cast("double").alias("amount")))
+    marked = lambda text: F.transform(r.amounts(text, F.lit(False)), lambda a: F.struct(a["text"].alias("text"), a["amount"].alias("amount")))
+    prices = each(lambda text: F.concat(marked(text), bare(text)), lambda x, a, n: F.struct(a["amount"].alias("amount"), (-x["ord"]).alias("ord"), (-n).alias("n"), _hit(_shown(F.lit(r.MRP), a["text"]), x, BLOCK_CAP).alias("hit")))
+    s = s.withColumns({"_dates": F.when(wants(r.PACKED) | wants(r.BEST), dates), "_prices": F.when(wants(r.MRP), F.filter(prices, lambda a: a["amount"] >= 1))})
+    earliest = F.array_min("_dates")["key"]
+    first = F.array_max(F.filter("_dates", lambda t: t["key"] == earliest))["hit"]
+    s = s.withColumns({"_a": first, "_z": F.array_max("_dates")["hit"], "_months": F.size(F.array_distinct(F.transform("_dates", lambda t: t["key"])))})
+    later = (F.col("_z.value") != F.coalesce(f"{r.PACKED}.value", F.when(wants(r.PACKED), F.col("_a.value")), F.lit(""))) & ((F.col("_months") >= 2) | ~wants(r.PACKED))
+    coded = lambda c: c.rlike(r"^[A-Z0-9][A-Z0-9\-/.: ]{2,14}$") & c.rlike(r"\d") & c.rlike("[A-Z]") & ~c.rlike(r"\b[A-Z]{4,}\b") & ~c.rlike(f"(?i){r.DATE}") & ~c.rlike(d.PRICE) & ~c.rlike(d.PLAIN_QUANTITY)
+    code = _head(F.filter("_near", lambda x: coded(F.trim(x["text"]))))
+    amount = lambda x: F.regexp_extract(x["text"], f"({COLUMNS[d.NET][1]})", 1)
+    sized = _head(F.filter("_near", lambda x: amount(x) != ""))
+    s = s.withColumns({"_code": F.when(wants(d.BATCH), code), "_sized": F.when(wants(d.NET), sized)})
+    found = {
+        r.PACKED: F.when(wants(r.PACKED), F.col("_a")), r.BEST: F.when(wants(r.BEST) & later, F.col("_z")), r.MRP: F.array_max("_prices")["hit"],
+        d.BATCH: F.when(F.col("_code").isNotNull(), _hit(F.trim("_code.text"), F.col("_code"), BLOCK_CAP)), d.NET: F.when(F.col("_sized").isNotNull(), _hit(amount(F.col("_sized")), F.col("_sized"), BLOCK_CAP)),
+    }
+    s = s.withColumns({k: F.coalesce(F.col(k), v) for k, v in found.items()})
+    return s.drop("_missing", "_lone", "_pairs", "_highs", "_box", "_near", "_dates", "_prices", "_a", "_z", "_months", "_code", "_sized")
 
 
 def country_stage(s: DataFrame) -> DataFrame:
@@ -254,12 +323,6 @@ def country_stage(s: DataFrame) -> DataFrame:
 def staged(fields: DataFrame, lines: DataFrame, by: Sequence[str] = ("image_id",)) -> DataFrame:
     """Declarations (by, key, value, ord, confidence) after all stages; `fields` are those that the readers found."""
     by = list(by)
-    held = lines.select(*by, "ord", F.coalesce("text", F.lit("")).alias("text"), "confidence", "x0", "y0", "x1", "y1")
-    priced = F.replace(F.nullif(F.regexp_extract("text", UNIT_PRICE, 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
-    units = held.groupBy(*by).agg(F.min_by(priced, F.when(priced.isNotNull(), F.col("ord"))).alias("unit_price"))
-    s = written(units.join(state_of(fields, held, by), by, "left"), "state")
-    s = written(legend_stage(s, held, by), "state-legend")
-    s = repaired(s, held, by)
-    s = written(columns_stage(s, held, by), "state-columns")
-    s = repaired(s, held, by, care=False)
-    return rows_of(country_stage(s), by)
+    s = repaired(legend_stage(state_of(gathered(fields, lines, by), by)))
+    s = country_stage(repaired(columns_stage(s), care=False))
+    return rows_of(written(s.select(*by, *KEYS), "state"), by)
